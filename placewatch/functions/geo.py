@@ -16,14 +16,16 @@ EARTH_KM = 6371.0  # fixed value
 PER_DEGREE = 100   # about 1.1 km north to south
 
 
+def _at_most(index: Column, last: int) -> Column:
+    return F.when(index > last, F.lit(last).cast("long")).otherwise(index)
+
+
 def cell_row(lat: str | Column, per_degree: int = PER_DEGREE) -> Column:
-    top = 180 * per_degree - 1
-    return F.least(F.floor((as_col(lat) + 90.0) * per_degree), F.lit(top).cast("long"))
+    return _at_most(F.floor((as_col(lat) + 90.0) * per_degree), 180 * per_degree - 1)
 
 
 def cell_column(lon: str | Column, per_degree: int = PER_DEGREE) -> Column:
-    last = 360 * per_degree - 1
-    return F.least(F.floor((as_col(lon) + 180.0) * per_degree), F.lit(last).cast("long"))
+    return _at_most(F.floor((as_col(lon) + 180.0) * per_degree), 360 * per_degree - 1)
 
 
 def cell_at(row: str | Column, column: str | Column, per_degree: int = PER_DEGREE) -> Column:

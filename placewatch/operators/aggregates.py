@@ -121,12 +121,13 @@ def latency_summary(df: DataFrame, group: str, ms: str, ts: list[str], last_n: i
     """Count, mean, extremes and p95 per group over the newest ``last_n`` rows.
 
     p95 is the element at index int(0.95 * n) of the sorted values; the arrays
-    are bounded by ``last_n``.
+    are bounded by ``last_n``. The mean is cut to six digits before it is
+    rounded, so the order of the sum cannot tip a tie.
     """
     recent = df.orderBy(*[F.desc(c) for c in ts]).limit(last_n)
     values = F.array_sort(F.collect_list(ms))
     return (recent.groupBy(group)
-            .agg(F.count("*").alias("n"), F.bround(F.avg(ms), 1).alias("avg_ms"),
+            .agg(F.count("*").alias("n"), F.bround(F.round(F.avg(ms), 6), 1).alias("avg_ms"),
                  F.bround(F.max(ms), 1).alias("max_ms"), F.bround(F.min(ms), 1).alias("min_ms"),
                  values.alias("_v"))
             .withColumn("p95_ms", F.bround(F.get("_v", F.floor(F.col("n") * 0.95).cast("int")), 1))

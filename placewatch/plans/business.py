@@ -90,7 +90,7 @@ def fresh(current: DataFrame, now=None, hours: int = 24) -> DataFrame:
 def lookup_list(lists: DataFrame, text: str, lookup: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Comma lists of numbers to (found rows, valid numbers without a row, invalid entries)."""
     parts = lists.select(split_ids(text).alias("p"))
-    valid = parts.select(F.explode("p.valid").cast("long").alias("abn"))
+    valid = parts.select(F.explode("p.valid").alias("abn")).select(F.col("abn").cast("long").alias("abn"))
     invalid = parts.select(F.explode("p.invalid").alias("entry"))
     found, missing = bulk_lookup(valid, lookup.select(*LOOKUP), "abn")
     return found, missing, invalid
