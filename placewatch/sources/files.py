@@ -29,39 +29,33 @@ def read_polygons(spark: SparkSession, path: str, code: str, name: str, area: st
                       F.nullif(F.col(wkt), F.lit("")).alias("geometry_wkt"), "_source_file", "_ingest_time")
 
 
-def code_list(df: DataFrame, col: str, depth: int = 4) -> DataFrame:
-    """(code, name) out of JSON text that holds a ``codes`` list at any depth up to ``depth``.
+def code_list(df: DataFrame, key: str, col: str, depth: int = 4) -> DataFrame:
+    """(key, code, name) out of JSON text that holds a ``codes`` list at any depth up to ``depth``.
 
-    The first list found from the outside in, objects before arrays of the same
-    level, counts. A name may be text or an object of languages: English first.
+    The outermost list of each document counts. A name may be text or an object
+    of languages: English first.
     """
-    level = df.select(F.parse_json(col).alias("v"))
-    found, parts = level, []
+    many = "array<variant>"
+    found = df.select(key, F.parse_json(col).alias("v"))
+    lists = None
     for d in range(depth + 1):
-        codes = F.try_variant_get("v", "$.codes", "array<variant>")
-        parts.append(found.select(F.lit(d).alias("_d"), codes.alias("codes")).where("codes IS NOT NULL"))
-        children = found.select(F.explode(F.concat(
-            F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array().cast("array<variant>")),
-            F.coalesce(F.map_values(F.try_variant_get("v", "$", "map<string,variant>")),
-                       F.array().cast("array<variant>")))).alias("v"))
-        found = children.where(F.schema_of_variant("v").startswith("OBJECT") | F.schema_of_variant("v").startswith("ARRAY"))
-    lists = parts[0]
-    for p in parts[1:]:
-        lists = lists.unionByName(p)
-    outer = lists.where(F.col("_d") == lists.agg(F.min("_d")).scalar())
-    item = outer.select(F.explode("codes").alias("c"))
-    name = F.try_variant_get("c", "$.name", "variant")
-    is_text = F.schema_of_variant(name) == "STRING"
+        here = found.select(key, F.lit(d).alias("_d"), F.try_variant_get("v", "$.codes", many).alias("codes")).where("codes IS NOT NULL")
+        lists = here if lists is None else lists.unionByName(here)
+        children = F.coalesce(F.try_variant_get("v", "$", many), F.map_values(F.try_variant_get("v", "$", "map<string,variant>")))
+        found = found.select(key, F.explode(children).alias("v")).where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+    outer = lists.join(lists.groupBy(key).agg(F.min("_d").alias("_d")), [key, "_d"])
+    item = outer.select(key, F.explode("codes").alias("c"))
     languages = F.map_values(F.try_variant_get("c", "$.name", "map<string,string>"))
-    return (item.select(F.try_variant_get("c", "$.id", "string").alias("code"),
-                        F.when(is_text, F.try_variant_get("c", "$.name", "string"))
-                        .otherwise(F.coalesce(F.try_variant_get("c", "$.name.en", "string"),
-                                              F.get(languages, F.lit(0)))).alias("name"))
-            .where("code IS NOT NULL"))
+    name = F.coalesce(F.try_variant_get("c", "$.name.en", "string"), F.get(languages, F.lit(0)),
+                      F.try_variant_get("c", "$.name", "string"))
+    return item.select(key, F.try_variant_get("c", "$.id", "string").alias("code"), name.alias("name")).where("code IS NOT NULL")
 
 
-def read_business_xml(spark: SparkSession, path: str, row_tag: str = "businessEntity202001") -> DataFrame:
-    return spark.read.format("xml").option("rowTag", row_tag).load(path)
+def read_business_xml(spark: SparkSession, path: str, row_tag: str = "businessEntity202001",
+                      schema: str | T.StructType | None = None) -> DataFrame:
+    """Records of XML files; give ``schema`` to spare the inference pass over large folders."""
+    reader = spark.read.format("xml").option("rowTag", row_tag)
+    return (reader.schema(schema) if schema else reader).load(path)
 
 
 def _text(schema: T.StructType, path: str) -> Column:
@@ -88,8 +82,7 @@ def business_rows(raw: DataFrame, ingested_at) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Documents as whole-file text, one page per form feed: (path, page, text)."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    text = F.try_to_binary(F.hex("content"), F.lit("hex")).cast("string")
-    return raw.select("path", F.posexplode(F.split(text, "\f")).alias("_i", "text")).select(
+    return raw.select("path", F.posexplode(F.split(F.col("content").cast("string"), "\f")).alias("_i", "text")).select(
         "path", (F.col("_i") + 1).cast("int").alias("page"), "text")
 
 

@@ -101,11 +101,12 @@ def _quoted(text: str) -> str:
 
 
 def declare(spark: SparkSession, table: str, columns: str, partition_by: str | None = None,
-            comment: str | None = None) -> None:
-    """Create an empty Parquet table unless it exists."""
+            comment: str | None = None, location: str | None = None) -> None:
+    """Create an empty Parquet table unless it exists; ``location`` is a folder all executors share."""
     part = f" PARTITIONED BY ({partition_by})" if partition_by else ""
     text = f" COMMENT {_quoted(comment)}" if comment else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet{part}{text}")
+    where = f" LOCATION {_quoted(location)}" if location else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet{part}{where}{text}")
 
 
 def document(spark: SparkSession, table: str, comment: str, columns: dict[str, str] | None = None) -> None:

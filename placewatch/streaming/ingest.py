@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -54,6 +54,19 @@ def daily_rollup(stream: DataFrame, ts: str, keys: list[str], aggs: dict, waterm
             .withColumn("day", F.to_date("_w.start")).drop("_w"))
 
 
+def store_rollup(rolled: DataFrame, path: str, keys: list[str], checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep a roll-up as table versions: changed groups of each micro-batch replace their older rows."""
+    def merge(batch: DataFrame, n: int) -> None:
+        upsert_table(batch.sparkSession, path, batch, keys)
+
+    writer = rolled.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(table_versions(spark, path)[-1])
+
+
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run an append stream over all input there is and return what it wrote."""
     query = (df.writeStream.format("parquet").outputMode("append").option("path", path)
