@@ -283,7 +283,8 @@ def redacted(t):
 
 @query("FN-19", r"""
     WITH d AS (SELECT doc_id, regexp_replace(text, '^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') AS t FROM documents),
-    p AS (SELECT doc_id, t, regexp_extract(t, '(?is)([^\n]{40,800}(?:justif|recommend|claim|apply|seek|qualif|eligib)[^\n]{0,800})', 1) AS para FROM d)
+    p AS (SELECT doc_id, t, CASE WHEN length(t) > 800 AND regexp_matches(t, '(?i)justif|recommend|claim|apply|seek|qualif|eligib')
+           THEN regexp_extract(t, '(?is)([^\n]{40,800}(?:justif|recommend|claim|apply|seek|qualif|eligib)[^\n]{0,800})', 1) ELSE '' END AS para FROM d)
     SELECT doc_id, length(CASE WHEN length(t) <= 800 THEN t WHEN para <> '' THEN trim(para) ELSE t[1:800] END) AS n,
            md5(left(CASE WHEN length(t) <= 800 THEN t WHEN para <> '' THEN trim(para) ELSE t[1:800] END, 40)) AS head FROM p""")
 def paragraphs(t):

@@ -27,5 +27,10 @@ def moment(df: DataFrame, ts: str, now) -> Column:
     return F.lit(str(now)).cast(df.schema[ts].dataType)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def seconds(c: str | Column) -> Column:
     return F.unix_timestamp(as_col(c).cast("timestamp"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import as_col
+from .common import as_col, let
 
 EARTH_KM = 6371.0  # fixed value
 PER_DEGREE = 100   # about 1.1 km north to south
@@ -61,12 +61,16 @@ def cell_boundary(cell: str | Column, per_degree: int = PER_DEGREE) -> Column:
 
 def ring(cell: str | Column, k: int = 1, per_degree: int = PER_DEGREE) -> Column:
     """The cell and all cells at most ``k`` steps away; wraps in longitude, stops at the poles."""
+    width, last = F.lit(360 * per_degree).cast("long"), 180 * per_degree - 1
+    steps = F.sequence(F.lit(-k).cast("long"), F.lit(k).cast("long"))
+
+    def around(at: Column) -> Column:
+        rows = F.filter(F.transform(steps, lambda d: at["row"] + d), lambda r: (r >= 0) & (r <= last))
+        return F.flatten(F.transform(rows, lambda r: F.transform(
+            steps, lambda d: r * width + F.pmod(at["column"] + d, width))))
+
     row, column = _split(cell, per_degree)
-    width = 360 * per_degree
-    out = [F.when((row + dy >= 0) & (row + dy < 180 * per_degree),
-                  cell_at(row + dy, F.pmod(column + dx, F.lit(width).cast("long")), per_degree))
-           for dy in range(-k, k + 1) for dx in range(-k, k + 1)]
-    return F.array_compact(F.array(*out))
+    return F.when(as_col(cell).isNotNull(), let(F.struct(row.alias("row"), column.alias("column")), around))
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import as_col
+from .common import as_col, let
 
 # Words and limits that decide results.
 DISASTER_WORDS = ("flood", "fire", "storm", "earthquake", "drought", "cyclone")
@@ -15,7 +15,9 @@ SMALLEST_CLAIM = 1000.0
 ISO_DATE = r"\b(20\d{2}-\d{2}-\d{2})\b"
 CATEGORY = r"(?i)category\s+([abcd])\b"
 UUID = r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
-REASON = r"(?is)([^\n]{40,800}(?:justif|recommend|claim|apply|seek|qualif|eligib)[^\n]{0,800})"
+REASON_WORDS = r"(?:justif|recommend|claim|apply|seek|qualif|eligib)"
+REASON = rf"(?is)^([^\n]{{40,800}}{REASON_WORDS}[^\n]{{0,800}})"   # 40 to 800 characters, a word, up to 800 more
+REASON_LEAD = rf"(?is)^([^\n]{{40,}}?){REASON_WORDS}"
 
 
 # -- times -----------------------------------------------------------------
@@ -159,12 +161,34 @@ def disaster_word(c: str | Column, default: str = "flood") -> Column:
     return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in DISASTER_WORDS], F.lit(default))
 
 
+def _reason_paragraph(text: Column) -> Column:
+    """Leftmost stretch of one line around a reason word, or empty text.
+
+    The first line with such a word at least 40 characters in holds it, and it
+    begins at most 800 characters before the word; only that cut is searched.
+    """
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(REASON_LEAD))
+
+    def around(line: Column) -> Column:
+        lead = F.length(F.regexp_extract(line, REASON_LEAD, 1))
+        start = F.greatest(lead - 800, F.lit(0))
+        return F.regexp_extract(F.substring(line, start + 1, F.lit(1640)), REASON, 1)
+
+    return let(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), around)
+
+
 def justification(c: str | Column) -> Column:
     """Short narratives whole; of long ones the paragraph that argues, else 800 characters."""
-    text = F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", "")
-    para = F.regexp_extract(text, REASON, 1)
-    body = F.when(F.length(text) <= 800, text).when(para != "", F.trim(para)).otherwise(F.substring(text, 1, 800))
-    return redact_uuid(body)
+    def pick(text: Column) -> Column:
+        cut = let(strip(_reason_paragraph(text)), lambda p: F.when(p != "", p).otherwise(F.substring(text, 1, 800)))
+        return F.when(F.length(text) <= 800, text).otherwise(cut)
+
+    return redact_uuid(let(strip(c), pick))
+
+
+def strip(c: str | Column) -> Column:
+    """Text without blanks of any kind at either end."""
+    return F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", "")
 
 
 def jsonp_body(c: str | Column) -> Column:

@@ -127,23 +127,5 @@ def top(df: DataFrame, order: list[str | Column], k: int) -> DataFrame:
     return df.orderBy(*_ordering(order)).limit(k)
 
 
-def running_offset(df: DataFrame, keys: list[str], order: str, amount: str, name: str,
-                   block: int = 4096) -> DataFrame:
-    """Sum of ``amount`` over the earlier rows of the key, by the long column ``order``.
-
-    Two levels, so that no task holds a whole key: sums inside blocks of
-    ``block`` order values, and block totals in front of them.
-    """
-    df = df.withColumn("_block", F.floor(F.col(order) / block))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (df.groupBy(*keys, "_block").agg(F.sum(amount).alias("_total"))
-              .withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total"))
-    return (df.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-            .join(totals, [*keys, "_block"])
-            .withColumn(name, F.col("_before") + F.col("_inside"))
-            .drop("_block", "_inside", "_before"))
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -106,6 +106,16 @@ def _at_least_km(lat: Column, lon: Column, row: Column, column: Column, size: fl
     return F.lit(EARTH_KM) * F.greatest(F.radians(dlat), across)
 
 
+def _enough_levels(places: DataFrame) -> int:
+    """Index of the first grid whose fullest box holds few places (the finest grid if none does)."""
+    at = [F.struct(F.lit(n).alias("n"), row.alias("row"), column.alias("col")) for n, (row, column) in
+          enumerate(_box(F.col("rlat"), F.col("rlon"), size) for size in DEGREES)]
+    held = places.select(F.explode(F.array(*at)).alias("b")).groupBy("b").agg(F.count("*").alias("held"))
+    fullest = held.groupBy("b.n").agg(F.max("held").alias("most")).collect()   # one row per grid
+    fine = [r["n"] for r in fullest if r["most"] <= POINTS_PER_CELL]
+    return min(fine, default=len(DEGREES) - 1)
+
+
 def _nearest_grid(points: DataFrame, places: DataFrame, l_key: str) -> DataFrame:
     """Exact nearest neighbour by narrowing boxes, 8 x 8 finer at each step.
 
@@ -124,7 +134,7 @@ def _nearest_grid(points: DataFrame, places: DataFrame, l_key: str) -> DataFrame
         row, column = _box(rlat, rlon, size)
         up = _box(rlat, rlon, parent) if parent else (F.lit(0).cast("long"), F.lit(0).cast("long"))
         return (places.groupBy(row.alias("row"), column.alias("col"), up[0].alias("prow"), up[1].alias("pcol"))
-                .agg(F.min_by(F.struct("rlat", "rlon"), "rkey").alias("at"), F.count("*").alias("held")))
+                .agg(F.min(F.struct("rlat", "rlon")).alias("at")))
 
     def keep(pairs: DataFrame, size: float) -> DataFrame:
         """Boxes that may hold the closest place, given one known place per box."""
@@ -138,14 +148,10 @@ def _nearest_grid(points: DataFrame, places: DataFrame, l_key: str) -> DataFrame
     # The first grid has at most 8 x 16 boxes, held in one bounded array: no pairing of tables.
     top = boxes(DEGREES[0], None).agg(F.collect_list(F.struct("row", "col", "at")).alias("b")).scalar()
     open_boxes = keep(todo.withColumn("_b", F.explode(top)).select("_id", "_lat", "_lon", "_b.*"), DEGREES[0])
-    level = 0
-    while level + 1 < len(DEGREES):
-        crowd = boxes(DEGREES[level], None).agg(F.max("held")).first()[0] or 0
-        if crowd <= POINTS_PER_CELL:
-            break
-        finer = boxes(DEGREES[level + 1], DEGREES[level])
-        open_boxes = keep(open_boxes.join(finer, ["prow", "pcol"]), DEGREES[level + 1])
-        level += 1
+    level = _enough_levels(places)
+    for n in range(level):
+        finer = boxes(DEGREES[n + 1], DEGREES[n])
+        open_boxes = keep(open_boxes.join(finer, ["prow", "pcol"]), DEGREES[n + 1])
     row, column = _box(rlat, rlon, DEGREES[level])
     pairs = open_boxes.join(places.withColumns({"prow": row, "pcol": column}), ["prow", "pcol"])
     km = haversine_km("_lat", "_lon", "rlat", "rlon")

@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .history import running_offset
+from ..functions.common import let
 
+PAGES_PER_BLOCK = 1024
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -22,23 +23,27 @@ def chunk(df: DataFrame, source: str, page: str, text: str, size: int = 1200, ov
     """Fixed-size overlapping pieces of each page, numbered through each source.
 
     Blanks collapse to one space; pieces of fewer than ``min_chars`` characters
-    after trimming are left out and take no number. Pages of one source are
-    split over tasks; only their piece counts meet.
+    after trimming are left out and take no number. ``page`` is a number. Pieces
+    are numbered in blocks of pages, so a huge source is split over tasks, and
+    block totals give each block its first number.
     """
     step = size - overlap
-    flat = F.trim(F.regexp_replace(F.col(text), BLANKS, " "))
-    starts = F.when(F.length("_flat") > 0, F.sequence(F.lit(0), F.length("_flat") - 1, F.lit(step)))
-    pieces = F.filter(F.transform(starts, lambda s: F.trim(F.substring(F.col("_flat"), s + 1, F.lit(size)))),
-                      lambda p: F.length(p) >= min_chars)
-    pages = (df.select(source, page, flat.alias("_flat"))
-             .select(source, page, pieces.alias("_pieces"))
-             .where(F.size("_pieces") > 0))
-    # The whole text stays out of the shuffle: offsets come from (source, page, count) rows.
-    counts = pages.select(source, page, F.size("_pieces").cast("long").alias("_n"))
-    offsets = running_offset(counts, [source], page, "_n", "_offset").select(source, page, "_offset")
-    out = (pages.select(source, page, F.posexplode("_pieces").alias("_i", "chunk_to_retrieve"))
-           .join(offsets, [source, page]))
-    position = F.col("_offset") + F.col("_i")
+
+    def cut(flat: Column) -> Column:
+        starts = F.when(F.length(flat) > 0, F.sequence(F.lit(0), F.length(flat) - 1, F.lit(step)))
+        return F.filter(F.transform(starts, lambda s: F.trim(F.substring(flat, s + 1, F.lit(size)))),
+                        lambda p: F.length(p) >= min_chars)
+
+    pieces = let(F.trim(F.regexp_replace(F.col(text), BLANKS, " ")), cut)
+    rows = (df.select(source, page, F.posexplode(pieces).alias("_i", "chunk_to_retrieve"))
+            .withColumn("_block", F.floor(F.col(page) / PAGES_PER_BLOCK)).repartition(source, "_block"))
+    inside = Window.partitionBy(source, "_block").orderBy(page, "_i")
+    before = Window.partitionBy(source).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Counting the text column keeps both uses of the shuffled rows alike, so they are shuffled once.
+    first = (rows.groupBy(source, "_block").agg(F.count("chunk_to_retrieve").alias("_n"))
+             .withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    out = rows.withColumn("_rn", F.row_number().over(inside)).join(first, [source, "_block"])
+    position = F.col("_first") + F.col("_rn") - 1
     return out.select(
         F.concat(F.col(source), F.lit("::p"), F.col(page).cast("string"), F.lit("::c"),
                  position.cast("string")).alias("chunk_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (CATEGORY, DISASTER_WORDS, ISO_DATE, SMALLEST_CLAIM, first_large_amount,
-                                 justification, loss_near_word, name_tail, stable_id, strict_date)
+                                 justification, loss_near_word, name_tail, stable_id, strict_date, strip)
 from ..operators.history import collect_top, top_per_key
 from ..operators.reshape import set_overlap
 from ..operators.text import embed, hashed_words
@@ -123,7 +123,7 @@ def claim_fields(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 def transcript(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
                last_n: int = 8, chars: int = 300) -> DataFrame:
     """The last turns of each conversation as one text, each cut to ``chars`` characters."""
-    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)^\s+|\s+$", "")
+    body = strip(F.coalesce(F.col(text), F.lit("")))
     line = F.concat(F.lit("  "), F.col(role), F.lit(": "), F.substring(body, 1, chars))
     cut = top_per_key(turns.select(conv, turn, line.alias("line"), (body != "").alias("said")), [conv], [F.desc(turn)], last_n)
     lines = collect_top(cut.where("said"), [conv], [turn], last_n, ["line"], "lines")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import moment
@@ -10,7 +10,7 @@ from ..functions.geo import PER_DEGREE, cell_boundary, wkt_to_points
 from ..functions.scalars import context_text, hazard_label, road_label
 from ..operators.aggregates import conditional_distinct, distinct_count, pivot_max
 from ..operators.history import (collect_top, latest_batch, nearest_in_time, time_window, top_per_key)
-from ..operators.joins import cell_join, full_outer_coalesce, left_with, spread_join, star
+from ..operators.joins import cell_join, full_outer_coalesce, left_with, star
 from ..operators.reshape import zero_fill
 from ..operators.spatial import cell_risk, cover_centroids, nearest, risk_share
 from .rules import HAZARD_TYPES, risk_level, severity
@@ -115,16 +115,35 @@ def gold_view(weather: DataFrame, hazards: DataFrame, cover: DataFrame, weather_
                      "next_24h_max_wind_kmh", "max_severity_score")
 
 
+def daily_hazards(hazards: DataFrame, cover: DataFrame) -> DataFrame:
+    """Distinct hazard ids per postcode and day, by kind.
+
+    An id that stayed in one cell that day counts once wherever the cell counts,
+    so such ids are summed per cell before the join. Only ids seen in several
+    cells of a day travel one by one.
+    """
+    seen = hazards.where(F.col("h3_cell").isNotNull() & ~F.col("ended"))
+    conds = _hazard_conds()
+    flag = {n: F.max(F.when(F.coalesce(c, F.lit(False)), 1).otherwise(0)).alias(n) for n, c in conds.items()}
+    once = (seen.withColumn("snapshot_date", F.to_date("_ingest_time"))
+            .groupBy("h3_cell", "snapshot_date", "hazard_id").agg(*flag.values()))
+    # An id has few cells a day, so this window has only small groups.
+    marked = once.withColumn("_cells", F.count("*").over(Window.partitionBy("snapshot_date", "hazard_id")))
+    cells = cover.select("poa_code", "h3_cell").distinct()
+    keys = ["poa_code", "snapshot_date"]
+
+    still = (marked.where("_cells = 1").groupBy("h3_cell", "snapshot_date")
+             .agg(*[F.sum(n).alias(n) for n in conds], F.count("*").alias("total_active_hazards")))
+    met = cells.join(marked.where("_cells > 1"), "h3_cell")
+    one_by_one = conditional_distinct(met, keys, {n: F.col(n) == 1 for n in conds}, "hazard_id", total="total_active_hazards")
+    both = cells.join(still, "h3_cell").select(*keys, *COUNTS).unionByName(one_by_one.select(*keys, *COUNTS))
+    return both.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in COUNTS])
+
+
 def gold_history(weather: DataFrame, hazards: DataFrame, cover: DataFrame, weather_map: DataFrame,
                  state: str = "NSW") -> DataFrame:
     """One row per postcode and day: hazards seen (distinct ids) and daily weather of the batches."""
-    seen = hazards.where(F.col("h3_cell").isNotNull() & ~F.col("ended"))
-    flags = {n: F.max(F.when(F.coalesce(c, F.lit(False)), True).otherwise(False)) for n, c in _hazard_conds().items()}
-    once = (seen.withColumn("snapshot_date", F.to_date("_ingest_time"))
-            .groupBy("h3_cell", "snapshot_date", "hazard_id").agg(*[f.alias(n) for n, f in flags.items()]))
-    met = spread_join(once, cover.select("poa_code", "h3_cell").distinct(), "h3_cell", ["snapshot_date", "hazard_id"])
-    counted = conditional_distinct(met, ["poa_code", "snapshot_date"], {n: F.col(n) for n in flags}, "hazard_id",
-                                   total="total_active_hazards")
+    counted = daily_hazards(hazards, cover)
     daily = (weather.withColumn("snapshot_date", F.to_date("_ingest_time")).groupBy("location_name", "snapshot_date")
              .agg(F.round(F.avg("temperature_c"), 1).alias("daily_avg_temp_c"),
                   F.max("temperature_c").alias("daily_max_temp_c"), F.min("temperature_c").alias("daily_min_temp_c"),
