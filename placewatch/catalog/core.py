@@ -77,10 +77,10 @@ def half_open(t):
 
 @query("FLT-03", """
     SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer#00000%'
-      AND regexp_full_match(lpad(CAST(c_custkey AS VARCHAR), 4, '0'), '^1\\d{3}$')""")
+      AND regexp_full_match(lpad(CAST(c_custkey AS VARCHAR), 4, '0'), '^0\\d{3}$')""")
 def prefix_and_pattern(t):
     code = S.padded_code("c_custkey", 4)
-    return t.customer.where(F.col("c_name").like("Customer#00000%") & code.rlike(r"^1\d{3}$")).select("c_custkey", "c_name")
+    return t.customer.where(F.col("c_name").like("Customer#00000%") & code.rlike(r"^0\d{3}$")).select("c_custkey", "c_name")
 
 
 @query("FLT-04", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('RED'))")

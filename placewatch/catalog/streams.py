@@ -133,7 +133,7 @@ def daily(t):
     rolled = I.daily_rollup(_event_stream(t).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"],
                             {"n": F.count("*"), "total": F.round(F.sum("value"), 2), "top": F.max("value")})
     _run(I.store_rollup(rolled, f"{out}/rows", ["day", "event_type"], f"{out}/checkpoint"))
-    return I.newest_version(t.spark, f"{out}/rows")
+    return K.read_merged(t.spark, f"{out}/rows")
 
 
 @query("STR-05-append", """
@@ -152,4 +152,4 @@ def newest_row(t):
     out = K.scratch(t.spark, "latest")
     stream = _event_stream(t).select("user_id", "ts", "event_id", "event_type")
     _run(I.keep_latest(stream, f"{out}/rows", ["user_id"], ["ts", "event_id"], f"{out}/checkpoint"))
-    return I.newest_version(t.spark, f"{out}/rows").select("user_id", "event_id", "event_type")
+    return K.read_merged(t.spark, f"{out}/rows").select("user_id", "event_id", "event_type")

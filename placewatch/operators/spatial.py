@@ -9,7 +9,7 @@ from ..functions.geo import (EARTH_KM, PER_DEGREE, cell_at, cell_center, haversi
 from .aggregates import centroids
 
 FEW_PLACES = 256      # right sides up to this size are compared inside one expression
-DEGREES = (22.5, 2.8125, 0.3515625, 0.0439453125, 0.0054931640625, 0.0006866455078125)
+DEGREES = tuple(22.5 / 8 ** n for n in range(8))   # box sizes, 22.5 degrees down to about a metre
 POINTS_PER_CELL = 64
 
 
@@ -121,37 +121,39 @@ def _nearest_grid(points: DataFrame, places: DataFrame, l_key: str) -> DataFrame
 
     Every box carries one of its places. A box is kept while it could hold a
     place at most as far as the closest carried place seen so far; a point keeps
-    a handful of boxes per step whatever the density. Boxes are refined until
-    they hold few places, then the places themselves are compared.
+    a handful of boxes per step whatever the density. The boxes inside a box (at
+    most 64) are judged as one array, so only kept ones become rows. Boxes are
+    refined until they hold few places, then the places themselves are compared.
     """
     points = points.where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()).withColumn(
         "_id", F.struct(l_key, "_lat", "_lon"))
     todo = points.select("_id", "_lat", "_lon").distinct()
     lat, lon, rlat, rlon = (F.col(c) for c in ("_lat", "_lon", "rlat", "rlon"))
-    w = Window.partitionBy("_id")
 
-    def boxes(size: float, parent: float | None) -> DataFrame:
+    def boxes(size: float) -> DataFrame:
         row, column = _box(rlat, rlon, size)
-        up = _box(rlat, rlon, parent) if parent else (F.lit(0).cast("long"), F.lit(0).cast("long"))
-        return (places.groupBy(row.alias("row"), column.alias("col"), up[0].alias("prow"), up[1].alias("pcol"))
-                .agg(F.min(F.struct("rlat", "rlon")).alias("at")))
-
-    def keep(pairs: DataFrame, size: float) -> DataFrame:
-        """Boxes that may hold the closest place, given one known place per box."""
-        judged = pairs.withColumns({
-            "_seen": haversine_km("_lat", "_lon", F.col("at.rlat"), F.col("at.rlon")),
-            "_least": _at_least_km(lat, lon, F.col("row"), F.col("col"), size)})
-        judged = judged.withColumn("_limit", F.min("_seen").over(w))
-        return (judged.where(F.col("_least") <= F.col("_limit") * 1.000000001 + 1e-6)
-                .select("_id", "_lat", "_lon", F.col("row").alias("prow"), F.col("col").alias("pcol")))
-
-    # The first grid has at most 8 x 16 boxes, held in one bounded array: no pairing of tables.
-    top = boxes(DEGREES[0], None).agg(F.collect_list(F.struct("row", "col", "at")).alias("b")).scalar()
-    open_boxes = keep(todo.withColumn("_b", F.explode(top)).select("_id", "_lat", "_lon", "_b.*"), DEGREES[0])
+        return places.groupBy(row.alias("row"), column.alias("col")).agg(F.min(F.struct("rlat", "rlon")).alias("at"))
+
+    def keep(df: DataFrame, size: float, first: bool = False) -> DataFrame:
+        """Boxes of the array ``_b`` that may hold the closest place, one row each."""
+        seen = F.array_min(F.transform("_b", lambda b: haversine_km(lat, lon, b["at"]["rlat"], b["at"]["rlon"])))
+        df = df.withColumn("_seen", seen)
+        limit = F.col("_seen") if first else F.min("_seen").over(Window.partitionBy("_id"))
+        df = df.withColumn("_limit", limit * 1.000000001 + 1e-6)
+        kept = F.filter("_b", lambda b: _at_least_km(lat, lon, b["row"], b["col"], size) <= F.col("_limit"))
+        return (df.select("_id", "_lat", "_lon", F.explode(kept).alias("b"))
+                .select("_id", "_lat", "_lon", F.col("b.row").alias("prow"), F.col("b.col").alias("pcol")))
+
+    # The first grid has at most 8 x 16 boxes and every finer box at most 64 inner ones: bounded arrays.
+    box = F.struct("row", "col", "at")
+    top = boxes(DEGREES[0]).agg(F.collect_list(box).alias("b")).scalar()
+    open_boxes = keep(todo.withColumn("_b", top), DEGREES[0], first=True)
     level = _enough_levels(places)
     for n in range(level):
-        finer = boxes(DEGREES[n + 1], DEGREES[n])
-        open_boxes = keep(open_boxes.join(finer, ["prow", "pcol"]), DEGREES[n + 1])
+        inner = (boxes(DEGREES[n + 1])
+                 .groupBy(F.floor(F.col("row") / 8).alias("prow"), F.floor(F.col("col") / 8).alias("pcol"))
+                 .agg(F.collect_list(box).alias("_b")))
+        open_boxes = keep(open_boxes.join(inner, ["prow", "pcol"]), DEGREES[n + 1])
     row, column = _box(rlat, rlon, DEGREES[level])
     pairs = open_boxes.join(places.withColumns({"prow": row, "pcol": column}), ["prow", "pcol"])
     km = haversine_km("_lat", "_lon", "rlat", "rlon")

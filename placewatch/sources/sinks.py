@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.history import upsert
+from ..operators.history import latest_per_key, upsert
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -23,13 +23,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/placewatch/{name}-{uuid.uuid4().hex}"
 
 
-def persist_cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The same rows read back from the shared folder: lineage ends here and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def append_batch(df: DataFrame, path: str, partition_by: str | None = "_ingest_time") -> None:
     """Append one stamped batch, in day folders of its stamp; an empty batch writes no row."""
     if partition_by:
@@ -70,30 +63,39 @@ def land(df: DataFrame, root: str, subdir: str, batch_time: dt.datetime) -> str
 
 
 def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
-                 order_by: list[str] | None = None) -> DataFrame:
-    """Merge into a Parquet table kept as numbered versions; returns the new version.
-
-    The merged rows go to a new folder first; a reader of the old version is
-    never disturbed, and a failed job leaves the old version as the newest.
+                 order_by: list[str] | None = None, buckets: int = 64, newest: bool = False) -> DataFrame:
+    """Merge into a Parquet table kept in ``buckets`` folders by a hash of the keys; returns the new table.
+
+    Only the buckets the source touches are read and replaced (dynamic partition
+    overwrite: files are staged and swapped when the job has succeeded). Running
+    the same merge again gives the same table. One writer at a time. Choose
+    ``buckets`` so that a bucket holds a few GB. With ``newest`` the stored row
+    stays where it is larger by ``order_by`` than the arriving one.
     """
-    versions = table_versions(spark, path)
-    before = spark.read.parquet(versions[-1]) if versions else source.limit(0)
-    merged = upsert(before, source, keys, order_by)
-    target = f"{path.rstrip('/')}/v{len(versions):08d}-{uuid.uuid4().hex}"
-    merged.write.mode("errorifexists").parquet(target)
-    return spark.read.parquet(target)
-
-
-def table_versions(spark: SparkSession, path: str) -> list[str]:
-    """Finished versions (those with a success marker), oldest first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    done = [s.getPath().toString() for s in fs.listStatus(root)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(done)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    source = source.withColumn("_bucket", bucket)
+    if table_exists(spark, path):
+        touched = [r[0] for r in source.select("_bucket").distinct().collect()]   # at most ``buckets`` numbers
+        before = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
+        before = before.select(*source.columns)
+    else:
+        before = source.limit(0)
+    if newest:
+        merged = latest_per_key(before.unionByName(source), ["_bucket", *keys], order_by)
+    else:
+        merged = upsert(before, source, ["_bucket", *keys], order_by)
+    (merged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_bucket").parquet(path))
+    return read_merged(spark, path)
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 def _quoted(text: str) -> str:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import latest_per_key
 from ..operators.quality import keep_valid, rule_report
-from ..sources.sinks import table_versions, upsert_table
+from ..sources.sinks import upsert_table
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, rules: dict[str, str] | None = None,
@@ -55,7 +55,7 @@ def daily_rollup(stream: DataFrame, ts: str, keys: list[str], aggs: dict, waterm
 
 
 def store_rollup(rolled: DataFrame, path: str, keys: list[str], checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Keep a roll-up as table versions: changed groups of each micro-batch replace their older rows."""
+    """Keep a roll-up as a merged table: changed groups of each micro-batch replace their older rows."""
     def merge(batch: DataFrame, n: int) -> None:
         upsert_table(batch.sparkSession, path, batch, keys)
 
@@ -63,10 +63,6 @@ def store_rollup(rolled: DataFrame, path: str, keys: list[str], checkpoint: str,
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(table_versions(spark, path)[-1])
-
-
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run an append stream over all input there is and return what it wrote."""
     query = (df.writeStream.format("parquet").outputMode("append").option("path", path)
@@ -77,18 +73,12 @@ def run_to_parquet(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 def keep_latest(stream: DataFrame, path: str, keys: list[str], order: list[str], checkpoint: str,
                 available_now: bool = True) -> StreamingQuery:
-    """Newest row per key, kept as table versions: each micro-batch is reduced, then merged.
+    """Newest row per key, kept as a merged table: each micro-batch is reduced, then merged.
 
     A row already stored wins over an older one that arrives late.
     """
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        stored = table_versions(spark, path)
-        fresh = latest_per_key(batch, keys, order)
-        if stored:
-            known = spark.read.parquet(stored[-1]).join(fresh.select(*keys), keys, "left_semi")
-            fresh = fresh.unionByName(known)
-        upsert_table(spark, path, fresh, keys, order)
+        upsert_table(batch.sparkSession, path, latest_per_key(batch, keys, order), keys, order, newest=True)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
