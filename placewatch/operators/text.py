@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.common import let
 
-PAGES_PER_BLOCK = 1024
+PAGE_BITS = 10   # 1024 pages to a block
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
@@ -35,12 +35,15 @@ def chunk(df: DataFrame, source: str, page: str, text: str, size: int = 1200, ov
                         lambda p: F.length(p) >= min_chars)
 
     pieces = let(F.trim(F.regexp_replace(F.col(text), BLANKS, " ")), cut)
-    rows = (df.select(source, page, F.posexplode(pieces).alias("_i", "chunk_to_retrieve"))
-            .withColumn("_block", F.floor(F.col(page) / PAGES_PER_BLOCK)).repartition(source, "_block"))
+    block = F.shiftright(page, PAGE_BITS)
+    rows = (df.where(F.col(source).isNotNull() & F.col(page).isNotNull() & block.isNotNull())
+            .select(source, page, F.posexplode(pieces).alias("_i", "chunk_to_retrieve"))
+            .withColumn("_block", block).repartition(source, "_block"))
     inside = Window.partitionBy(source, "_block").orderBy(page, "_i")
     before = Window.partitionBy(source).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    # Counting the text column keeps both uses of the shuffled rows alike, so they are shuffled once.
-    first = (rows.groupBy(source, "_block").agg(F.count("chunk_to_retrieve").alias("_n"))
+    # Counting over all columns, and the null tests above that the join would add on one side only,
+    # keep both uses of the shuffled rows alike: they are cut and shuffled once.
+    first = (rows.groupBy(source, "_block").agg(F.expr(f"count(chunk_to_retrieve, `{page}`, _i)").alias("_n"))
              .withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     out = rows.withColumn("_rn", F.row_number().over(inside)).join(first, [source, "_block"])
     position = F.col("_first") + F.col("_rn") - 1

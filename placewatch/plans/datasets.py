@@ -10,7 +10,7 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quality import AUDIT_SCHEMA, audit, expect, expect_or_fail, keep_valid
+from ..operators.quality import AUDIT_SCHEMA, audit, expect, keep_valid, rule_counts, stop_if_broken
 from ..sources.sinks import clustered
 
 
@@ -60,24 +60,24 @@ class Datasets:
     def _build(self, name: str, run_id: str) -> None:
         d = self.known[name]
         df = d.build(*[self.read(i) for i in d.inputs])
-        if d.fail:
-            expect_or_fail(df, d.fail)
-        rules = {**d.watch, **d.drop}
-        seen = None
-        if rules:
+        rules, seen, counts = {**d.watch, **d.drop}, None, {}
+        if d.fail or (rules and d.cluster_by):
+            # Range clustering samples its input, which would count rows twice in an observation.
+            counts = rule_counts(df, {**rules, **d.fail})
+            stop_if_broken({r: counts[r] for r in d.fail})
+        elif rules:
             df, seen = expect(df, rules)
-            df = keep_valid(df, d.drop)
+        df = keep_valid(df, d.drop)
         path = f"{self.root}/{name}/{run_id}"
         (clustered(df, list(d.cluster_by)) if d.cluster_by else df).write.mode("errorifexists").parquet(path)
         self.published[name] = path
         rows = self.spark.read.parquet(path).count()
         log = audit(self.spark, run_id, name, "write", {"rows_written": rows, "_rows": rows}, "flow_progress")
-        if seen is not None:
-            counts = seen.get
-            for action, some in (("allow", d.watch), ("drop", d.drop)):
+        counts = seen.get if seen is not None else counts
+        for action, some in (("allow", d.watch), ("drop", d.drop), ("fail", d.fail)):
+            if some:
                 part = {r: counts[r] for r in some}
-                if part:
-                    log = log.unionByName(audit(self.spark, run_id, name, action, {**part, "_rows": counts["_rows"]}))
+                log = log.unionByName(audit(self.spark, run_id, name, action, {**part, "_rows": counts["_rows"]}))
         log.coalesce(1).write.mode("append").parquet(f"{self.root}/_audit")
 
     def audit_log(self) -> DataFrame:
