@@ -397,3 +397,25 @@ def scenarios(t):
 def health(t):
     from ..operators.quality import freshness_minutes
     return freshness_minutes({"weather": (t.weather, "_ingest_time"), "hazards": (t.hazards, "_ingest_time")}, NOW)
+
+
+@query("UDF-01", """
+    SELECT c.poa_code AS postcode, m.nearest_weather_location AS forecast_location, r AS max_rain_24h_mm, coalesce(n, 0) AS hazard_count,
+           k.nearest_csiro_station AS station_name, v AS worst_case
+    FROM (SELECT DISTINCT poa_code FROM cover) c LEFT JOIN weather_map m USING (poa_code) LEFT JOIN climate_map k USING (poa_code)
+    LEFT JOIN (SELECT location_name, max(precipitation_mm) AS r FROM weather_now WHERE forecast_time >= TIMESTAMP '2024-01-20 12:00:00'
+        AND forecast_time < TIMESTAMP '2024-01-21 12:00:00' GROUP BY 1) w ON w.location_name = m.nearest_weather_location
+    LEFT JOIN (SELECT poa_code, count(*) AS n FROM cover JOIN (SELECT * FROM hazards WHERE _ingest_time = (SELECT max(_ingest_time) FROM hazards)) h USING (h3_cell)
+        GROUP BY 1) h USING (poa_code)
+    LEFT JOIN (SELECT station_name, round(quantile_disc(value, 0.5), 2) AS v FROM projections WHERE variable = 'tas' AND time_aggregation = 'Annual' AND rcp = 'rcp85'
+        AND period = '2080-2099' GROUP BY 1) p ON p.station_name = k.nearest_csiro_station""",
+       ("cover", "weather_map", "climate_map", "weather_now", "hazards", "projections"))
+def struct_functions(t):
+    """The struct-valued look-ups, as one frame over all keys instead of a function per key."""
+    keys = t.cover.select(F.col("poa_code").alias("postcode")).distinct()
+    w = places.weather_struct(keys, t.weather, t.weather_map, NOW).withColumnRenamed("result", "w")
+    h = places.hazards_struct(keys, t.hazards, t.cover).withColumnRenamed("result", "h")
+    c = climate.climate_struct(keys, t.climate_map, t.projections, exact=True).withColumnRenamed("result", "c")
+    return w.join(h, "postcode").join(c, "postcode").select(
+        "postcode", "w.forecast_location", "w.max_rain_24h_mm", F.col("h.hazard_count").cast("long").alias("hazard_count"), "c.station_name",
+        F.col("c.worst_case_2080s_rcp85_temp_c").alias("worst_case"))

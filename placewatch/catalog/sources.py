@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators import history as H
+from ..operators.joins import attach_scalars
 from ..plans.datasets import Datasets
 from ..sources import files as SF
 from ..sources import landing as L
@@ -222,6 +223,20 @@ def landed(t):
     return L.read_landing(t.spark, root, L.HAZARD_SCHEMA, streaming=False, multi_line=False).select("hazard_id", "hazard_type", "longitude")
 
 
+@query("SNK-14", """
+    SELECT v.col_name, v.comment, (SELECT count(*) FROM orders) AS n_rows FROM
+      (VALUES ('o_orderkey', 'the order''s key'), ('o_totalprice', 'total, dollars')) v(col_name, comment)""")
+def commented(t):
+    path = K.scratch(t.spark, "commented")
+    table = "placewatch_" + path.rsplit("-", 1)[1][:12]
+    t.orders.select("o_orderkey", "o_totalprice").write.parquet(path)
+    K.declare(t.spark, table, "o_orderkey BIGINT, o_totalprice DOUBLE", location=path)
+    K.document(t.spark, table, "orders", {"o_orderkey": "the order's key", "o_totalprice": "total, dollars"})
+    columns = t.spark.createDataFrame([(c.name, c.description) for c in t.spark.catalog.listColumns(table)], "col_name string, comment string")
+    t.spark.sql(f"DROP TABLE {table}")
+    return attach_scalars(columns, t.spark.read.parquet(path).agg(F.count("*").alias("n_rows")))
+
+
 @query("SNK-15", "SELECT event_id AS id, user_id AS abn, event_type AS grant_status, strftime(ts, '%Y-%m-%d %H:%M:%S') AS generated_at FROM events")
 def submission_log(t):
     path = K.scratch(t.spark, "submissions")

@@ -33,6 +33,18 @@ def _best(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return best.select(*keys, "_row.*")
 
 
+def time_order(df: DataFrame, ts: str, at: Column, pick: str, ties: list[str] | None = None) -> Column:
+    """Ordering whose smallest value marks the picked row; NULL where a row may not be picked."""
+    tail = [F.col(ts), *[F.col(c) for c in ties or []]]
+    if pick == "nearest":
+        return F.struct(F.abs(seconds(ts) - seconds(at)).alias("d"), *tail)
+    if pick == "last_before":
+        return F.when(F.col(ts) <= at, F.struct((-F.unix_micros(F.col(ts).cast("timestamp"))).alias("d"), *tail))
+    if pick == "first":
+        return F.struct(*tail)
+    raise ValueError(f"unknown pick: {pick}")
+
+
 def nearest_in_time(df: DataFrame, keys: list[str], ts: str, now=None, pick: str = "nearest",
                     ties: list[str] | None = None) -> DataFrame:
     """One row per key by time.
@@ -42,17 +54,9 @@ def nearest_in_time(df: DataFrame, keys: list[str], ts: str, now=None, pick: str
     ``ts``, then the smallest ``ties``.
     """
     at = moment(df, ts, now)
-    tail = [F.col(ts), *[F.col(c) for c in ties or []]]
-    if pick == "nearest":
-        order = F.struct(F.abs(seconds(ts) - seconds(at)).alias("d"), *tail)
-    elif pick == "last_before":
+    if pick == "last_before":
         df = df.where(F.col(ts) <= at)
-        order = F.struct((-F.unix_micros(F.col(ts).cast("timestamp"))).alias("d"), *tail)
-    elif pick == "first":
-        order = F.struct(*tail)
-    else:
-        raise ValueError(f"unknown pick: {pick}")
-    return _best(df, keys, order)
+    return _best(df, keys, time_order(df, ts, at, pick, ties))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -92,10 +96,13 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order_by: list
                          for c in target.columns])
 
 
+def within(ts: str, at: Column, hours: int = 24) -> Column:
+    """True in the half-open interval [at, at + hours)."""
+    return (F.col(ts) >= at) & (F.col(ts) < at + F.expr(f"INTERVAL {int(hours)} HOURS"))
+
+
 def time_window(df: DataFrame, ts: str, now=None, hours: int = 24) -> DataFrame:
-    """Rows of the half-open interval [now, now + hours)."""
-    at = moment(df, ts, now)
-    return df.where((F.col(ts) >= at) & (F.col(ts) < at + F.expr(f"INTERVAL {int(hours)} HOURS")))
+    return df.where(within(ts, moment(df, ts, now), hours))
 
 
 def freshness(df: DataFrame, ts: str, now=None, hours: int = 24, name: str = "is_fresh") -> DataFrame:

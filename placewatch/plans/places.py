@@ -9,7 +9,8 @@ from ..functions.common import moment
 from ..functions.geo import PER_DEGREE, cell_boundary, wkt_to_points
 from ..functions.scalars import context_text, hazard_label, road_label
 from ..operators.aggregates import conditional_distinct, distinct_count, pivot_max
-from ..operators.history import (collect_top, latest_batch, nearest_in_time, time_window, top_per_key)
+from ..operators.history import (collect_top, latest_batch, nearest_in_time, time_order, time_window, top_per_key,
+                                  within)
 from ..operators.joins import cell_join, full_outer_coalesce, left_with, star
 from ..operators.reshape import zero_fill
 from ..operators.spatial import cell_risk, cover_centroids, nearest, risk_share
@@ -29,21 +30,32 @@ def _clock(weather: DataFrame, now) -> Column:
     return weather.agg(F.max("_ingest_time").cast(weather.schema["forecast_time"].dataType)).scalar()
 
 
-def weather_current(weather: DataFrame, now=None, pick: str = "nearest") -> DataFrame:
-    """One row per location: the reading at ``now`` and figures of the next 24 hours (newest batch)."""
+def weather_current(weather: DataFrame, now=None, pick: str = "nearest", checked: bool = True) -> DataFrame:
+    """One row per location: the reading at ``now`` and figures of the next 24 hours (newest batch).
+
+    Both come from one pass over the batch. ``checked`` leaves out locations
+    whose temperature now is out of range.
+    """
     batch, at = latest_batch(weather), _clock(weather, now)
-    place = ["location_name", "latitude", "longitude"]
-    reading = nearest_in_time(batch.select(*place, "forecast_time", *CURRENT), ["location_name"],
-                              "forecast_time", at, pick, ties=[*place[1:], *CURRENT])
-    reading = reading.select(*place, F.col("forecast_time").alias("current_observed_at"),
-                             *[F.col(c).alias(n) for c, n in CURRENT.items()])
-    ahead = time_window(batch, "forecast_time", at, 24).groupBy("location_name").agg(
-        F.max("temperature_c").alias("next_24h_max_temp_c"), F.min("temperature_c").alias("next_24h_min_temp_c"),
-        F.round(F.sum("precipitation_mm"), 2).alias("next_24h_total_rain_mm"),
-        F.max("windspeed_kmh").alias("next_24h_max_wind_kmh"),
-        F.round(F.avg("humidity_pct"), 1).alias("next_24h_avg_humidity_pct"))
-    out = reading.join(ahead, "location_name", "left")
-    return out.where("current_temperature_c IS NULL OR current_temperature_c BETWEEN -50 AND 60")
+    place = ["latitude", "longitude"]
+    order = time_order(batch, "forecast_time", at, pick, [*place, *CURRENT])
+    ahead = within("forecast_time", at, 24)
+
+    def next_day(c: str) -> Column:
+        return F.when(ahead, F.col(c))
+
+    out = batch.groupBy("location_name").agg(
+        F.min_by(F.struct(*place, "forecast_time", *CURRENT), order).alias("r"),
+        F.max(next_day("temperature_c")).alias("next_24h_max_temp_c"),
+        F.min(next_day("temperature_c")).alias("next_24h_min_temp_c"),
+        F.round(F.sum(next_day("precipitation_mm")), 2).alias("next_24h_total_rain_mm"),
+        F.max(next_day("windspeed_kmh")).alias("next_24h_max_wind_kmh"),
+        F.round(F.avg(next_day("humidity_pct")), 1).alias("next_24h_avg_humidity_pct"))
+    figures = [c for c in out.columns if c.startswith("next_24h")]
+    usable = "r IS NOT NULL" + (" AND (r.temperature_c IS NULL OR r.temperature_c BETWEEN -50 AND 60)" if checked else "")
+    return (out.where(usable)
+            .select("location_name", *[f"r.{c}" for c in place], F.col("r.forecast_time").alias("current_observed_at"),
+                    *[F.col(f"r.{c}").alias(n) for c, n in CURRENT.items()], *figures))
 
 
 def hazards_current(hazards: DataFrame, rule: str = "major_first") -> DataFrame:
@@ -89,11 +101,11 @@ def climate_columns(mapping: DataFrame, projections: DataFrame) -> DataFrame:
 
 def gold_current(weather: DataFrame, hazards: DataFrame, cover: DataFrame, weather_map: DataFrame,
                  climate_map: DataFrame, projections: DataFrame, now=None, pick: str = "nearest",
-                 state: str = "NSW") -> DataFrame:
+                 state: str = "NSW", checked: bool = True) -> DataFrame:
     """One row per postcode: size, weather now and next, hazard counts, level, climate."""
     counts = hazard_counts(cover, hazards_current(hazards))
     here = left_with(weather_map.select("poa_code", F.col("nearest_weather_location").alias("weather_station_name")),
-                     weather_current(weather, now, pick), {"weather_station_name": "location_name"})
+                     weather_current(weather, now, pick, checked), {"weather_station_name": "location_name"})
     climate = climate_columns(climate_map, projections)
     out = zero_fill(star(counts, [(here, "poa_code"), (climate, "poa_code")]), ["max_severity_score"])
     return out.withColumns({
@@ -110,7 +122,8 @@ def gold_current(weather: DataFrame, hazards: DataFrame, cover: DataFrame, weath
 def gold_view(weather: DataFrame, hazards: DataFrame, cover: DataFrame, weather_map: DataFrame,
               climate_map: DataFrame, projections: DataFrame, now=None, state: str = "NSW") -> DataFrame:
     """The smaller view: newest reading not after ``now``, no outlook, no worst score."""
-    wide = gold_current(weather, hazards, cover, weather_map, climate_map, projections, now, "last_before", state)
+    wide = gold_current(weather, hazards, cover, weather_map, climate_map, projections, now, "last_before", state,
+                        checked=False)
     return wide.drop("next_24h_max_temp_c", "next_24h_min_temp_c", "next_24h_total_rain_mm",
                      "next_24h_max_wind_kmh", "max_severity_score")
 
