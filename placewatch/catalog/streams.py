@@ -94,8 +94,9 @@ def replayed(t):
     _run(I.ingest(_weather_stream(t, root), f"{out}/first", f"{out}/cp1"))
     _run(I.replay(lambda: _weather_stream(t, root), f"{out}/second", f"{out}/cp2"))
     first, second = t.spark.read.parquet(f"{out}/first"), t.spark.read.parquet(f"{out}/second")
-    stamps = lambda df: df.groupBy("_source_file", "_ingest_time").agg(F.count("*").alias("n"))
-    both = stamps(first).join(stamps(second).withColumnRenamed("n", "m"), ["_source_file", "_ingest_time"], "full_outer")
+    stamps = ["_source_file", "_ingest_time"]
+    both = first.groupBy(*stamps).agg(F.count("*").alias("n")).join(
+        second.groupBy(*stamps).agg(F.count("*").alias("m")), stamps, "full_outer")
     return both.agg(F.sum("m").alias("n"), F.coalesce(F.every(F.col("n") == F.col("m")), F.lit(False)).alias("same_stamps"))
 
 

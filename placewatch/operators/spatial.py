@@ -9,7 +9,8 @@ from ..functions.geo import (EARTH_KM, PER_DEGREE, cell_at, cell_center, haversi
 from .aggregates import centroids
 
 FEW_PLACES = 256      # right sides up to this size are compared inside one expression
-DEGREES = tuple(22.5 / 8 ** n for n in range(8))   # box sizes, 22.5 degrees down to about a metre
+STEP = 4                                              # each grid is 4 x 4 finer than the one before
+DEGREES = tuple(22.5 / STEP ** n for n in range(11))  # box sizes, 22.5 degrees down to about two metres
 POINTS_PER_CELL = 64
 
 
@@ -68,27 +69,27 @@ def nearest(left: DataFrame, right: DataFrame, l_key: str, r_key: str, name: str
             digits: int = 1) -> DataFrame:
     """For every left point the closest right point and the distance in km.
 
-    Ties go to the smallest ``r_key``. ``method`` ``few`` compares each left row
+    ``l_key`` names a left row; left rows without coordinates are left out. Ties go to the smallest ``r_key``. ``method`` ``few`` compares each left row
     with all right points inside one expression (right sides of at most 256
     places, which is checked); ``grid`` narrows the right side down cell by cell
     and holds for any size. Both are exact.
     """
-    points = left.select(F.col(l_key), F.col(l_lat).alias("_lat"), F.col(l_lon).alias("_lon"))
+    points = (left.select(F.col(l_key).alias("_id"), F.col(l_lat).alias("_lat"), F.col(l_lon).alias("_lon"))
+              .where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()))
     # Only the smallest key of one spot can win.
     places = (right.where(F.col(r_lat).isNotNull() & F.col(r_lon).isNotNull())
               .groupBy(F.col(r_lat).alias("rlat"), F.col(r_lon).alias("rlon")).agg(F.min(r_key).alias("rkey")))
-    if method == "auto":
-        method = "few" if places.limit(FEW_PLACES + 1).count() <= FEW_PLACES else "grid"
-    best = _nearest_few(points, places) if method == "few" else _nearest_grid(points, places, l_key)
-    return best.select(l_key, F.col("rkey").alias(name), F.round("km", digits).alias("distance_km"))
+    n, level, crowded = _crowding(places) if method in ("auto", "grid") else (0, 0, False)
+    few = method == "few" or (method == "auto" and n <= FEW_PLACES)
+    best = _nearest_few(points, places) if few else _nearest_grid(points, places, level, crowded)
+    return best.select(F.col("_id").alias(l_key), F.col("rkey").alias(name), F.round("km", digits).alias("distance_km"))
 
 
 def _nearest_few(points: DataFrame, places: DataFrame) -> DataFrame:
     packed = places.agg(F.collect_list(F.struct("rlat", "rlon", "rkey")).alias("p")).scalar()
     best = F.array_min(F.transform("_places", lambda p: F.struct(
         haversine_km("_lat", "_lon", p["rlat"], p["rlon"]).alias("km"), p["rkey"].alias("rkey"))))
-    return (points.where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-            .withColumn("_places", packed).withColumn("_best", best).select("*", "_best.km", "_best.rkey"))
+    return points.withColumn("_places", packed).withColumn("_best", best).select("_id", "_best.km", "_best.rkey")
 
 
 def _box(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
@@ -106,28 +107,26 @@ def _at_least_km(lat: Column, lon: Column, row: Column, column: Column, size: fl
     return F.lit(EARTH_KM) * F.greatest(F.radians(dlat), across)
 
 
-def _enough_levels(places: DataFrame) -> int:
-    """Index of the first grid whose fullest box holds few places (the finest grid if none does)."""
+def _crowding(places: DataFrame) -> tuple[int, int, bool]:
+    """Number of places, the first grid whose fullest box holds few of them (the finest if none does), and
+    whether even that one is crowded."""
     at = [F.struct(F.lit(n).alias("n"), row.alias("row"), column.alias("col")) for n, (row, column) in
           enumerate(_box(F.col("rlat"), F.col("rlon"), size) for size in DEGREES)]
     held = places.select(F.explode(F.array(*at)).alias("b")).groupBy("b").agg(F.count("*").alias("held"))
-    fullest = held.groupBy("b.n").agg(F.max("held").alias("most")).collect()   # one row per grid
-    fine = [r["n"] for r in fullest if r["most"] <= POINTS_PER_CELL]
-    return min(fine, default=len(DEGREES) - 1)
+    grids = held.groupBy("b.n").agg(F.max("held").alias("most"), F.sum("held").alias("all")).collect()   # one row per grid
+    fine = [r["n"] for r in grids if r["most"] <= POINTS_PER_CELL]
+    return max((r["all"] for r in grids), default=0), min(fine, default=len(DEGREES) - 1), not fine
 
 
-def _nearest_grid(points: DataFrame, places: DataFrame, l_key: str) -> DataFrame:
-    """Exact nearest neighbour by narrowing boxes, 8 x 8 finer at each step.
+def _nearest_grid(points: DataFrame, places: DataFrame, level: int, crowded: bool) -> DataFrame:
+    """Exact nearest neighbour by narrowing boxes, 4 x 4 finer at each step.
 
     Every box carries one of its places. A box is kept while it could hold a
     place at most as far as the closest carried place seen so far; a point keeps
     a handful of boxes per step whatever the density. The boxes inside a box (at
-    most 64) are judged as one array, so only kept ones become rows. Boxes are
+    most 16) are judged as one array, so only kept ones become rows. Boxes are
     refined until they hold few places, then the places themselves are compared.
     """
-    points = points.where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()).withColumn(
-        "_id", F.struct(l_key, "_lat", "_lon"))
-    todo = points.select("_id", "_lat", "_lon").distinct()
     lat, lon, rlat, rlon = (F.col(c) for c in ("_lat", "_lon", "rlat", "rlon"))
 
     def boxes(size: float) -> DataFrame:
@@ -144,22 +143,28 @@ def _nearest_grid(points: DataFrame, places: DataFrame, l_key: str) -> DataFrame
         return (df.select("_id", "_lat", "_lon", F.explode(kept).alias("b"))
                 .select("_id", "_lat", "_lon", F.col("b.row").alias("prow"), F.col("b.col").alias("pcol")))
 
-    # The first grid has at most 8 x 16 boxes and every finer box at most 64 inner ones: bounded arrays.
+    # The first grid has at most 8 x 16 boxes and every box at most 16 inner ones: bounded arrays.
     box = F.struct("row", "col", "at")
     top = boxes(DEGREES[0]).agg(F.collect_list(box).alias("b")).scalar()
-    open_boxes = keep(todo.withColumn("_b", top), DEGREES[0], first=True)
-    level = _enough_levels(places)
+    open_boxes = keep(points.withColumn("_b", top), DEGREES[0], first=True)
     for n in range(level):
         inner = (boxes(DEGREES[n + 1])
-                 .groupBy(F.floor(F.col("row") / 8).alias("prow"), F.floor(F.col("col") / 8).alias("pcol"))
+                 .groupBy(F.floor(F.col("row") / STEP).alias("prow"), F.floor(F.col("col") / STEP).alias("pcol"))
                  .agg(F.collect_list(box).alias("_b")))
         open_boxes = keep(open_boxes.join(inner, ["prow", "pcol"]), DEGREES[n + 1])
     row, column = _box(rlat, rlon, DEGREES[level])
-    pairs = open_boxes.join(places.withColumns({"prow": row, "pcol": column}), ["prow", "pcol"])
-    km = haversine_km("_lat", "_lon", "rlat", "rlon")
-    best = (pairs.withColumn("km", km).groupBy("_id")
-            .agg(F.min(F.struct("km", "rkey")).alias("_best")))
-    return points.join(best, "_id").select(points[l_key], "_best.km", "_best.rkey")
+    near = places.withColumns({"prow": row, "pcol": column})
+    if crowded:
+        # Even the finest boxes hold many places: they stay rows.
+        found = F.struct(haversine_km("_lat", "_lon", "rlat", "rlon").alias("km"), "rkey")
+        pairs = open_boxes.join(near, ["prow", "pcol"])
+    else:
+        near = near.groupBy("prow", "pcol").agg(F.collect_list(F.struct("rlat", "rlon", "rkey")).alias("_p"))
+        found = F.array_min(F.transform("_p", lambda p: F.struct(
+            haversine_km(lat, lon, p["rlat"], p["rlon"]).alias("km"), p["rkey"].alias("rkey"))))
+        pairs = open_boxes.join(near, ["prow", "pcol"])
+    best = pairs.select("_id", found.alias("_f")).groupBy("_id").agg(F.min("_f").alias("_best"))
+    return best.select("_id", "_best.km", "_best.rkey")
 
 
 def cell_risk(cells: DataFrame, hazards: DataFrame, keys: list[str], cell: str, score: Column) -> DataFrame:
