@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chat, read_turns
 from .common import stored
+from .lines import dedup_lines
 from .packing import pack_examples, pieces
 from .shards import shuffle_to_shards
 
@@ -58,6 +59,30 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(packed).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line dedup: how many lines it had and lost, and its text as length and digest."""
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed_lines").cast("long").alias("removed_lines"),
+                      F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+OP8_SQL = """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+h AS (SELECT *, ('0x' || left(md5(line), 8))::BIGINT AS x FROM l),
+p AS (SELECT *, i > 0 AND (lag(x) OVER w * 31 + x) % 2 = 0 AS proposed FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, proposed AND NOT coalesce(lag(proposed) OVER w, false) AS ends FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e),
+c AS (
+  SELECT doc_id, k, count(*) AS n, sum((trim(line, ' ') <> '')::INT) AS worded, string_agg(line, chr(10) ORDER BY i) AS chunk
+  FROM n GROUP BY doc_id, k),
+r AS (SELECT *, n > 1 AND worded > 1 AND row_number() OVER (PARTITION BY chunk, n > 1 ORDER BY doc_id, k) > 1 AS gone FROM c)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS removed_lines,
+  CAST(length(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS BIGINT) AS kept_chars,
+  md5(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_md5
+FROM r GROUP BY doc_id"""
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shard sizes differ by one row at most."""
     rows = shuffle_to_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -66,5 +91,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op6_packing, op10_sharding)}
-ORACLES = {"op2_chat_formatting": OP2_SQL}
+QUERIES = {f.__name__: f for f in (
+    op2_chat_formatting, op6_packing, op8_line_dedup, op10_sharding)}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op8_line_dedup": OP8_SQL}
