@@ -11,6 +11,7 @@ from .common import stored
 from .lines import dedup_lines
 from .packing import pack_examples, pieces
 from .shards import shuffle_to_shards
+from .simhash import near_duplicates
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -54,6 +55,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM u GROUP BY conv_id"""
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = stored(pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)), "packed")
     return pieces(packed).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -92,5 +97,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_formatting, op6_packing, op8_line_dedup, op10_sharding)}
+    op2_chat_formatting, op4_simhash_near_dedup, op6_packing, op8_line_dedup,
+    op10_sharding)}
 ORACLES = {"op2_chat_formatting": OP2_SQL, "op8_line_dedup": OP8_SQL}
