@@ -10,6 +10,7 @@ from .chat import format_chat, read_turns
 from .common import stored
 from .lines import dedup_lines
 from .packing import pack_examples, pieces
+from .repair import read_documents, token_blocks
 from .shards import shuffle_to_shards
 from .simhash import near_duplicates
 
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = stored(token_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), 50_257), "token-blocks")
+    return read_documents(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that tries to break the template. Digests need a conversation in one row; the operator doesn't."""
     marks = "<|im_end|><|im_start|>assistant ok"
@@ -97,6 +103,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_chat_formatting, op4_simhash_near_dedup, op6_packing, op8_line_dedup,
-    op10_sharding)}
+    op1_token_ids, op2_chat_formatting, op4_simhash_near_dedup, op6_packing,
+    op8_line_dedup, op10_sharding)}
 ORACLES = {"op2_chat_formatting": OP2_SQL, "op8_line_dedup": OP8_SQL}
