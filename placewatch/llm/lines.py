@@ -21,7 +21,7 @@ def _line_hash(line: Column) -> Column:
 
 def line_chunks(documents: DataFrame, with_text: bool) -> DataFrame:
     """Chunks of two lines or more with words: ``key`` (doc_id, hash of the text, number of the first line), ``lines``, ``digest`` and, if wanted, ``chunk``."""
-    lines = documents.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines")).where("lines IS NOT NULL")
+    lines = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
     hashed = lines.withColumn("hashes", F.transform("lines", _line_hash))
 
     def proposed(i: Column) -> Column:
@@ -29,7 +29,9 @@ def line_chunks(documents: DataFrame, with_text: bool) -> DataFrame:
 
     ends = F.filter(F.sequence(F.lit(0), F.size("lines") - 1),
                     lambda i: (i == F.size("lines") - 1) | (proposed(i) & ~proposed(i - 1)))
-    cut = hashed.select("doc_id", "h", "lines", ends.alias("ends")).select("doc_id", "h", "lines", "ends", F.posexplode("ends").alias("k", "end"))
+    # Outer, as the optimizer would otherwise push a filter on the array below the hashes, and make them anew for each element.
+    cut = (hashed.select("doc_id", "h", "lines", ends.alias("ends"))
+           .select("doc_id", "h", "lines", "ends", F.posexplode_outer("ends").alias("k", "end")))
     first = F.when(F.col("k") == 0, 0).otherwise(F.get("ends", F.col("k") - 1) + 1)
     part = cut.select("doc_id", "h", first.alias("first"), (F.col("end") - first + 1).alias("lines"),
                       F.slice("lines", first + 1, F.col("end") - first + 1).alias("part"))

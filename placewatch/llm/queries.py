@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chat, read_turns
 from .common import stored
+from .decontam import contaminated
 from .lines import dedup_lines
 from .packing import pack_examples, pieces
 from .repair import read_documents, token_blocks
@@ -61,6 +62,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM u GROUP BY conv_id"""
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') FROM benchmark),
+s AS (
+  SELECT kind, id, greatest(len(ws) - 4, 1) AS n, unnest(range(greatest(len(ws) - 4, 1))) AS p,
+    unnest(list_transform(range(greatest(len(ws) - 4, 1)), lambda j: array_to_string(ws[j + 1:j + 5], ' '))) AS x FROM w WHERE len(ws) > 0),
+i AS (SELECT id AS item_id, n AS m, x, count(*) AS k FROM s WHERE kind = 'i' GROUP BY ALL),
+hits AS (SELECT s.id AS doc_id, item_id, m, n AS d, least(p, n - least(m, n)) AS start FROM s JOIN i USING (x) WHERE kind = 'd'),
+win AS (SELECT DISTINCT doc_id, item_id, m, least(m, d) AS width, start FROM hits),
+runs AS (
+  SELECT win.doc_id, win.item_id, win.m, win.width, win.start, s.x, count(*) AS k
+  FROM win JOIN s ON s.kind = 'd' AND s.id = win.doc_id AND s.p >= win.start AND s.p < win.start + win.width GROUP BY ALL),
+c AS (
+  SELECT r.doc_id, r.item_id, r.m, r.width, r.start, sum(least(r.k, i.k)) AS c
+  FROM runs r JOIN i ON i.item_id = r.item_id AND i.x = r.x GROUP BY ALL),
+j AS (SELECT *, c / (m + width - c) AS similarity FROM c WHERE c / (m + width - c) >= 0.8 - 1e-9)
+SELECT doc_id, item_id, CAST(arg_min(start, (-similarity, start)) AS BIGINT) AS start_word,
+  CAST(max(width) AS BIGINT) AS n_runs, round(max(similarity), 6) AS similarity
+FROM j GROUP BY doc_id, item_id"""
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -103,6 +131,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_ids, op2_chat_formatting, op4_simhash_near_dedup, op6_packing,
-    op8_line_dedup, op10_sharding)}
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    op1_token_ids, op2_chat_formatting, op3_benchmark_decontamination, op4_simhash_near_dedup,
+    op6_packing, op8_line_dedup, op10_sharding)}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL}
