@@ -9,8 +9,6 @@ and the similarity of the shingle multisets decides.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,25 +36,18 @@ def hashed(df: DataFrame, words: int, *carried: str | Column) -> DataFrame:
 
 def with_fingerprint(df: DataFrame, hashes: str, name: str) -> DataFrame:
     """Adds ``name``: bit i is 1 if it is set in over half the hashes of the array ``hashes``."""
-    zero = F.lit(0).cast("long")
-
-    def lane(i: int) -> Column:
-        return F.aggregate(hashes, zero, lambda n, x: n + F.shiftrightunsigned(x, i).bitwiseAND(F.lit(LANES)))
-
-    def bit(i: int) -> Column:
-        ones = F.shiftrightunsigned(F.get("_lanes", F.lit(i % 16)), i - i % 16).bitwiseAND(F.lit(LONGEST))
-        return F.when(ones * 2 > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(zero)
-
-    counted = df.withColumn("_lanes", F.array(*map(lane, range(16))))
-    return counted.withColumn(name, reduce(lambda a, b: a.bitwiseOR(b), map(bit, range(64)))).drop("_lanes")
+    lanes = [f"aggregate({hashes}, 0L, (n, x) -> n + (shiftrightunsigned(x, {i}) & {LANES}L))" for i in range(16)]
+    bits = [f"IF((shiftrightunsigned(_lanes[{i % 16}], {i - i % 16}) & {LONGEST}L) * 2 > size({hashes}), shiftleft(1L, {i}), 0L)" for i in range(64)]
+    counted = df.withColumn("_lanes", F.expr(f"array({', '.join(lanes)})"))
+    return counted.withColumn(name, F.expr(" | ".join(bits))).drop("_lanes")
 
 
-def _blocks(fp: Column, size: Column, radius: int) -> Column:
+def _blocks(fp: str, size: str, radius: int) -> str:
     """A key for each of ``radius + 1`` blocks of a fingerprint: equal keys mean an equal block in windows of one size."""
     bounds = [64 * j // (radius + 1) for j in range(radius + 2)]
-    return F.array(*[F.struct(size.alias("size"), F.lit(j).alias("block"),
-                              F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1)).alias("bits"))
-                     for j, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False))])
+    keys = [f"struct({size} AS size, {j} AS block, shiftrightunsigned({fp}, {low}) & {(1 << (high - low)) - 1}L AS bits)"
+            for j, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    return f"array({', '.join(keys)})"
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -121,13 +112,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = 5, sim
     cut = cut.select("doc_id", "w.start", "w.size", F.slice("_h", F.col("w.start") + 1, F.col("w.width")).alias("runs"))
     prints = stored(with_fingerprint(cut, "runs", "window_fp"), "windows")
 
-    keyed = prints.select("*", F.explode(_blocks(F.col("window_fp"), F.col("size"), radius)).alias("key"))
-    table = items.select("item_id", "fp", F.col("_h").alias("item_runs"), F.explode(_blocks(F.col("fp"), F.col("m"), radius)).alias("key"))
+    of_window, of_item = _blocks("window_fp", "size", radius), _blocks("fp", "m", radius)
+    keyed = prints.select("*", F.expr(of_window).alias("blocks")).select("*", F.explode("blocks").alias("key"))
+    table = items.select("item_id", "fp", F.col("_h").alias("item_runs"), F.expr(of_item).alias("item_blocks")).select("*", F.explode("item_blocks").alias("key"))
     near = keyed.join(table, "key").where(F.bit_count(F.col("window_fp").bitwiseXOR(F.col("fp"))) <= radius)
     # The same pair comes once for each equal block: only the first of them counts.
-    first = F.array_position(F.zip_with(_blocks(F.col("window_fp"), F.col("size"), radius), _blocks(F.col("fp"), F.col("size"), radius),
-                                        lambda a, b: a["bits"] == b["bits"]), True) - 1
-    near = near.where(F.col("key.block") == first)
+    near = near.where("key.block = array_position(zip_with(blocks, item_blocks, (a, b) -> a.bits = b.bits), true) - 1")
     shared = _shared(F.col("runs"), F.col("item_runs"))
     score = near.select("doc_id", "item_id", "start", F.size("runs").alias("n"), shared.alias("c"), F.size("item_runs").alias("m"))
     score = score.withColumn("similarity", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("similarity") >= similarity - 1e-9)

@@ -69,18 +69,16 @@ def fingerprints(df: DataFrame, words: int = 4, distinct: bool = False, carried:
     return kept.mapInArrow(hashed, schema)
 
 
-def differing_bits(a: Column | str, b: Column | str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)) if isinstance(a, str) else a.bitwiseXOR(b))
+def differing_bits(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
 def _keyed(nodes: DataFrame, segments: int) -> DataFrame:
     """A row for each key of a node: a segment's number and one value of its ball of radius 1."""
     bounds = [64 * j // segments for j in range(segments + 1)]
-    keys = []
-    for j, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        value = F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-        keys += [value.bitwiseXOR(F.lit(flip)).bitwiseOR(F.lit(j << 40)) for flip in [0, *(1 << i for i in range(high - low))]]
-    return nodes.withColumn("key", F.explode(F.array(*keys)))
+    keys = [f"((shiftrightunsigned(fp, {low}) & {(1 << (high - low)) - 1}L) ^ {flip}L) | {j << 40}L"
+            for j, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)) for flip in [0, *(1 << i for i in range(high - low))]]
+    return nodes.withColumn("key", F.explode(F.expr(f"array({', '.join(keys)})")))
 
 
 def linked(nodes: DataFrame, radius: int = 4, segments: int = 2, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -104,7 +102,7 @@ def linked(nodes: DataFrame, radius: int = 4, segments: int = 2, verify: Callabl
 
     # Each node and the smallest node of a key.
     least = F.min(F.struct("node", "fp")).over(Window.partitionBy("key"))
-    star = _keyed(near, segments).withColumn("least", least).where((F.col("node") != F.col("least.node")) & (differing_bits(F.col("fp"), F.col("least.fp")) <= radius))
+    star = _keyed(near, segments).withColumn("least", least).where((F.col("node") != F.col("least.node")) & (differing_bits("fp", "least.fp") <= radius))
     first = components(links(star.select(F.col("node").alias("a"), F.col("least.node").alias("b"))))
     # Pairs that would join two components: keys under which only one component is met are done.
     named = near.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
