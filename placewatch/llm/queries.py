@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chat, read_turns
+from .chunks import repeated_passages
 from .common import stored
 from .decontam import contaminated
 from .lines import dedup_lines
 from .packing import pack_examples, pieces
+from .quality import judge_quality, learn_quality
 from .repair import read_documents, token_blocks
 from .shards import shuffle_to_shards
 from .simhash import near_duplicates
+from .toxicity import learn_toxicity, score_toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -93,11 +96,22 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that substring dedup removes: where each lies, and the document that keeps its first occurrence."""
+    out = repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "first_doc_id", F.col("start").alias("start_byte"), F.col("bytes").alias("n_bytes"), F.col("words").alias("n_words"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = stored(pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)), "packed")
     return pieces(packed).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return judge_quality(documents, learn_quality(documents, table(spark, sf_dir, "labels")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: how many lines it had and lost, and its text as length and digest."""
     out = dedup_lines(table(spark, sf_dir, "documents"))
@@ -122,6 +136,13 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n
 FROM r GROUP BY doc_id"""
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scores = score_toxicity(documents, learn_toxicity(documents, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shard sizes differ by one row at most."""
     rows = shuffle_to_shards(table(spark, sf_dir, "documents"), shards=8)
@@ -132,5 +153,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_chat_formatting, op3_benchmark_decontamination, op4_simhash_near_dedup,
-    op6_packing, op8_line_dedup, op10_sharding)}
+    op5_substring_dedup, op6_packing, op7_quality_rules, op8_line_dedup,
+    op9_toxicity, op10_sharding)}
 ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL}
