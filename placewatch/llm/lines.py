@@ -54,11 +54,11 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     return line_chunks(documents, False).join(known, "digest").where("key != kept").select("key", "lines").distinct()
 
 
-def dedup_lines(documents: DataFrame, text_length: str | None = None) -> DataFrame:
+def dedup_lines(documents: DataFrame, text_length: str | None = None, counted: bool = False) -> DataFrame:
     """``documents`` without repeated multi-line chunks, the first occurrence stays; one row for each row, other columns as they are.
 
-    Adds ``_lines`` and ``_removed_lines``. The column named ``text_length``,
-    if given, gets the new length of the text. A null text stays null with 0
+    ``counted`` adds ``_lines`` and ``_removed_lines``. The column named
+    ``text_length``, if given, gets the new length of the text. A null text stays null with 0
     lines; an empty text has one line; a text all of whose lines go becomes
     empty. Rows equal in doc_id and text are one document and are treated
     alike; a null doc_id comes first in order. Lines of blanks count as lines
@@ -81,4 +81,4 @@ def dedup_lines(documents: DataFrame, text_length: str | None = None) -> DataFra
     out = met.select("_row", text.alias("_text"), F.when(F.col("_all").isNull(), 0).otherwise(F.size("_all")).alias("_lines"),
                      F.coalesce(count, F.lit(0)).alias("_removed_lines"))
     new = {"text": F.col("_text"), **({text_length: F.length("_text").cast(documents.schema[text_length].dataType)} if text_length else {})}
-    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in documents.columns], "_lines", "_removed_lines")
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in documents.columns], *(["_lines", "_removed_lines"] if counted else []))

@@ -114,7 +114,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after line dedup: how many lines it had and lost, and its text as length and digest."""
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), counted=True)
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed_lines").cast("long").alias("removed_lines"),
                       F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 

@@ -22,7 +22,7 @@ from .learn import Model, fit, labelled, probability, sparse_rows
 #: Lengths of beginnings that are terms.
 BEGINNINGS = (4, 5)
 #: Least texts with a term, least distance from chance in standard deviations, most terms in the model, factors of a term.
-LEAST_TEXTS, LEAST_Z, MOST_TERMS, FACTORS = 5, 4.0, 20_000, 6
+LEAST_TEXTS, LEAST_Z, MOST_TERMS, FACTORS = 4, 4.0, 20_000, 6
 #: Words whose terms a worker keeps.
 CACHED = 200_000
 MARKS = ".,;:!?\"'()[]{}*#$%&|<>-"
@@ -88,7 +88,7 @@ def learn_toxicity(documents: DataFrame, labels: DataFrame, rows: int = 8_000) -
     kept = telling(at, y)
     place = {int(h): i for i, h in enumerate(kept.view(np.uint32))}
     own = [np.flatnonzero(np.isin(kept, a, assume_unique=True)) for a in at]
-    model = fit(own, [np.ones(len(a)) for a in own], y, len(kept), FACTORS) if len(y) else Model(0.0, np.zeros(0, np.float32))
+    model = fit(own, [np.ones(len(a)) for a in own], y, len(kept), FACTORS, epochs=30) if len(y) else Model(0.0, np.zeros(0, np.float32))
     return ToxicityModel(model, place, str(zlib.crc32(model.weights.tobytes() + kept.tobytes())))
 
 
