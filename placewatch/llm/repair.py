@@ -32,7 +32,7 @@ _SLOTS = 2**18
 
 
 def _chosen(pairs: np.ndarray, room: int) -> np.ndarray:
-    """The most frequent pairs, the most frequent first, each in a slot of its own of the look-up table."""
+    """The most frequent pairs, the most frequent first (ties mixed), each in a slot of its own of the look-up table."""
     s = np.sort(pairs)
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     count = np.diff(np.append(first, len(s)))
@@ -40,8 +40,8 @@ def _chosen(pairs: np.ndarray, room: int) -> np.ndarray:
     take = min(PAIRS, room)
     if len(often) > take:
         often = often[np.argpartition(-count[often], take - 1)[:take]] if take else often[:0]
-    often = often[np.argsort(-count[often], kind="stable")]
     found = s[first[often]]
+    found = found[np.lexsort((_slot(found), -count[often]))]
     _, alone = np.unique(_slot(found), return_index=True)
     return found[np.sort(alone)]
 
@@ -66,10 +66,14 @@ def compress(ids: np.ndarray, first_rule: int) -> dict:
         rank[_slot(found)] = np.arange(len(found), dtype=np.uint16)
         own = rank[_slot(pairs)]
         own[np.append(found, np.uint32(0))[own] != pairs] = len(found)
-        # Of two overlapping pairs the more frequent is replaced, of two alike the first.
+        # In a run of one id every second pair is left out; of two overlapping pairs the more frequent is replaced.
+        run = np.flatnonzero((own[1:] == own[:-1]) & (own[1:] < len(found))) + 1
+        if len(run):
+            first = np.maximum.accumulate(np.where(np.diff(run, prepend=-1) != 1, np.arange(len(run)), 0))
+            own[run[(np.arange(len(run)) - first) % 2 == 0]] = len(found)
         before = np.append(np.uint16(len(found)), own[:-1])
         after = np.append(own[1:], np.uint16(len(found)))
-        at = np.flatnonzero((own < len(found)) & (own < before) & (own <= after))
+        at = np.flatnonzero((own < len(found)) & (own < before) & (own < after))
         used = np.bincount(own[at], minlength=len(found)) >= 2
         at = at[used[own[at]]]
         if not len(at):
