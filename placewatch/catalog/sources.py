@@ -39,17 +39,18 @@ def parallel_arrays(t):
 
 
 FEATURES = ("""concat('{"features":[{"id":"', o_orderkey, '","properties":{"mainCategory":"', o_orderpriority, '","headline":"', CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'H' END, """
-            """'","isMajor":', CASE WHEN o_totalprice > 450000 THEN 'true' ELSE 'false' END, ',"ended":null,"created":', 1700000000000 + o_orderkey, ',"roads":[{"mainStreet":"M"}]},'"""
+            """'","isMajor":', CASE WHEN o_totalprice > 450000 THEN 'true' ELSE 'false' END, ',"ended":null,"created":', 1700000000000 + o_orderkey, ',"encodedPolylines":["a",{"coords":"xy"}],"roads":[{"suburb":"S","mainStreet":"M","region":"SYD","delay":"5"}]},'"""
             """, '"geometry":{"coordinates":[150.5,-33.25]}},{"id":', o_orderkey + 1, ',"properties":{"ended":true},"geometry":{"coordinates":[150.5]}}]}')""")
 
 
 @query("SRC-05", """
     SELECT CAST(o_orderkey AS VARCHAR) AS hazard_id, o_orderpriority AS main_category, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'H' END AS headline,
-           o_totalprice > 450000 AS is_major, CAST(NULL AS BOOLEAN) AS ended, 150.5 AS longitude, -33.25 AS latitude, '[{"mainStreet":"M"}]' AS roads_json, 'flood' AS hazard_type FROM orders
-    UNION ALL SELECT CAST(o_orderkey + 1 AS VARCHAR), NULL, NULL, NULL, true, NULL, NULL, '[]', 'flood' FROM orders""")
+           o_totalprice > 450000 AS is_major, CAST(NULL AS BOOLEAN) AS ended, 150.5 AS longitude, -33.25 AS latitude, '[{"suburb":"S","mainStreet":"M","region":"SYD","delay":"5"}]' AS roads_json,
+           '["a",{"coords":"xy"}]' AS encoded_polylines_json, 'flood' AS hazard_type FROM orders
+    UNION ALL SELECT CAST(o_orderkey + 1 AS VARCHAR), NULL, NULL, NULL, true, NULL, NULL, '[]', '[]', 'flood' FROM orders""")
 def features(t):
     flat = L.flatten_features(t.orders.select(F.expr(FEATURES).alias("body")), "body", "flood")
-    return flat.select("hazard_id", "main_category", "headline", "is_major", "ended", "longitude", "latitude", "roads_json", "hazard_type")
+    return flat.select("hazard_id", "main_category", "headline", "is_major", "ended", "longitude", "latitude", "roads_json", "encoded_polylines_json", "hazard_type")
 
 
 @query("SRC-07", """
@@ -90,7 +91,7 @@ def nested_codes(t):
     first = F.concat(F.lit('{"id":"0'), (F.col("c_custkey") % 10).cast("string"), F.lit('","name":"'), F.col("c_name"), F.lit('"}'))
     codes = F.concat(F.lit('"codes":['), first, F.lit(',{"id":"A","name":'), both, F.lit('},{"name":"no id"}]'))
     body = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("{"), codes, F.lit("}"))).otherwise(
-        F.concat(F.lit('{"meta":[1,{"x":2}],"data":{"codelists":[{"id":"cl",'), codes, F.lit("}]}}")))
+        F.concat(F.lit('{"meta":[1,{"x":2}],"data":{"a":{"b":{"c":{"d":{"codelists":[{"id":"cl",'), codes, F.lit('},{"codes":[{"id":"second"}]}]}}}}},"codes":7}')))
     return SF.code_list(t.customer.select("c_custkey", body.alias("body")), "c_custkey", "body")
 
 

@@ -81,8 +81,8 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
 
 
 def wkt_to_points(wkt: str | Column) -> Column:
-    """Outer ring of a POLYGON text as [[lat, lng], ...] (axes swapped)."""
-    body = F.replace(F.replace(as_col(wkt), F.lit("POLYGON((")), F.lit("))"))
-    pairs = F.transform(F.split(body, ","), lambda p: F.split(F.trim(p), " "))
+    """Outer ring of a POLYGON text as [[lat, lng], ...] (axes swapped); holes are left out, a number that is none is NULL."""
+    ring = F.regexp_extract(as_col(wkt), r"\(([^()]+)\)", 1)
+    pairs = F.transform(F.split(ring, ","), lambda p: F.split(F.trim(p), r"\s+"))
     return F.transform(F.filter(pairs, lambda p: F.size(p) == 2),
-                       lambda p: F.array(p[1].cast("double"), p[0].cast("double")))
+                       lambda p: F.array(p[1].try_cast("double"), p[0].try_cast("double")))

@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from ..functions.common import as_col, moment, seconds
 
 
-def latest_batch(df: DataFrame, batch_col: str = "_ingest_time", as_of=None) -> DataFrame:
+def latest_batch(df: DataFrame, batch_col: str = "_ingest_time", as_of=None, day_col: str = "_ingest_date") -> DataFrame:
     """All rows of the newest batch (not later than ``as_of``).
 
     The newest batch time is a scalar subquery, so the filter reaches the scan
     and no row is moved; a window over the whole table would go to one task.
+    Tables kept in day folders (``append_batch``) are read by folder: first the
+    newest day, then the newest time inside it.
     """
     seen = df if as_of is None else df.where(F.col(batch_col) <= moment(df, batch_col, as_of))
+    if day_col in df.columns:
+        if as_of is not None:
+            seen = seen.where(F.col(day_col) <= F.to_date(moment(df, batch_col, as_of)))
+        newest = F.col(day_col) == seen.agg(F.max(day_col)).scalar()
+        df, seen = df.where(newest), seen.where(newest)
     return df.where(F.col(batch_col) == seen.agg(F.max(batch_col)).scalar())
 
 
@@ -78,7 +85,7 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order_by: list
     """``target`` after a merge: source rows replace rows of the same key, new keys are added.
 
     With ``order_by`` the largest row per key of the source is used; without it
-    a repeated key in the source is an error.
+    a repeated key in the source is an error. NULL keys are equal to each other.
     """
     if order_by:
         source = latest_per_key(source, keys, order_by)
@@ -88,12 +95,10 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order_by: list
         checked = F.when(F.col("_n") == 1, F.col("_row")).otherwise(
             F.raise_error(F.lit("upsert: the source has more than one row for a key")))
         source = packed.select(*keys, checked.alias("_row")).select(*keys, "_row.*")
-    source = source.select(*[F.col(c).alias(f"_new_{c}") if c not in keys else F.col(c) for c in target.columns],
-                           F.lit(True).alias("_hit"))
-    both = target.join(source, keys, "full_outer")
-    return both.select(*[c if c in keys else
-                         F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-                         for c in target.columns])
+    source = source.select(*[F.col(c).alias(f"_new_{c}") for c in target.columns], F.lit(True).alias("_hit"))
+    same = reduce(lambda a, b: a & b, [target[k].eqNullSafe(source[f"_new_{k}"]) for k in keys])
+    both = target.join(source, same, "full_outer")
+    return both.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in target.columns])
 
 
 def within(ts: str, at: Column, hours: int = 24) -> Column:

@@ -124,5 +124,7 @@ def audit(spark: SparkSession, run_id: str, dataset: str, action: str, metrics:
     return spark.createDataFrame(made, head).withColumn("at", F.current_timestamp())
 
 
-def audit_events(log: DataFrame, event_type: str, limit: int = 50) -> DataFrame:
-    return log.where(F.col("event_type") == event_type).orderBy(F.desc("at"), "dataset", "rule").limit(limit)
+def audit_events(log: DataFrame, event_type: str, limit: int | None = None) -> DataFrame:
+    """Events of one type, the newest first; all of them unless a ``limit`` is asked for."""
+    found = log.where(F.col("event_type") == event_type).orderBy(F.desc("at"), "dataset", "rule")
+    return found if limit is None else found.limit(limit)

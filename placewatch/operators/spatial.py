@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import (EARTH_KM, PER_DEGREE, cell_at, cell_center, haversine_km)
 from .aggregates import centroids
 
-FEW_PLACES = 256      # right sides up to this size are compared inside one expression
 STEP = 4                                              # each grid is 4 x 4 finer than the one before
 DEGREES = tuple(22.5 / STEP ** n for n in range(11))  # box sizes, 22.5 degrees down to about two metres
 POINTS_PER_CELL = 64
+POINT_CELL = 1 / 64                                   # left points are narrowed down by cells of so many degrees
 
 
 def edges(polygons: DataFrame, key: str, wkt: str) -> DataFrame:
@@ -23,7 +25,7 @@ def edges(polygons: DataFrame, key: str, wkt: str) -> DataFrame:
     return (polygons.where(F.col(wkt).isNotNull()).select(key, ring.alias("_ring"))
             .select(key, points.alias("_pts")).where(F.size("_pts") > 1)
             .select(key, F.explode(pairs).alias("e"))
-            .select(key, *[F.col("e")[s][i].cast("double").alias(n)
+            .select(key, *[F.get(F.col("e")[s], F.lit(i)).try_cast("double").alias(n)
                            for s, i, n in (("a", 0, "x1"), ("a", 1, "y1"), ("b", 0, "x2"), ("b", 1, "y2"))]))
 
 
@@ -64,32 +66,31 @@ def cover_centroids(cells: DataFrame, key: str, cell: str = "h3_cell", per_degre
                      .select(key, F.col("_c.lat").alias("_lat"), F.col("_c.lon").alias("_lon")), key, "_lat", "_lon")
 
 
-def nearest(left: DataFrame, right: DataFrame, l_key: str, r_key: str, name: str, method: str = "auto",
+def nearest(left: DataFrame, right: DataFrame, l_key: str, r_key: str, name: str,
             l_lat: str = "lat", l_lon: str = "lon", r_lat: str = "lat", r_lon: str = "lon",
             digits: int = 1) -> DataFrame:
-    """For every left point the closest right point and the distance in km.
+    """For every left row the closest right point and the distance in km; exact, one method for every size.
 
-    ``l_key`` names a left row; left rows without coordinates are left out. Ties go to the smallest ``r_key``. ``method`` ``few`` compares each left row
-    with all right points inside one expression (right sides of at most 256
-    places, which is checked); ``grid`` narrows the right side down cell by cell
-    and holds for any size. Both are exact.
+    A row of the result for each left row, also where ``l_key`` repeats; left
+    rows without coordinates are left out. Ties go to the smallest ``r_key``.
+    Left points are first reduced to the cells they lie in; boxes of the right
+    side are narrowed down per cell, then each point meets the few places its
+    cell has kept.
     """
-    points = (left.select(F.col(l_key).alias("_id"), F.col(l_lat).alias("_lat"), F.col(l_lon).alias("_lon"))
-              .where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()))
+    rows = (left.select(F.col(l_key).alias("_key"), F.col(l_lat).alias("_lat"), F.col(l_lon).alias("_lon"))
+            .where(F.col("_lat").isNotNull() & F.col("_lon").isNotNull()))
     # Only the smallest key of one spot can win.
     places = (right.where(F.col(r_lat).isNotNull() & F.col(r_lon).isNotNull())
               .groupBy(F.col(r_lat).alias("rlat"), F.col(r_lon).alias("rlon")).agg(F.min(r_key).alias("rkey")))
-    n, level, crowded = _crowding(places) if method in ("auto", "grid") else (0, 0, False)
-    few = method == "few" or (method == "auto" and n <= FEW_PLACES)
-    best = _nearest_few(points, places) if few else _nearest_grid(points, places, level, crowded)
-    return best.select(F.col("_id").alias(l_key), F.col("rkey").alias(name), F.round("km", digits).alias("distance_km"))
-
-
-def _nearest_few(points: DataFrame, places: DataFrame) -> DataFrame:
-    packed = places.agg(F.collect_list(F.struct("rlat", "rlon", "rkey")).alias("p")).scalar()
-    best = F.array_min(F.transform("_places", lambda p: F.struct(
-        haversine_km("_lat", "_lon", p["rlat"], p["rlon"]).alias("km"), p["rkey"].alias("rkey"))))
-    return points.withColumn("_places", packed).withColumn("_best", best).select("_id", "_best.km", "_best.rkey")
+    row, column = _box(F.col("_lat"), F.col("_lon"), POINT_CELL)
+    spots = rows.select("_lat", "_lon").distinct().select(F.struct(row.alias("row"), column.alias("col")).alias("_id"), "_lat", "_lon")
+    middle = ((F.col("_id.row") + 0.5) * POINT_CELL - 90.0, (F.col("_id.col") + 0.5) * POINT_CELL - 180.0)
+    cells = spots.select("_id").distinct().select("_id", middle[0].alias("_lat"), middle[1].alias("_lon"))
+    kept = _places_of_cells(cells, places)
+    found = F.min(F.struct(haversine_km("_lat", "_lon", "rlat", "rlon").alias("km"), "rkey")).alias("_best")
+    best = spots.join(kept, "_id").groupBy("_lat", "_lon").agg(found)
+    return (rows.join(best, ["_lat", "_lon"])
+            .select(F.col("_key").alias(l_key), F.col("_best.rkey").alias(name), F.round("_best.km", digits).alias("distance_km")))
 
 
 def _box(lat: Column, lon: Column, size: float) -> tuple[Column, Column]:
@@ -107,27 +108,27 @@ def _at_least_km(lat: Column, lon: Column, row: Column, column: Column, size: fl
     return F.lit(EARTH_KM) * F.greatest(F.radians(dlat), across)
 
 
-def _crowding(places: DataFrame) -> tuple[int, int, bool]:
-    """Number of places, the first grid whose fullest box holds few of them (the finest if none does), and
-    whether even that one is crowded."""
+def _finest(places: DataFrame) -> int:
+    """The first grid whose fullest box holds few places; the finest if none does. It only says when to stop narrowing."""
     at = [F.struct(F.lit(n).alias("n"), row.alias("row"), column.alias("col")) for n, (row, column) in
           enumerate(_box(F.col("rlat"), F.col("rlon"), size) for size in DEGREES)]
     held = places.select(F.explode(F.array(*at)).alias("b")).groupBy("b").agg(F.count("*").alias("held"))
-    grids = held.groupBy("b.n").agg(F.max("held").alias("most"), F.sum("held").alias("all")).collect()   # one row per grid
-    fine = [r["n"] for r in grids if r["most"] <= POINTS_PER_CELL]
-    return max((r["all"] for r in grids), default=0), min(fine, default=len(DEGREES) - 1), not fine
+    grids = held.groupBy("b.n").agg(F.max("held").alias("most")).collect()   # one row per grid
+    return min((r["n"] for r in grids if r["most"] <= POINTS_PER_CELL), default=len(DEGREES) - 1)
 
 
-def _nearest_grid(points: DataFrame, places: DataFrame, level: int, crowded: bool) -> DataFrame:
-    """Exact nearest neighbour by narrowing boxes, 4 x 4 finer at each step.
+def _places_of_cells(cells: DataFrame, places: DataFrame) -> DataFrame:
+    """(_id, rlat, rlon, rkey): for every cell the places that may be closest to some point in it.
 
-    Every box carries one of its places. A box is kept while it could hold a
-    place at most as far as the closest carried place seen so far; a point keeps
-    a handful of boxes per step whatever the density. The boxes inside a box (at
-    most 16) are judged as one array, so only kept ones become rows. Boxes are
-    refined until they hold few places, then the places themselves are compared.
+    Every box of places carries one of them. No point of a cell is further than
+    ``reach`` from its middle, so a box is kept while its distance from the
+    middle is at most that of the closest carried place and twice the reach.
+    Boxes become 4 x 4 finer at each step; the boxes inside a box (at most 16)
+    are judged as one array, so only kept ones become rows.
     """
     lat, lon, rlat, rlon = (F.col(c) for c in ("_lat", "_lon", "rlat", "rlon"))
+    reach = EARTH_KM * math.radians(POINT_CELL) * math.sqrt(0.5) * 1.001
+    level = _finest(places)
 
     def boxes(size: float) -> DataFrame:
         row, column = _box(rlat, rlon, size)
@@ -138,7 +139,7 @@ def _nearest_grid(points: DataFrame, places: DataFrame, level: int, crowded: boo
         seen = F.array_min(F.transform("_b", lambda b: haversine_km(lat, lon, b["at"]["rlat"], b["at"]["rlon"])))
         df = df.withColumn("_seen", seen)
         limit = F.col("_seen") if first else F.min("_seen").over(Window.partitionBy("_id"))
-        df = df.withColumn("_limit", limit * 1.000000001 + 1e-6)
+        df = df.withColumn("_limit", limit * 1.000000001 + (2 * reach + 1e-6))
         kept = F.filter("_b", lambda b: _at_least_km(lat, lon, b["row"], b["col"], size) <= F.col("_limit"))
         return (df.select("_id", "_lat", "_lon", F.explode(kept).alias("b"))
                 .select("_id", "_lat", "_lon", F.col("b.row").alias("prow"), F.col("b.col").alias("pcol")))
@@ -146,25 +147,17 @@ def _nearest_grid(points: DataFrame, places: DataFrame, level: int, crowded: boo
     # The first grid has at most 8 x 16 boxes and every box at most 16 inner ones: bounded arrays.
     box = F.struct("row", "col", "at")
     top = boxes(DEGREES[0]).agg(F.collect_list(box).alias("b")).scalar()
-    open_boxes = keep(points.withColumn("_b", top), DEGREES[0], first=True)
+    open_boxes = keep(cells.withColumn("_b", top), DEGREES[0], first=True)
     for n in range(level):
         inner = (boxes(DEGREES[n + 1])
                  .groupBy(F.floor(F.col("row") / STEP).alias("prow"), F.floor(F.col("col") / STEP).alias("pcol"))
                  .agg(F.collect_list(box).alias("_b")))
         open_boxes = keep(open_boxes.join(inner, ["prow", "pcol"]), DEGREES[n + 1])
     row, column = _box(rlat, rlon, DEGREES[level])
-    near = places.withColumns({"prow": row, "pcol": column})
-    if crowded:
-        # Even the finest boxes hold many places: they stay rows.
-        found = F.struct(haversine_km("_lat", "_lon", "rlat", "rlon").alias("km"), "rkey")
-        pairs = open_boxes.join(near, ["prow", "pcol"])
-    else:
-        near = near.groupBy("prow", "pcol").agg(F.collect_list(F.struct("rlat", "rlon", "rkey")).alias("_p"))
-        found = F.array_min(F.transform("_p", lambda p: F.struct(
-            haversine_km(lat, lon, p["rlat"], p["rlon"]).alias("km"), p["rkey"].alias("rkey"))))
-        pairs = open_boxes.join(near, ["prow", "pcol"])
-    best = pairs.select("_id", found.alias("_f")).groupBy("_id").agg(F.min("_f").alias("_best"))
-    return best.select("_id", "_best.km", "_best.rkey")
+    pairs = open_boxes.join(places.withColumns({"prow": row, "pcol": column}), ["prow", "pcol"])
+    far = haversine_km("_lat", "_lon", "rlat", "rlon")
+    near = pairs.withColumn("_km", far).withColumn("_least", F.min("_km").over(Window.partitionBy("_id")))
+    return near.where(F.col("_km") <= F.col("_least") * 1.000000001 + (2 * reach + 1e-6)).select("_id", "rlat", "rlon", "rkey")
 
 
 def cell_risk(cells: DataFrame, hazards: DataFrame, keys: list[str], cell: str, score: Column) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .history import top_per_key
+from ..sources.sinks import scratch
+from .history import top_per_key, union_all
 
-QUERY_BYTES = 32 * 1024 * 1024   # queries that every task may hold as one matrix
-BLOCK_ROWS = 4096                # rows of a block where both sides are cut into blocks
+BLOCK_ROWS = 4096                # queries that every task holds as one matrix
 SCORES = 4_000_000               # scores a task computes at a time
 RANK_DIGITS = 10                 # scores equal to this many digits are ties
 
@@ -53,28 +53,40 @@ def _best(queries: np.ndarray, ids: np.ndarray, rows: pd.DataFrame, k: int) -> p
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, q_id: str = "query_id", q_vec: str = "embedding",
-          c_id: str = "chunk_id", c_vec: str = "embedding", digits: int = 4, method: str = "auto") -> DataFrame:
+          c_id: str = "chunk_id", c_vec: str = "embedding", digits: int = 4, block: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest corpus rows of every query by cosine: (q_id, c_id, rank, score).
 
-    Ties go to the smallest corpus id. With ``scan`` the
-    queries (bounded by their checked size) travel to the corpus, which is read
-    once and never shuffled. With ``blocks`` both sides are cut into blocks that
-    meet pairwise; either way a task emits only its best rows per query.
+    Ties go to the smallest corpus id. The queries travel to the corpus in
+    blocks of about ``block`` rows, one pass over the corpus for each, so what a
+    task or the driver holds is bounded for any number of queries; the corpus
+    is never shuffled and a task emits its best ``k`` rows per query.
     """
     asked = queries.select(F.col(q_id).alias("_q"), F.col(q_vec).cast("array<double>").alias("_v")).where("size(_v) > 0")
     rows = corpus.select(F.col(c_id).alias("_c"), F.col(c_vec).cast("array<double>").alias("_v")).where("size(_v) > 0")
     out = T.StructType([T.StructField("_q", asked.schema["_q"].dataType),
                         T.StructField("_c", rows.schema["_c"].dataType), T.StructField("score", T.DoubleType())])
-    if method == "auto":
-        size = asked.agg(F.sum(F.size("_v") * 8 + 64)).first()[0] or 0
-        method = "scan" if size <= QUERY_BYTES else "blocks"
-    found = _scan(asked, rows, k, out) if method == "scan" else _blocks(asked, rows, k, out)
+    found = union_all([_scan(part, rows, k, out) for part in _parts(asked, block)])
     ranked = top_per_key(found, ["_q"], [F.desc("score"), F.asc("_c")], k, rank="rank")
     return ranked.select(F.col("_q").alias(q_id), F.col("_c").alias(c_id), "rank", F.round("score", digits).alias("score"))
 
 
-def _scan(asked: DataFrame, rows: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    held = asked.toPandas()      # bounded: checked against QUERY_BYTES by the caller
+def _parts(asked: DataFrame, block: int) -> Iterator[pd.DataFrame]:
+    """The queries, written once and read back block by block in file order."""
+    path = scratch(asked.sparkSession, "queries")
+    asked.write.option("maxRecordsPerFile", block).parquet(path)
+    stored = asked.sparkSession.read.schema(asked.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    sizes = [(r["_file"], r["count"]) for r in stored.groupBy("_file").count().orderBy("_file").collect()]   # one row per file
+    some, held = [], 0
+    for n, (file, rows) in enumerate(sizes):
+        some, held = [*some, file], held + rows
+        if n + 1 == len(sizes) or held + sizes[n + 1][1] > block:
+            yield stored.where(F.col("_file").isin(some)).drop("_file").toPandas()
+            some, held = [], 0
+    if not sizes:
+        yield pd.DataFrame({"_q": [], "_v": []})
+
+
+def _scan(held: pd.DataFrame, rows: DataFrame, k: int, out: T.StructType) -> DataFrame:
     if held.empty:
         return rows.sparkSession.createDataFrame([], out)
     shared = rows.sparkSession.sparkContext.broadcast((held["_q"].to_numpy(), _unit(_matrix(held["_v"]))))
@@ -92,22 +104,6 @@ def _scan(asked: DataFrame, rows: DataFrame, k: int, out: T.StructType) -> DataF
     return rows.mapInPandas(run, out)
 
 
-def _blocks(asked: DataFrame, rows: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    """Blocks of queries against blocks of corpus rows, one task per pair of blocks."""
-    n_q = max(1, -(-asked.count() // BLOCK_ROWS))
-    n_c = max(1, -(-rows.count() // (8 * BLOCK_ROWS)))
-    left = (asked.withColumn("_qb", F.pmod(F.xxhash64("_q"), F.lit(n_q)))
-            .withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long")))))
-    right = (rows.withColumn("_cb", F.pmod(F.xxhash64("_c"), F.lit(n_c)))
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long")))))
-
-    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        found = None if q.empty else _best(_unit(_matrix(q["_v"])), q["_q"].to_numpy(), c, k)
-        return pd.DataFrame({"_q": [], "_c": [], "score": []}) if found is None else found
-
-    return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInPandas(meet, out)
-
-
 def search_result(hits: DataFrame, questions: DataFrame, q_id: str, question: str, k: int = 5) -> DataFrame:
     """One struct row per question: count, ordered hits with text, file, page, score, and an error field.
 

@@ -23,22 +23,22 @@ INVALID_TEXT = ("One or more inputs invalid. Check abn, entity_name, disaster_ty
 
 
 def search(questions: DataFrame, q_id: str, question: str, chunks: DataFrame, k: int = 5,
-           encoder=None, method: str = "auto") -> DataFrame:
+           encoder=None) -> DataFrame:
     """(q_id, result): the ``k`` chunks closest to each question, as one struct per question."""
     encoder = encoder or hashed_words()
-    hits = rank_chunks(questions, q_id, question, chunks, k, encoder, method)
+    hits = rank_chunks(questions, q_id, question, chunks, k, encoder)
     texts = hits.join(chunks.drop("embedding"), "chunk_id")
     return search_result(texts, questions, q_id, question, k)
 
 
 def rank_chunks(questions: DataFrame, q_id: str, question: str, chunks: DataFrame, k: int = 5,
-                encoder=None, method: str = "auto") -> DataFrame:
+                encoder=None) -> DataFrame:
     """(q_id, chunk_id, rank, score) of the ``k`` closest chunks; embeds what has no embedding yet."""
     encoder = encoder or hashed_words()
     asked = embed(questions.select(q_id, question), question, encoder).select(q_id, "embedding")
     if "embedding" not in chunks.columns:
         chunks = embed(chunks.select("chunk_id", "chunk_to_retrieve"), "chunk_to_retrieve", encoder)
-    return top_k(asked, chunks, k, q_id, "embedding", "chunk_id", "embedding", method=method)
+    return top_k(asked, chunks, k, q_id, "embedding", "chunk_id", "embedding")
 
 
 def draft_status(abn, entity_name, disaster_type, disaster_date, category, loss, why, strict: bool = True) -> Column:

@@ -171,10 +171,10 @@ def gold_history(weather: DataFrame, hazards: DataFrame, cover: DataFrame, weath
 
 
 def nearest_map(cover: DataFrame, seeds: DataFrame, seed_key: str, name: str, lat: str, lon: str,
-                per_degree: int = PER_DEGREE, method: str = "auto") -> DataFrame:
+                per_degree: int = PER_DEGREE) -> DataFrame:
     """Postcode (mean of its cell centres) to the closest seed, km to one decimal."""
     centres = cover_centroids(cover, "poa_code", "h3_cell", per_degree)
-    return nearest(centres, seeds.select(seed_key, lat, lon).distinct(), "poa_code", seed_key, name, method,
+    return nearest(centres, seeds.select(seed_key, lat, lon).distinct(), "poa_code", seed_key, name,
                    r_lat=lat, r_lon=lon)
 
 

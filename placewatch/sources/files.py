@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,26 +32,41 @@ def read_polygons(spark: SparkSession, path: str, code: str, name: str, area: st
                       F.nullif(F.col(wkt), F.lit("")).alias("geometry_wkt"), "_source_file", "_ingest_time")
 
 
-def code_list(df: DataFrame, key: str, col: str, depth: int = 4) -> DataFrame:
-    """(key, code, name) out of JSON text that holds a ``codes`` list at any depth up to ``depth``.
+def first_code_list(text: str | None) -> list[tuple[str, str | None]]:
+    """(code, name) of the first ``codes`` list of a JSON text in document order, at any depth."""
+    waiting = [json.loads(text)] if text is not None else []
+    while waiting:
+        at = waiting.pop()
+        if isinstance(at, dict):
+            if isinstance(codes := at.get("codes"), list):
+                break
+            waiting.extend(reversed(at.values()))
+        elif isinstance(at, list):
+            waiting.extend(reversed(at))
+    else:
+        return []
+
+    def shown(name):
+        """Text as it is; of an object of languages English, else the first."""
+        if isinstance(name, dict):
+            name = name.get("en") or next(iter(name.values()), None)
+            return name if name is None or isinstance(name, str) else str(name)
+        return name if isinstance(name, str) else None
+
+    return [(str(c["id"]), shown(c.get("name"))) for c in codes if isinstance(c, dict) and c.get("id") is not None]
 
-    The outermost list of each document counts. A name may be text or an object
-    of languages: English first.
+
+def code_list(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, code, name) out of JSON text that holds a ``codes`` list at any depth; the first one in document order counts.
+
+    A name may be text or an object of languages: English first. A NULL text
+    or one without such a list gives no row.
     """
-    many = "array<variant>"
-    found = df.select(key, F.parse_json(col).alias("v"))
-    lists = None
-    for d in range(depth + 1):
-        here = found.select(key, F.lit(d).alias("_d"), F.try_variant_get("v", "$.codes", many).alias("codes")).where("codes IS NOT NULL")
-        lists = here if lists is None else lists.unionByName(here)
-        children = F.coalesce(F.try_variant_get("v", "$", many), F.map_values(F.try_variant_get("v", "$", "map<string,variant>")))
-        found = found.select(key, F.explode(children).alias("v")).where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-    outer = lists.join(lists.groupBy(key).agg(F.min("_d").alias("_d")), [key, "_d"])
-    item = outer.select(key, F.explode("codes").alias("c"))
-    languages = F.map_values(F.try_variant_get("c", "$.name", "map<string,string>"))
-    name = F.coalesce(F.try_variant_get("c", "$.name.en", "string"), F.get(languages, F.lit(0)),
-                      F.try_variant_get("c", "$.name", "string"))
-    return item.select(key, F.try_variant_get("c", "$.id", "string").alias("code"), name.alias("name")).where("code IS NOT NULL")
+    @F.pandas_udf("array<struct<code: string, name: string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(first_code_list)
+
+    return df.select(key, F.inline(found(F.col(col))))
 
 
 def read_business_xml(spark: SparkSession, path: str, row_tag: str = "businessEntity202001",

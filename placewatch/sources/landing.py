@@ -24,8 +24,7 @@ FEATURES_SCHEMA = ("struct<features:array<struct<id:string,"
                    "properties:struct<mainCategory:string,displayName:string,headline:string,expectedDelay:double,"
                    "impactingNetwork:boolean,isMajor:boolean,ended:boolean,adviceA:string,adviceB:string,"
                    "adviceC:string,otherAdvice:string,created:bigint,lastUpdated:bigint,"
-                   "encodedPolylines:array<string>,"
-                   "roads:array<struct<mainStreet:string,suburb:string,crossStreet:string>>>,"
+                   "encodedPolylines:string,roads:string>,"
                    "geometry:struct<coordinates:array<double>>>>>")
 HOURLY = {"time": "forecast_time", "precipitation": "precipitation_mm", "windspeed_10m": "windspeed_kmh",
           "temperature_2m": "temperature_c", "relative_humidity_2m": "humidity_pct", "weather_code": "weather_code"}
@@ -72,7 +71,8 @@ def flatten_features(df: DataFrame, body: str, kind: str | Column, keep: list[st
     """Feature-collection text to one hazard row per feature.
 
     Absent properties are NULL, an empty headline is NULL, coordinates are
-    [lon, lat] and NULL when short, nested lists stay JSON text.
+    [lon, lat] and NULL when short, nested lists stay JSON text with all their
+    fields in their order.
     """
     kind = F.lit(kind) if isinstance(kind, str) else kind
     parsed = df.select(*(keep or []), kind.alias("hazard_type"), F.from_json(body, FEATURES_SCHEMA).alias("_fc"))
@@ -88,8 +88,8 @@ def flatten_features(df: DataFrame, body: str, kind: str | Column, keep: list[st
         p["otherAdvice"].alias("other_advice"), p["created"].alias("created_ms"),
         p["lastUpdated"].alias("last_updated_ms"),
         F.when(F.size(xy) >= 2, xy[0]).alias("longitude"), F.when(F.size(xy) >= 2, xy[1]).alias("latitude"),
-        F.coalesce(F.to_json(p["encodedPolylines"]), empty).alias("encoded_polylines_json"),
-        F.coalesce(F.to_json(p["roads"]), empty).alias("roads_json"))
+        F.coalesce(p["encodedPolylines"], empty).alias("encoded_polylines_json"),
+        F.coalesce(p["roads"], empty).alias("roads_json"))
 
 
 # Fields of a business register answer.

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +17,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        import tempfile
-        base = tempfile.mkdtemp(prefix="placewatch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # One process, as in tests: a folder of its own, kept by the context.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placewatch-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/placewatch/{name}-{uuid.uuid4().hex}"
 
 
@@ -63,32 +65,65 @@ def land(df: DataFrame, root: str, subdir: str, batch_time: dt.datetime) -> str
 
 
 def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
-                 order_by: list[str] | None = None, buckets: int = 64, newest: bool = False) -> DataFrame:
+                 order_by: list[str] | None = None, buckets: int = 64, newest: bool = False, files: int = 8) -> DataFrame:
     """Merge into a Parquet table kept in ``buckets`` folders by a hash of the keys; returns the new table.
 
-    Only the buckets the source touches are read and replaced (dynamic partition
-    overwrite: files are staged and swapped when the job has succeeded). Running
-    the same merge again gives the same table. One writer at a time. Choose
-    ``buckets`` so that a bucket holds a few GB. With ``newest`` the stored row
-    stays where it is larger by ``order_by`` than the arriving one.
+    The source is written once and read from there. Only the buckets it touches
+    are read and replaced (dynamic partition overwrite: files are staged and
+    swapped when the job has succeeded), each by up to ``files`` tasks. Running
+    the same merge again gives the same table; NULL keys are equal to each
+    other. The bucket count is kept with the table, another one is an error.
+    One writer at a time. Choose ``buckets`` so that a bucket holds a few GB.
+    With ``newest`` the stored row stays where it is larger by ``order_by`` than
+    the arriving one.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    source = source.withColumn("_bucket", bucket)
+    number = F.xxhash64(*keys)
+    staged = scratch(spark, "merge")
+    source.withColumn("_bucket", F.pmod(number, F.lit(buckets)).cast("int")).write.parquet(staged)
+    source = spark.read.parquet(staged)
     if table_exists(spark, path):
+        if (kept := _noted(spark, path)) != buckets:
+            raise ValueError(f"{path} is kept in {kept} buckets, not {buckets}")
         touched = [r[0] for r in source.select("_bucket").distinct().collect()]   # at most ``buckets`` numbers
         before = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
         before = before.select(*source.columns)
     else:
         before = source.limit(0)
+        _note(spark, path, buckets)
     if newest:
         merged = latest_per_key(before.unionByName(source), ["_bucket", *keys], order_by)
     else:
         merged = upsert(before, source, ["_bucket", *keys], order_by)
-    (merged.repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    part = F.pmod(F.shiftrightunsigned(number, 32), F.lit(files))
+    (merged.repartition("_bucket", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_bucket").parquet(path))
+    drop(spark, staged)
     return read_merged(spark, path)
 
 
+def _note(spark: SparkSession, path: str, buckets: int) -> None:
+    """Keep the bucket count in a file beside the data that readers pass over."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets")
+    out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
+    out.writeInt(buckets)
+    out.close()
+
+
+def _noted(spark: SparkSession, path: str) -> int:
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets")
+    got = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        return got.readInt()
+    finally:
+        got.close()
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that no frame reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("_bucket")
 

@@ -143,3 +143,31 @@ def test_top_per_key_and_arrays(spark):
     df = spark.createDataFrame([(1, 3), (1, 1), (1, 2), (2, 5)], "k long, v long")
     got = {r.k: [x["v"] for x in r.a] for r in H.collect_top(df, ["k"], [F.desc("v")], 2, ["v"], "a").collect()}
     assert got == {1: [3, 2], 2: [5]}
+
+
+def test_merge_of_null_keys_and_another_bucket_count(spark, folder, rows):
+    path, source = folder + "/t", spark.createDataFrame([(None, "a"), (1, "b")], "k long, v string")
+    for _ in range(3):
+        out = K.upsert_table(spark, path, source, ["k"], buckets=4)
+    assert rows(out) == [(1, "b"), (None, "a")] or sorted(map(str, rows(out))) == sorted(map(str, [(1, "b"), (None, "a")]))
+    with pytest.raises(ValueError, match="4 buckets"):
+        K.upsert_table(spark, path, source, ["k"], buckets=8)
+    assert out.count() == 2
+
+
+def test_merge_reads_its_source_once(spark, folder):
+    """A source that gives other rows at each reading is staged, so that buckets and rows agree."""
+    source = spark.range(50).select((F.rand() * 1000000).cast("long").alias("k"), F.col("id").alias("v"))
+    assert K.upsert_table(spark, folder + "/t", source, ["k"], ["v"], buckets=8).select("v").distinct().count() >= 49
+
+
+def test_newest_batch_reads_one_day_folder(spark, folder):
+    for day in ("2024-01-01 05:00:00", "2024-01-02 05:00:00", "2024-01-02 06:00:00"):
+        K.append_batch(spark.range(3).select("id", F.lit(day).cast("timestamp").alias("_ingest_time")), folder + "/t")
+    table = K.read_history(spark, folder + "/t")
+    newest = H.latest_batch(table)
+    assert [str(r._ingest_time) for r in newest.collect()] == ["2024-01-02 06:00:00"] * 3
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_ingest_date" in plan and "PartitionFilters: []" not in plan.split("Subquery")[0]
+    assert [str(r._ingest_time) for r in H.latest_batch(table, as_of="2024-01-02 05:30:00").collect()] == ["2024-01-02 05:00:00"] * 3
+    assert [str(r._ingest_time) for r in H.latest_batch(table, as_of="2024-01-02 04:00:00").collect()] == ["2024-01-01 05:00:00"] * 3

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from placewatch.functions.geo import wkt_to_points
 from placewatch.operators import spatial as P
 
 
@@ -60,17 +61,25 @@ def test_nearest_equals_brute_force(spark, seed):
     lf, rf = spark.createDataFrame(left, "id long, lat double, lon double"), spark.createDataFrame(right, "rid long, lat double, lon double")
     some = [x for x in right if x[1] is not None]
     want = {i: min((round(km((a, b), (x[1], x[2])), 9), x[0]) for x in some) for i, a, b in left if a is not None}
-    for method in ("grid", "few"):
-        got = {x.id: (x.n, x.distance_km) for x in P.nearest(lf, rf, "id", "rid", "n", method=method, digits=6).collect()}
-        assert set(got) == set(want)
-        for i, (d, k) in want.items():
-            assert got[i][0] == k and abs(got[i][1] - d) < 1e-5, (method, i)
+    got = {x.id: (x.n, x.distance_km) for x in P.nearest(lf, rf, "id", "rid", "n", digits=6).collect()}
+    assert set(got) == set(want)
+    for i, (d, k) in want.items():
+        assert got[i][0] == k and abs(got[i][1] - d) < 1e-5, i
 
 
-def test_method_is_chosen_by_checked_size(spark):
-    left = spark.createDataFrame([(1, 0.0, 0.0)], "id long, lat double, lon double")
-    right = spark.range(P.FEW_PLACES + 5).select(F.col("id").alias("rid"), (F.col("id") / 100).alias("lat"), F.lit(0.5).alias("lon"))
-    assert P.nearest(left, right, "id", "rid", "n").first()["n"] == 0
+@pytest.mark.parametrize("size", [10, 256, 257])
+def test_nearest_has_one_answer_for_every_size(spark, size):
+    """A row for each left row, also where its key repeats, and the same rows whatever the size of the right side."""
+    left = spark.createDataFrame([(1, 0.0, 0.0), (1, 0.0, 0.0), (1, 0.049, 0.5), (2, 0.021, 0.5)], "id long, lat double, lon double")
+    right = spark.range(size).select(F.col("id").alias("rid"), (F.col("id") / 100).alias("lat"), F.lit(0.5).alias("lon"))
+    got = sorted((r.id, r.n) for r in P.nearest(left, right, "id", "rid", "n").collect())
+    assert got == [(1, 0), (1, 0), (1, 5), (2, 2)]
+
+
+def test_polygon_with_a_hole(spark):
+    df = spark.createDataFrame([("POLYGON ((150 -33, 151 -33,151 -34, 150 -33), (150.1 -33.1, 150.2 -33.1, 150.2 -33.2, 150.1 -33.1))",), ("POLYGON((1 2, x 3))",), (None,)], "w string")
+    got = [r.p for r in df.select(wkt_to_points("w").alias("p")).collect()]
+    assert got == [[[-33.0, 150.0], [-33.0, 151.0], [-34.0, 151.0], [-33.0, 150.0]], [[2.0, 1.0], [3.0, None]], None]
 
 
 def test_point_on_a_station(spark):

@@ -65,8 +65,8 @@ def test_new_chunks_only(spark, rows):
     assert rows(X.new_chunks(c, spark.createDataFrame([("a",)], "chunk_id string"))) == [("b",)]
 
 
-@pytest.mark.parametrize("method", ["scan", "blocks"])
-def test_top_k_equals_brute_force(spark, method):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_top_k_equals_brute_force(spark, block):
     rng = np.random.default_rng(5)
     corpus = rng.normal(size=(400, 8))
     corpus[100:230] = corpus[100]                       # a third of the rows are copies
@@ -74,7 +74,7 @@ def test_top_k_equals_brute_force(spark, method):
     queries = np.vstack([rng.normal(size=(6, 8)), corpus[100]])
     c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "chunk_id long, embedding array<double>")
     q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
-    got = sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in top_k(q, c.repartition(5), 5, method=method).collect())
+    got = sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in top_k(q, c.repartition(5), 5, block=block).collect())
     want = []
     for i, v in enumerate(queries):
         scores = [(-round(float(np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x)), 10), j) for j, x in enumerate(corpus) if np.linalg.norm(x) > 0]
@@ -185,6 +185,20 @@ def test_business_xml(spark, folder, name, want):
     assert (r.abn, r.state, r.postcode, r.organisation_name, r.status) == (10000000001, "NT", 800, want, None)
 
 
+def test_code_list_at_any_depth(spark, rows):
+    """The first list in document order counts, also seven levels down and before a shallower one."""
+    deep = '{"a":' * 7 + '{"codes":[{"id":"A","name":"x"}]}' + "}" * 7
+    two = '{"m":{"l":[{"q":1},{"codes":[{"id":"A"}]}]},"n":{"codes":[{"id":"B"}]}}'
+    other = '[{"codes":"no list","z":{"codes":[{"id":7,"name":{"fr":"sept"}},{"name":"no id"},3]}}]'
+    df = spark.createDataFrame([(1, deep), (2, two), (3, other), (4, None), (5, "[]"), (6, '{"codes":[]}')], "k int, j string")
+    assert rows(SF.code_list(df, "k", "j")) == [(1, "A", "x"), (2, "A", None), (3, "7", "sept")]
+
+
+def test_audit_events_are_not_cut(spark):
+    log = spark.range(120).selectExpr("'e' AS event_type", "timestamp_seconds(id) AS at", "'d' AS dataset", "'r' AS rule")
+    assert Q.audit_events(log, "e").count() == 120 and Q.audit_events(log, "e", 50).count() == 50
+
+
 def test_code_list(spark, rows):
     docs = [(1, {"data": {"codelists": [{"codes": [{"id": "01", "name": {"de": "x", "en": "Farm"}}, {"id": "A", "name": "All"}, {"name": "none"}]}]}}),
             (2, {"codes": [{"id": 5, "name": {"fr": "Cinq"}}], "deep": {"codes": [{"id": "no"}]}}), (3, {"nothing": 1})]
