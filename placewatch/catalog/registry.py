@@ -107,6 +107,14 @@ SQL_ONLY = {
 }
 NEEDS = {"hazards": ["hazards_raw"], "active": ["hazards"], "weather_now": ["weather"]}
 
+# White space of any kind, and the argument of a narrative (``{t}``), for the checking engine.
+WHITE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+ARGUED_SQL = r"""regexp_replace(CASE WHEN length({t}) <= 800 THEN {t}
+    WHEN NOT regexp_matches({t}, '(?i)justif|recommend|claim|apply|seek|qualif|eligib') THEN {t}[1:800] ELSE coalesce(nullif(regexp_replace(
+    regexp_extract(list_filter(string_split({t}, chr(10)), lambda l: regexp_matches(l, '(?is)^.{40}.*(?:justif|recommend|claim|apply|seek|qualif|eligib)'))[1],
+      '(?is)([^\n]{40,800}(?:justif|recommend|claim|apply|seek|qualif|eligib)[^\n]{0,800})', 1), '^WHITE|WHITE$', '', 'g'), ''), {t}[1:800]) END,
+    '\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b', '[ref redacted]', 'g')""".replace("WHITE", WHITE)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -9,7 +9,7 @@ from ..operators import history as H
 from ..operators import quality as Q
 from ..operators import reshape as R
 from ..plans.rules import HAZARD_RULES, HAZARD_WATCHED
-from .registry import NOW, TABLES, query
+from .registry import ARGUED_SQL, INPUTS, NOW, TABLES, WHITE, query
 
 
 @query("SET-01", """
@@ -281,15 +281,17 @@ def redacted(t):
     return t.customer.select("c_custkey", S.redact_uuid(F.concat(F.lit("Ref "), S.stable_id("c_custkey"), F.lit(" for "), F.col("c_name"))).alias("note"))
 
 
-@query("FN-19", r"""
-    WITH d AS (SELECT doc_id, regexp_replace(text, '^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') AS t FROM documents),
-    p AS (SELECT doc_id, t, CASE WHEN length(t) > 800 AND regexp_matches(t, '(?i)justif|recommend|claim|apply|seek|qualif|eligib')
-           THEN regexp_extract(t, '(?is)([^\n]{40,800}(?:justif|recommend|claim|apply|seek|qualif|eligib)[^\n]{0,800})', 1) ELSE '' END AS para FROM d)
-    SELECT doc_id, length(CASE WHEN length(t) <= 800 THEN t WHEN para <> '' THEN trim(para) ELSE t[1:800] END) AS n,
-           md5(left(CASE WHEN length(t) <= 800 THEN t WHEN para <> '' THEN trim(para) ELSE t[1:800] END, 40)) AS head FROM p""")
+# Texts with a paragraph that argues, a short claim, or none.
+INPUTS["argued"] = """
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat(text, chr(10), replace(substring(text, 1, 700), chr(10), ' '), ' they qualify for it ', replace(substring(text, 50, 900), chr(10), ' '))
+      WHEN doc_id % 4 = 1 THEN concat('a claim ', text) WHEN doc_id % 4 = 2 THEN concat('id 123e4567-e89b-12d3-a456-426614174000 ', text) ELSE text END AS text FROM documents"""
+
+
+@query("FN-19", rf"""
+    WITH d AS (SELECT doc_id, regexp_replace(text, '^{WHITE}|{WHITE}$', '', 'g') AS t FROM argued)
+    SELECT doc_id, md5({ARGUED_SQL.replace("{t}", "t")}) AS digest FROM d""", ("argued",))
 def paragraphs(t):
-    j = S.justification("text")
-    return t.documents.select("doc_id", F.length(j).cast("long").alias("n"), F.md5(F.substring(j, 1, 40).cast("binary")).alias("head"))
+    return t.argued.select("doc_id", F.md5(S.justification("text").cast("binary")).alias("digest"))
 
 
 @query("FN-20", """

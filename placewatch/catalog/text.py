@@ -8,7 +8,7 @@ from ..operators import text as X
 from ..operators.aggregates import latency_summary
 from ..operators.vector import top_k
 from ..plans import claims
-from .registry import NEEDS, NOW, SQL_ONLY, query
+from .registry import ARGUED_SQL, INPUTS, NEEDS, NOW, SQL_ONLY, WHITE, query
 
 BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 SQL_ONLY["chunks"] = f"""
@@ -119,19 +119,49 @@ def search_structs(t):
 # -- conversations -----------------------------------------------------------
 
 
-@query("Q-16", r"""
-    WITH a AS (SELECT conv_id, max_by(text, turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY 1),
-    w AS (SELECT conv_id, string_agg(lower(text), chr(10) ORDER BY turn) AS b, string_agg(text, chr(10) ORDER BY turn) AS raw FROM conversations GROUP BY 1)
+# Conversations with figures, categories and dates, also split over turns, beside ones as they are.
+INPUTS["claim_talk"] = """
+    SELECT conv_id, turn, role, CASE
+      WHEN role = 'user' AND conv_id % 8 = 1 THEN concat(text, ' The damage comes to about $', CAST(conv_id * 137 % 90000 AS STRING), '.50 or $', CAST(2000 + conv_id AS STRING))
+      WHEN role = 'user' AND conv_id % 8 = 2 AND turn % 4 < 2 THEN concat(text, ' the loss is $ ')
+      WHEN role = 'user' AND conv_id % 8 = 2 THEN concat(' ', CAST(900 + conv_id * 37 AS STRING), ',500 ', text)
+      WHEN role = 'user' AND conv_id % 8 = 3 AND turn % 4 < 2 THEN concat(text, ' a FLOOD, Category')
+      WHEN role = 'user' AND conv_id % 8 = 3 THEN concat(CASE WHEN conv_id % 16 = 3 THEN 'b' ELSE 'bush' END, ' it is ', text)
+      WHEN role = 'assistant' AND conv_id % 8 = 3 THEN concat('A fire. category d. ', text)
+      WHEN conv_id % 8 = 4 THEN concat(text, ' on 20', CAST(10 + turn AS STRING), '-0', CAST(1 + turn % 9 AS STRING), '-11 in a drought')
+      WHEN role = 'assistant' AND conv_id % 8 = 5 THEN concat('$104.8 billion in all. ', text, ' cost: $7,250')
+      WHEN role = 'user' AND conv_id % 8 = 5 THEN concat('$500 each. ', text)
+      WHEN role = 'assistant' AND conv_id % 8 = 6 THEN concat(text, ' ', text, ' ', text, ' ', text, ' ', text, ' ', text, chr(10), 'ref 123e4567-e89b-12d3-a456-426614174000 ',
+                                                             replace(text, chr(10), ' '), ' so you qualify here ', text)
+      WHEN role = 'user' AND conv_id % 8 = 7 AND turn < 2 THEN concat(text, ' my claim: $')
+      WHEN role = 'user' AND conv_id % 8 = 7 AND turn < 4 THEN concat('  ', chr(10))
+      WHEN role = 'user' AND conv_id % 8 = 7 THEN concat('8,100.75 for it ', text)
+      ELSE text END AS text FROM conversations"""
+
+SOURCES = ("ask", "mine", "every", "agent")
+
+
+def _each(form: str) -> str:
+    return ", ".join(form.replace("{s}", f"coalesce({s}, '')") for s in SOURCES)
+
+
+MONEY_SQL = r"try_cast(replace(regexp_extract({s}, '(?i)(?:damage|loss|estimate|claim|cost)[^\d$\n]{0,60}\$\s*([\d,]+(?:\.\d{1,2})?)', 1), ',', '') AS DOUBLE)"
+LARGE_SQL = (r"list_filter(list_transform(regexp_extract_all({s}, '\$\s*([\d,]+(?:\.\d{1,2})?)', 1), lambda x: try_cast(replace(x, ',', '') AS DOUBLE)), "
+             "lambda v: v >= 1000)[1]")
+
+@query("Q-16", rf"""
+    WITH w AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS ask, string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user') AS mine,
+                 string_agg(text, chr(10) ORDER BY turn) AS every, arg_max(text, turn) FILTER (role = 'assistant') AS agent FROM claim_talk GROUP BY 1),
+    n AS (SELECT *, lower(every) AS b, regexp_replace(coalesce(agent, ''), '^{WHITE}|{WHITE}$', '', 'g') AS t FROM w)
     SELECT conv_id, CASE WHEN contains(b, 'flood') THEN 'flood' WHEN contains(b, 'fire') THEN 'fire' WHEN contains(b, 'storm') THEN 'storm'
              WHEN contains(b, 'earthquake') THEN 'earthquake' WHEN contains(b, 'drought') THEN 'drought' WHEN contains(b, 'cyclone') THEN 'cyclone' ELSE 'flood' END AS disaster_type,
-           coalesce(nullif(regexp_extract(raw, '\b(20\d{2}-\d{2}-\d{2})\b', 1), ''), '2024-01-20') AS disaster_date,
-           coalesce(upper(nullif(regexp_extract(raw, '(?i)category\s+([abcd])\b', 1), '')), 'C') AS drfa_category,
-           coalesce(try_cast(replace(nullif(regexp_extract(raw, '\$\s*([\d,]+(?:\.\d{1,2})?)', 1), ''), ',', '') AS DOUBLE), 0) AS estimated_loss_aud,
-           length(CASE WHEN length(trim(coalesce(t, ''), ' ' || chr(10) || chr(9) || chr(13))) <= 800 THEN trim(coalesce(t, ''), ' ' || chr(10) || chr(9) || chr(13)) ELSE substr(trim(t, ' ' || chr(10) || chr(9) || chr(13)), 1, 800) END) AS narrative_chars
-    FROM w LEFT JOIN a USING (conv_id)""")
+           coalesce({_each(r"nullif(regexp_extract({s}, '\b(20\d{2}-\d{2}-\d{2})\b', 1), '')")}, '2024-01-20') AS disaster_date,
+           coalesce({_each(r"upper(nullif(regexp_extract({s}, '(?i)category\s+([abcd])\b', 1), ''))")}, 'C') AS drfa_category,
+           coalesce({_each(f"CASE WHEN {MONEY_SQL} >= 1000 THEN {MONEY_SQL} END")}, {_each(LARGE_SQL)}, 0) AS estimated_loss_aud,
+           {ARGUED_SQL.replace("{t}", "t")} AS justification
+    FROM n""", ("claim_talk",))
 def claim_fields(t):
-    out = claims.claim_fields(t.conversations, today="2024-01-20")
-    return out.withColumn("narrative_chars", F.length("justification").cast("long")).drop("justification")
+    return claims.claim_fields(t.claim_talk, today="2024-01-20")
 
 
 @query("FN-25-transcript", r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (CATEGORY, DISASTER_WORDS, ISO_DATE, SMALLEST_CLAIM, first_large_amount,
@@ -12,6 +12,9 @@ from ..operators.reshape import set_overlap
 from ..operators.text import embed, hashed_words
 from ..operators.vector import search_result, top_k
 
+# The end of a text that only lacks what a pattern asks for behind white space, and such a start of the next text.
+LEAD, HEAD = r"(?:\$|(?i:category))\s*$", r"^\s*([\d,]+(?:\.\d{1,2})?|[A-Da-d]\b)"
+
 # Texts of a draft.
 NEXT_STEPS = ("Review the draft for accuracy",
               "Attach disaster damage evidence (photos, repair quotes, insurance records)",
@@ -83,16 +86,32 @@ def claim_fields(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """Claim fields per conversation; what the user wrote wins over the agent.
 
     The user's last turn is the request, the agent's last turn the narrative,
-    all turns the history. Each field is found inside a turn and the first
-    finding by authority and turn is kept, so no conversation is gathered whole.
+    the user's turns and all turns, each joined by line breaks, are the history.
+    Each field is found inside a turn, or where a turn ends with a lead (a
+    dollar sign, the word category) that the next turn with any text completes;
+    the first finding by authority and turn is kept, so no conversation is
+    gathered whole.
     """
-    t = F.col(text)
-    found = turns.select(
-        F.col(conv), F.col(turn).alias("_o"), F.col(role).alias("_r"),
-        loss_near_word(t).alias("_near"), first_large_amount(t).alias("_large"),
-        F.nullif(F.regexp_extract(t, ISO_DATE, 1), F.lit("")).alias("_date"),
-        F.upper(F.nullif(F.regexp_extract(t, CATEGORY, 1), F.lit(""))).alias("_cat"),
-        *[F.contains(F.lower(t), F.lit(w)).alias(f"_w_{w}") for w in DISASTER_WORDS], t.alias("_t"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    own = turns.select(F.col(conv), F.col(turn).alias("_o"), F.col(role).alias("_r"), t.alias("_t"))
+    # What a turn starts with, NULL for a blank one: it completes the lead of the nearest turn before that is not blank.
+    head = F.when(F.col("_t").rlike(r"\S"), F.regexp_extract("_t", HEAD, 1))
+    backwards = Window.orderBy(F.desc("_o")).rowsBetween(Window.unboundedPreceding, -1)
+    lead = F.col("_t").rlike(LEAD)
+    joined = own.withColumn("_h", head).select(
+        "*", F.when(lead, F.concat("_t", F.lit("\n"), F.last("_h", ignorenulls=True).over(backwards.partitionBy(conv)))).alias("_t_all"),
+        F.when(lead, F.concat("_t", F.lit("\n"), F.last("_h", ignorenulls=True).over(backwards.partitionBy(conv, F.col("_r") == "user")))).alias("_t_user"))
+
+    def fields(t: Column) -> list[Column]:
+        return [loss_near_word(t), first_large_amount(t), F.nullif(F.regexp_extract(t, ISO_DATE, 1), F.lit("")),
+                F.upper(F.nullif(F.regexp_extract(t, CATEGORY, 1), F.lit("")))]
+
+    names = ("_near", "_large", "_date", "_cat")
+    plain = joined.select(conv, "_o", "_r", "_t", "_t_all", "_t_user",
+                          *[c.alias(n) for c, n in zip(fields(F.col("_t")), names, strict=True)],
+                          *[F.contains(F.lower("_t"), F.lit(w)).alias(f"_w_{w}") for w in DISASTER_WORDS])
+    found = plain.select("*", *[F.when(F.col(f"_t_{s}").isNull(), F.col(n)).otherwise(c).alias(f"{n}_{s}")
+                                for s in ("user", "all") for c, n in zip(fields(F.col(f"_t_{s}")), names, strict=True)])
     mine, theirs = F.col("_r") == "user", F.col("_r") == "assistant"
 
     def earliest(value: str, who: Column | None = None) -> Column:
@@ -104,8 +123,8 @@ def claim_fields(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     aggs = []
     for v in ("_near", "_large", "_date", "_cat"):
-        aggs += [last(v, mine).alias(f"{v}_ask"), earliest(v, mine).alias(f"{v}_user"),
-                 earliest(v).alias(f"{v}_all"), last(v, theirs).alias(f"{v}_agent")]
+        aggs += [last(v, mine).alias(f"{v}_ask"), earliest(f"{v}_user", mine).alias(f"{v}_user"),
+                 earliest(f"{v}_all").alias(f"{v}_all"), last(v, theirs).alias(f"{v}_agent")]
     words = [F.max(F.col(f"_w_{w}")).alias(f"_w_{w}") for w in DISASTER_WORDS]
     per = found.groupBy(conv).agg(*aggs, *words, last("_t", theirs).alias("_narrative"))
     # A figure beside a damage word counts from each text only if it is large enough.

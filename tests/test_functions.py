@@ -117,11 +117,15 @@ def test_claim_fields(spark):
         (1, 0, "user", "A flood on 2026-05-10, damage $48,500"), (1, 1, "assistant", "Seen 2025-01-01. Category D, loss $900,000"), (1, 2, "user", "category b please"),
         (2, 0, "user", "hello"), (2, 1, "assistant", "an industry of $104.8 billion with $5,000 grants in a cyclone"),
         (3, 0, "user", "paid $500"), (3, 1, "assistant", "ok"),
+        (5, 0, "user", "It is category"), (5, 1, "assistant", "A, surely"), (5, 2, "user", "B and the sum is $"), (5, 3, "user", " \n"), (5, 4, "user", "48,500 ok"),
+        (6, 0, "user", "a claim of $"), (6, 1, "assistant", "9,000 it is"), (6, 2, "user", "no"),
         (4, 0, "user", "first 2026-01-01"), (4, 1, "user", "then 2026-02-02"), (4, 2, "assistant", "x")], CONV)
     got = {r.conv_id: r for r in C.claim_fields(df, today="2026-05-12").collect()}
     assert (got[1].disaster_type, got[1].disaster_date, got[1].drfa_category, got[1].estimated_loss_aud) == ("flood", "2026-05-10", "B", 48500.0)
     assert (got[2].disaster_type, got[2].estimated_loss_aud, got[2].drfa_category) == ("cyclone", 5000.0, "C")
     assert got[3].estimated_loss_aud == 0.0 and got[3].disaster_date == "2026-05-12" and got[3].disaster_type == "flood"
+    assert (got[5].drfa_category, got[5].estimated_loss_aud) == ("B", 48500.0)            # across the user's turns
+    assert got[6].estimated_loss_aud == 9000.0                                             # across all turns
     assert got[4].disaster_date == "2026-02-02"                                            # the last request wins
 
 
