@@ -26,15 +26,19 @@ def file_metadata(t):
 
 @query("SRC-04", """
     SELECT l_orderkey, l_linenumber, l_partkey, strftime(make_timestamp(1000000 * (CAST(1705536000 AS BIGINT) + 3600 * h)), '%Y-%m-%d %H:%M:%S') AS forecast_time,
-           CASE h WHEN 0 THEN l_quantity WHEN 1 THEN l_discount END AS precipitation_mm, CASE h WHEN 0 THEN l_tax WHEN 1 THEN l_quantity WHEN 2 THEN l_discount END AS temperature_c
+           CASE h WHEN 0 THEN l_quantity WHEN 1 THEN l_discount END AS precipitation_mm, CASE h WHEN 0 THEN l_tax WHEN 1 THEN l_quantity WHEN 2 THEN l_discount END AS temperature_c,
+           CASE h WHEN 0 THEN l_quantity END AS windspeed_kmh, CASE h WHEN 0 THEN l_extendedprice WHEN 1 THEN l_tax WHEN 2 THEN l_tax END AS humidity_pct,
+           CASE WHEN h < 2 THEN l_linenumber + h END AS weather_code
     FROM lineitem, (VALUES (0), (1), (2)) v(h)""")
 def parallel_arrays(t):
     start = F.timestamp_micros(F.lit(1705536000000000))
     times = F.array(*[start + F.expr(f"INTERVAL {h} HOURS") for h in range(3)])
     payload = F.struct(times.alias("time"), F.array("l_quantity", "l_discount").alias("precipitation"),
-                       F.array("l_tax", "l_quantity", "l_discount").alias("temperature_2m"))
+                       F.array("l_tax", "l_quantity", "l_discount").alias("temperature_2m"), F.array("l_quantity").alias("windspeed_10m"),
+                       F.array("l_extendedprice", "l_tax", "l_tax").alias("relative_humidity_2m"),
+                       F.array(F.col("l_linenumber"), F.col("l_linenumber") + 1).alias("weather_code"))
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", payload.alias("hourly"))
-    return L.explode_parallel_arrays(rows, "hourly", {k: L.HOURLY[k] for k in ("time", "precipitation", "temperature_2m")},
+    return L.explode_parallel_arrays(rows, "hourly", L.HOURLY,
                                      ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
@@ -95,12 +99,12 @@ def nested_codes(t):
     return SF.code_list(t.customer.select("c_custkey", body.alias("body")), "c_custkey", "body")
 
 
-@query("SRC-15", "SELECT count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE trim(text, chr(10)) <> ''")
+@query("SRC-15", "SELECT length(text) AS chars, md5(replace(text, chr(12), ' ')) AS digest FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''")
 def page_texts(t):
     path = K.scratch(t.spark, "pages")
-    t.documents.select(F.concat(F.regexp_replace("text", "\f", " "), F.lit("\f")).alias("value")).repartition(8).write.text(path)
+    t.documents.select(F.concat(F.regexp_replace("text", "\f", " "), F.lit("\f")).alias("value")).write.option("maxRecordsPerFile", 500).text(path)
     pages = SF.read_pages(t.spark, path).withColumn("text", F.regexp_replace("text", "^\n", ""))
-    return pages.where(F.trim(F.translate("text", "\n", " ")) != "").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+    return pages.where(F.trim(F.translate("text", "\n", " ")) != "").select(F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query("UDF-04", "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events")

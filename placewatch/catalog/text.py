@@ -229,8 +229,13 @@ DRAFT_ARGS = """
 @query("Q-15", f"""
     SELECT c_custkey, CASE WHEN c_custkey % 10 IN (1, 2, 3, 4, 5, 6, 8) THEN 'INVALID' ELSE 'DRAFT' END AS status,
            CASE WHEN c_custkey % 10 IN (1, 2, 3, 4, 5, 6, 8) THEN 0 ELSE 4 END AS steps, c_custkey % 10 IN (1, 2, 3, 4, 5, 6, 8) AS has_error, true AS in_nsw,
-           disaster_type AS kind FROM ({DRAFT_ARGS})""")
+           disaster_type AS kind, abn, entity_name, entity_state, entity_postcode, disaster_date, drfa_category, round(estimated_loss_aud, 2) AS loss, justification,
+           CASE WHEN c_custkey % 10 IN (1, 2, 3, 4, 5, 6, 8) THEN '{claims.INVALID_TEXT}' ELSE '' END AS error,
+           CASE WHEN c_custkey % 10 IN (1, 2, 3, 4, 5, 6, 8) THEN '' ELSE '{'|'.join(claims.NEXT_STEPS)}' END AS todo FROM ({DRAFT_ARGS})""")
 def drafts(t):
     out = claims.grant_draft(t.derive(DRAFT_ARGS), NOW, ["c_custkey"]).select("c_custkey", "draft.*")
     return out.select("c_custkey", "status", F.size("next_steps").cast("long").alias("steps"), F.col("error").isNotNull().alias("has_error"),
-                      "disaster.in_nsw", F.col("disaster.type").alias("kind"))
+                      "disaster.in_nsw", F.col("disaster.type").alias("kind"), "applicant.abn", "applicant.entity_name", F.col("applicant.state").alias("entity_state"),
+                      F.col("applicant.postcode").alias("entity_postcode"), F.col("disaster.date").alias("disaster_date"), "grant_request.drfa_category",
+                      F.round("grant_request.estimated_loss_aud", 2).alias("loss"), "grant_request.justification", F.coalesce("error", F.lit("")).alias("error"),
+                      F.array_join("next_steps", "|").alias("todo"))

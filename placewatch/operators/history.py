@@ -139,5 +139,18 @@ def top(df: DataFrame, order: list[str | Column], k: int) -> DataFrame:
     return df.orderBy(*_ordering(order)).limit(k)
 
 
+def positions(df: DataFrame, order: list[str | Column], name: str = "pos") -> DataFrame:
+    """Place of every row in the whole order, from 1. Rows are sorted by ranges and written; only the ranges' counts meet in one task."""
+    from ..sources.sinks import scratch
+
+    path = scratch(df.sparkSession, "ordered")
+    df.orderBy(*_ordering(order)).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("_range", F.shiftrightunsigned("_at", 33))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    return rows.join(before, "_range").select(*df.columns, (F.col("_before") + inside + 1).alias(name))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)

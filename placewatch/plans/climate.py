@@ -13,8 +13,8 @@ from .places import BASE_PERIOD, LATE_PERIOD
 from .rules import BOX
 
 # The value columns of the wide files and the variables they hold.
-TIME_COLUMNS = ("Annual DJF MAM JJA SON NDJFMA MJJASO January February March April May June July August "
-                "September October November December").split()
+TIME_COLUMNS = ["Annual", "DJF", "MAM", "JJA", "SON", "NDJFMA", "MJJASO", "January", "February", "March", "April", "May", "June",
+                "July", "August", "September", "October", "November", "December"]
 VARIABLES = {"tas": ("mean", "celsius"), "tasmax": ("mean", "celsius"), "tasmin": ("mean", "celsius"),
              "hurs9": ("mean", "percent"), "hurs15": ("mean", "percent"), "pan_evap": ("sum", "mm")}
 SERIES = r"^(.+?)_(rcp\d{2})_(\d{4}-\d{4})$"
