@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
+
+#: Parts of a quantile's bracket, of which one is put in order.
+SLICES = 64
+
 
 def summarise(df: DataFrame, keys: list[str], spec: dict[str, Column]) -> DataFrame:
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in spec.items()])
@@ -47,49 +52,60 @@ def pivot_first(df: DataFrame, keys: list[str], code: str, value: str, mapping:
     return df.groupBy(*keys).agg(*cols)
 
 
-def discrete_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5,
-                      name: str = "quantile", accuracy: int = 10_000) -> DataFrame:
-    """Exact ``percentile_disc`` per key for groups of any size.
+def discrete_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5, name: str = "quantile",
+                      accuracy: int = 10_000, also: list[Column] | None = None) -> DataFrame:
+    """Exact ``percentile_disc`` per key for groups of any size, in two passes over the rows.
 
     A quantile sketch brackets the answer (its rank error is at most
     n / accuracy), rows under the bracket are only counted, and just the
-    distinct values inside it are ranked.
+    distinct values inside it are written and ranked: their counts per slice of
+    the bracket tell the slice of the answer, and only that slice is put in
+    order. An answer outside the bracket is an error. ``also``: aggregates of
+    the first pass that come with the result. NULL values do not count.
     """
     # ``accuracy`` bounds the sketch's rank error; twice that on each side is safe.
-    rows = df.where(F.col(value).isNotNull())
     span = 2.0 / accuracy
     lo, hi = max(0.0, q - span), min(1.0, q + span)
+    ends = [F.min(value), F.max(value)]
     sketch = F.percentile_approx(value, [lo, hi], accuracy)
-    bracket = rows.groupBy(*keys).agg(F.count("*").alias("_n"), sketch.alias("_b"))
-    if lo == 0.0 or hi == 1.0:
-        ends = rows.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
-        bracket = bracket.join(ends, keys)
-        low = F.col("_min") if lo == 0.0 else F.col("_b")[0]
-        high = F.col("_max") if hi == 1.0 else F.col("_b")[1]
-        bracket = bracket.select(*keys, "_n", low.alias("_lo"), high.alias("_hi"))
-    else:
-        bracket = bracket.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    near = rows.select(*keys, value).join(bracket, keys).where(F.col(value) <= F.col("_hi"))
-    # Values below the bracket collapse to one entry that sorts first.
-    pos = F.when(F.col(value) >= F.col("_lo"), F.col(value))
-    counts = near.groupBy(*keys, "_n", pos.alias("_v")).agg(F.count("*").alias("_c"))
-    run = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v"))
+    bracket = _kept(df.groupBy(*keys).agg(F.count(value).alias("_n"), (ends[0] if lo == 0.0 else sketch[0]).alias("_lo"),
+                                          (ends[1] if hi == 1.0 else sketch[1]).alias("_hi"), *(also or [])).where("_n > 0"), "bracket")
+    limits = bracket.select(*keys, "_n", "_lo", "_hi")
+    near = df.select(*keys, value).join(limits, keys).where(F.col(value) <= F.col("_hi"))
+    # Values below the bracket collapse to one entry, slice -1.
+    inside = F.col(value) >= F.col("_lo")
+    share = (F.col(value).cast("double") - F.col("_lo").cast("double")) / F.nullif(F.col("_hi").cast("double") - F.col("_lo").cast("double"), F.lit(0.0))
+    part = F.when(inside, F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.coalesce(F.floor(share * SLICES), F.lit(0))))).otherwise(-1)
+    counts = _kept(near.groupBy(*keys, "_n", part.alias("_s"), F.when(inside, F.col(value)).alias("_v")).agg(F.count("*").alias("_c")), "counts")
     target = F.greatest(F.ceil(F.col("_n") * F.lit(q)), F.lit(1))
-    return (counts.withColumn("_cum", F.sum("_c").over(run))
-            .where((F.col("_cum") >= target) & F.col("_v").isNotNull())
-            .groupBy(*keys).agg(F.min("_v").alias(name)))
+    per = Window.partitionBy(*keys)
+    slices = (counts.groupBy(*keys, "_n", "_s").agg(F.sum("_c").alias("_c"))
+              .withColumns({"_cum": F.sum("_c").over(per.orderBy("_s")), "_all": F.sum("_c").over(per)}))
+    lost = (F.col("_all") < target) | ((F.col("_s") == -1) & (F.col("_cum") >= target))
+    rest = F.when(lost, F.raise_error(F.lit("discrete_quantile: the sketch missed the answer; raise accuracy"))).otherwise(target - F.col("_cum") + F.col("_c"))
+    hit = (slices.where((F.col("_cum") >= target) & (F.col("_cum") - F.col("_c") < target) | lost)
+           .select(*keys, F.col("_s").alias("_hit"), rest.cast("long").alias("_rest")))
+    ranked = counts.join(hit, keys).where("_s = _hit").withColumn("_cum", F.sum("_c").over(per.orderBy("_v")))
+    best = ranked.where("_cum >= _rest").groupBy(*keys).agg(F.min("_v").alias(name))
+    return best.join(bracket.drop("_n", "_lo", "_hi"), keys) if also else best
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A small result, written once for the steps that need it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, keys: list[str], value: str, members: str | None = None, digits: int = 2,
            exact: bool = False) -> DataFrame:
     """Median, min and max (and distinct members) per key."""
     aggs = [F.round(F.min(value), digits).alias("min_value"), F.round(F.max(value), digits).alias("max_value")]
-    if not exact:
-        aggs.insert(0, F.round(F.percentile_approx(value, 0.5), digits).alias("median_value"))
-    out = df.groupBy(*keys).agg(*aggs)
     if exact:
-        out = discrete_quantile(df, keys, value, 0.5, "median_value").join(out, keys)
+        out = discrete_quantile(df, keys, value, 0.5, "median_value", also=aggs)
         out = out.withColumn("median_value", F.round("median_value", digits))
+    else:
+        out = df.groupBy(*keys).agg(F.round(F.percentile_approx(value, 0.5), digits).alias("median_value"), *aggs)
     if members:
         out = out.join(distinct_count(df, keys, members, "n_members"), keys)
     return out
