@@ -339,6 +339,36 @@ def both(t):
     return analyst.flooded_and_major(gold(t))
 
 
+@query("Q-25-floods", "SELECT postcode, active_flood_count, risk_level FROM gold WHERE active_flood_count > 0", ("gold",))
+def floods(t):
+    return analyst.flooded_now(gold(t))
+
+
+@query("Q-25-above", """
+    SELECT postcode, nearest_csiro_station, round(warming_2080s_rcp85_c, 2) AS warming_c FROM gold WHERE warming_2080s_rcp85_c > 3""", ("gold",))
+def above(t):
+    return analyst.warming_above(gold(t))
+
+
+@query("Q-25-roadworks", """
+    SELECT postcode, active_roadwork_count FROM gold WHERE active_roadwork_count > 0 ORDER BY active_roadwork_count DESC, postcode LIMIT 1""", ("gold",))
+def roadworks(t):
+    return analyst.most_roadworks(gold(t))
+
+
+@query("Q-25-weather", """
+    SELECT postcode, weather_station_name, weather_observed_at, current_temperature_c, current_precipitation_mm, current_windspeed_kmh FROM gold""", ("gold",))
+def weather_now(t):
+    return analyst.weather_of_places(gold(t))
+
+
+@query("Q-25-decades", """
+    SELECT postcode, nearest_csiro_station, round(climate_temp_2020s, 2) AS temp_2020s, round(climate_temp_2080s_rcp85, 2) AS temp_2080s_high,
+           round(warming_2080s_rcp85_c, 2) AS warming_c FROM gold""", ("gold",))
+def decades(t):
+    return analyst.decades_of_places(gold(t))
+
+
 @query("Q-21", """
     SELECT postcode, strftime(snapshot_date, '%Y-%m-%d') AS snapshot_date, total_active_hazards, risk_level,
            total_active_hazards - lag(total_active_hazards) OVER (PARTITION BY postcode ORDER BY snapshot_date) AS change

@@ -175,16 +175,24 @@ def transcripts(t):
     return out.select("conv_id", F.size(marks).cast("long").alias("n"), F.md5(F.col("transcript").cast("binary")).alias("digest"))
 
 
-@query("Q-28", """
-    WITH a AS (SELECT conv_id, list(DISTINCT CASE role WHEN 'user' THEN 'verify_abn' WHEN 'assistant' THEN 'get_active_hazards' ELSE 'generate_grant_pdf' END) AS called
+SQL_ONLY["runs"] = """
+    WITH a AS (SELECT conv_id, list_sort(list(DISTINCT CASE role WHEN 'user' THEN 'verify_abn' WHEN 'assistant' THEN 'get_active_hazards' ELSE 'generate_grant_pdf' END)) AS called
                FROM conversations GROUP BY 1),
-    e AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN [] ELSE ['verify_abn', 'get_industry_context'] END AS expected FROM a)
-    SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN 1.0 ELSE len(list_intersect(called, expected)) / 2 END AS recall,
-           CASE WHEN conv_id % 5 = 0 THEN NULL ELSE round(len(list_intersect(called, expected)) / len(called), 6) END AS precision,
-           CASE WHEN conv_id % 5 = 0 THEN NULL ELSE greatest(0, CASE WHEN conv_id % 5 = 1 THEN 1.0 ELSE len(list_intersect(called, expected)) / 2 END
-                - CASE WHEN list_contains(called, 'generate_grant_pdf') THEN 0.5 ELSE 0 END) END AS score,
-           CASE WHEN conv_id % 5 = 0 OR NOT list_contains(called, 'generate_grant_pdf') THEN '' ELSE 'generate_grant_pdf' END AS forbidden_called FROM e""")
-def agent_scores(t):
+    e AS (SELECT *, CASE WHEN conv_id % 5 = 0 THEN NULL WHEN conv_id % 5 = 1 THEN [] ELSE ['verify_abn', 'get_industry_context'] END AS expected FROM a),
+    m AS (SELECT *, list_sort(list_filter(expected, lambda x: NOT list_contains(called, x))) AS missed,
+            list_filter(called, lambda x: NOT list_contains(expected, x) AND x <> 'generate_grant_pdf') AS extra, list_contains(called, 'generate_grant_pdf') AS bad FROM e)
+    SELECT conv_id, CASE WHEN expected IS NULL THEN NULL WHEN len(expected) = 0 THEN 1.0 ELSE len(list_intersect(called, expected)) / 2 END AS recall,
+           CASE WHEN expected IS NULL THEN NULL ELSE round(len(list_intersect(called, expected)) / len(called), 6) END AS precision,
+           CASE WHEN expected IS NULL THEN NULL ELSE greatest(0, CASE WHEN len(expected) = 0 THEN 1.0 ELSE len(list_intersect(called, expected)) / 2 END
+                - CASE WHEN bad THEN 0.5 ELSE 0 END) END AS score,
+           CASE WHEN expected IS NULL OR NOT bad THEN '' ELSE 'generate_grant_pdf' END AS forbidden_called,
+           CASE WHEN expected IS NOT NULL THEN concat_ws(' | ', 'called=[' || chr(39) || array_to_string(called, chr(39) || ', ' || chr(39)) || chr(39) || ']',
+             CASE WHEN len(missed) > 0 THEN 'MISSED=[' || chr(39) || array_to_string(missed, chr(39) || ', ' || chr(39)) || chr(39) || ']' END,
+             CASE WHEN bad THEN 'FORBIDDEN_CALLED=[' || chr(39) || 'generate_grant_pdf' || chr(39) || ']' END,
+             CASE WHEN len(extra) > 0 THEN 'extra=[' || chr(39) || array_to_string(extra, chr(39) || ', ' || chr(39)) || chr(39) || ']' END) END AS rationale FROM m"""
+
+
+def scored_runs(t):
     known = ["verify_abn", "get_active_hazards", "generate_grant_pdf"]
     tool = F.when(F.col("role") == "user", "silver__x__verify_abn").when(F.col("role") == "assistant", "a.b.get_active_hazards").otherwise("generate_grant_pdf")
     # The set of tools a run called is bounded by the known names.
@@ -195,8 +203,21 @@ def agent_scores(t):
         F.array(F.lit("verify_abn"), F.lit("get_industry_context")))
     runs = claims.tools_called(runs, "conv_id", "spans", known).withColumn("expected", expected).withColumn(
         "forbidden", F.array(F.lit("generate_grant_pdf")))
-    out = claims.score_runs(runs)
-    return out.select("conv_id", "recall", F.round("precision", 6).alias("precision"), "score", F.array_join("forbidden_called", ",").alias("forbidden_called"))
+    return claims.score_runs(runs)
+
+
+@query("Q-28", "SELECT * FROM runs", ("runs",))
+def agent_scores(t):
+    return scored_runs(t).select("conv_id", "recall", F.round("precision", 6).alias("precision"), "score",
+                                 F.array_join("forbidden_called", ",").alias("forbidden_called"), "rationale")
+
+
+@query("Q-28-summary", """
+    SELECT round(avg(recall), 6) AS avg_recall, round(avg(precision), 6) AS avg_precision, round(avg(score), 6) AS avg_score, count(*) FILTER (score = 1) AS perfect_cases,
+           count(score) AS scored_cases, count(*) FILTER (score IS NULL) AS skipped_cases, count(*) FILTER (forbidden_called <> '') AS forbidden_calls FROM runs""", ("runs",))
+def agent_summary(t):
+    out = claims.score_summary(scored_runs(t))
+    return out.select(*[F.round(c, 6).alias(c) if c.startswith("avg") else c for c in out.columns])
 
 
 @query("Q-29", """

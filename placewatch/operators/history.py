@@ -27,12 +27,6 @@ def latest_batch(df: DataFrame, batch_col: str = "_ingest_time", as_of=None, day
     return df.where(F.col(batch_col) == seen.agg(F.max(batch_col)).scalar())
 
 
-def latest_batch_window(df: DataFrame, batch_col: str = "_ingest_time") -> DataFrame:
-    """The same rows by rank. Kept to show the equality on small data: it uses one task."""
-    rank = F.dense_rank().over(Window.orderBy(F.desc(batch_col)))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-
-
 def _best(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The row per key with the smallest ``order``; combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

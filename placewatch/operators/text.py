@@ -87,17 +87,14 @@ def hashed_words(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 25,
           name: str = "embedding") -> DataFrame:
-    """Add an embedding column, calling ``encoder`` on at most ``batch`` texts at a time."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add an embedding column, calling ``encoder`` on at most ``batch`` texts at a time; only the texts pass through Python."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            texts = part[text].tolist()
-            rows = [np.asarray(v, dtype=np.float32) for i in range(0, len(texts), batch)
-                    for v in encoder(texts[i:i + batch])]
-            yield part.assign(**{name: rows})
+            texts = part.tolist()
+            yield pd.Series([np.asarray(v, dtype=np.float32) for i in range(0, len(texts), batch) for v in encoder(texts[i:i + batch])])
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(name, run(F.col(text)))
 
 
 def hashed_counts(df: DataFrame, text: str, dims: int = 64, name: str = "embedding") -> DataFrame:

@@ -40,6 +40,33 @@ def flooded_and_major(gold: DataFrame) -> DataFrame:
         "postcode", "active_flood_count", "major_hazards_count")
 
 
+def flooded_now(gold: DataFrame) -> DataFrame:
+    return gold.where("active_flood_count > 0").select("postcode", "active_flood_count", "risk_level")
+
+
+def warming_above(gold: DataFrame, degrees: float = 3.0) -> DataFrame:
+    return gold.where(F.col("warming_2080s_rcp85_c") > degrees).select(
+        "postcode", "nearest_csiro_station", F.round("warming_2080s_rcp85_c", 2).alias("warming_c"))
+
+
+def most_roadworks(gold: DataFrame, k: int = 1) -> DataFrame:
+    return top(gold.where("active_roadwork_count > 0").select("postcode", "active_roadwork_count"),
+               [F.desc("active_roadwork_count"), "postcode"], k)
+
+
+def weather_of_places(gold: DataFrame) -> DataFrame:
+    """Current weather by place; the caller filters by postcode."""
+    return gold.select("postcode", "weather_station_name", "weather_observed_at", "current_temperature_c", "current_precipitation_mm",
+                       "current_windspeed_kmh")
+
+
+def decades_of_places(gold: DataFrame) -> DataFrame:
+    """2020s against 2080s under the high scenario by place; the caller filters by postcode."""
+    return gold.select("postcode", "nearest_csiro_station", F.round("climate_temp_2020s", 2).alias("temp_2020s"),
+                       F.round("climate_temp_2080s_rcp85", 2).alias("temp_2080s_high"),
+                       F.round("warming_2080s_rcp85_c", 2).alias("warming_c"))
+
+
 def hazard_trend(history: DataFrame, days: int = 7, today=None) -> DataFrame:
     return trend(history, ["postcode"], "snapshot_date", "total_active_hazards", days, today)
 

@@ -163,7 +163,16 @@ def tools_called(runs: DataFrame, case: str, spans: str, known: list[str]) -> Da
 
 def score_runs(runs: DataFrame, actual: str = "actual", expected: str = "expected",
                forbidden: str = "forbidden") -> DataFrame:
-    return runs.withColumn("_s", set_overlap(actual, expected, forbidden)).select(*runs.columns, "_s.*")
+    """Scores of each run and their ``rationale`` in words; a run without a score has none."""
+    scored = runs.withColumn("_s", set_overlap(actual, expected, forbidden)).select(*runs.columns, "_s.*")
+
+    def listed(tools: Column) -> Column:
+        return F.concat(F.lit("['"), F.array_join(F.array_sort(tools), "', '"), F.lit("']"))
+
+    parts = [F.concat(F.lit("called="), F.when(F.size(actual) > 0, listed(F.array_distinct(actual))).otherwise("∅"))]
+    parts += [F.when(F.size(c) > 0, F.concat(F.lit(f"{name}="), listed(F.col(c))))
+              for name, c in (("MISSED", "missed"), ("FORBIDDEN_CALLED", "forbidden_called"), ("extra", "extra"))]
+    return scored.withColumn("rationale", F.when(F.col("score").isNotNull(), F.concat_ws(" | ", *parts)))
 
 
 def score_summary(scored: DataFrame) -> DataFrame:

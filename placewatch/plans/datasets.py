@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -10,8 +11,8 @@ from graphlib import TopologicalSorter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quality import AUDIT_SCHEMA, audit, expect, keep_valid, rule_counts, stop_if_broken
-from ..sources.sinks import clustered
+from ..operators.quality import AUDIT_SCHEMA, RuleViolation, audit, expect, keep_valid, rule_counts, stop_if_broken
+from ..sources.sinks import clustered, drop, note, noted, scratch
 
 
 @dataclass
@@ -22,20 +23,22 @@ class Dataset:
     drop: dict[str, str] = field(default_factory=dict)
     fail: dict[str, str] = field(default_factory=dict)
     cluster_by: tuple[str, ...] = ()
+    comment: str = ""
+    properties: dict[str, str] = field(default_factory=dict)
 
 
 class Datasets:
     """A registry: ``define`` datasets, then ``refresh`` them under one root folder.
 
-    Each refresh writes new folders named by the run; ``read`` takes the newest
-    published one, so readers never see a half-written table. Rule counts are
-    appended to the ``_audit`` folder.
+    Each refresh writes new folders named by the run and then notes the folder
+    in a small file beside them, with the dataset's comment and properties.
+    ``read`` follows that note, so readers in any process never see a
+    half-written table. Rule counts are appended to the ``_audit`` folder.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.known: dict[str, Dataset] = {}
-        self.published: dict[str, str] = {}
         self.sources: dict[str, DataFrame] = {}
 
     def source(self, name: str, df: DataFrame) -> None:
@@ -48,8 +51,12 @@ class Datasets:
         graph = {n: [i for i in d.inputs if i in self.known] for n, d in self.known.items()}
         return list(TopologicalSorter(graph).static_order())
 
+    def about(self, name: str) -> dict:
+        """Folder, run, comment and properties of the newest published version."""
+        return json.loads(noted(self.spark, f"{self.root}/{name}/_published"))
+
     def read(self, name: str) -> DataFrame:
-        return self.sources[name] if name in self.sources else self.spark.read.parquet(self.published[name])
+        return self.sources[name] if name in self.sources else self.spark.read.parquet(self.about(name)["path"])
 
     def refresh(self, run_id: str | None = None) -> str:
         run_id = run_id or uuid.uuid4().hex
@@ -60,17 +67,26 @@ class Datasets:
     def _build(self, name: str, run_id: str) -> None:
         d = self.known[name]
         df = d.build(*[self.read(i) for i in d.inputs])
-        rules, seen, counts = {**d.watch, **d.drop}, None, {}
+        rules, seen, counts, staged = {**d.watch, **d.drop}, None, {}, None
         if d.fail or (rules and d.cluster_by):
-            # Range clustering samples its input, which would count rows twice in an observation.
+            # Checked before anything is published, and read again by range clustering: written once, not computed twice.
+            staged = scratch(self.spark, f"datasets/{name}")
+            df.write.parquet(staged)
+            df = self.spark.read.schema(df.schema).parquet(staged)
             counts = rule_counts(df, {**rules, **d.fail})
-            stop_if_broken({r: counts[r] for r in d.fail})
+            try:
+                stop_if_broken({r: counts[r] for r in d.fail})
+            except RuleViolation:
+                drop(self.spark, staged)
+                raise
         elif rules:
             df, seen = expect(df, rules)
         df = keep_valid(df, d.drop)
         path = f"{self.root}/{name}/{run_id}"
         (clustered(df, list(d.cluster_by)) if d.cluster_by else df).write.mode("errorifexists").parquet(path)
-        self.published[name] = path
+        if staged:
+            drop(self.spark, staged)
+        note(self.spark, f"{self.root}/{name}/_published", json.dumps({"path": path, "run_id": run_id, "comment": d.comment, "properties": d.properties}))
         rows = self.spark.read.parquet(path).count()
         log = audit(self.spark, run_id, name, "write", {"rows_written": rows, "_rows": rows}, "flow_progress")
         counts = seen.get if seen is not None else counts

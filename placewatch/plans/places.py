@@ -280,6 +280,3 @@ def nearby_hazards(cover: DataFrame, hazards: DataFrame, k: int = 20) -> DataFra
     met = cover.select("poa_code", "h3_cell").distinct().join(first, "h3_cell").drop("h3_cell").distinct()
     return top_per_key(met, ["poa_code"], fields, k)
 
-
-def cells_per_place(cover: DataFrame, key: str = "poa_code", cell: str = "h3_cell") -> DataFrame:
-    return distinct_count(cover, [key], cell, "h3_cells_count")

@@ -82,14 +82,14 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     source.withColumn("_bucket", F.pmod(number, F.lit(buckets)).cast("int")).write.parquet(staged)
     source = spark.read.parquet(staged)
     if table_exists(spark, path):
-        if (kept := _noted(spark, path)) != buckets:
+        if (kept := int(noted(spark, f"{path}/_buckets"))) != buckets:
             raise ValueError(f"{path} is kept in {kept} buckets, not {buckets}")
         touched = [r[0] for r in source.select("_bucket").distinct().collect()]   # at most ``buckets`` numbers
         before = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
         before = before.select(*source.columns)
     else:
         before = source.limit(0)
-        _note(spark, path, buckets)
+        note(spark, f"{path}/_buckets", str(buckets))
     if newest:
         merged = latest_per_key(before.unionByName(source), ["_bucket", *keys], order_by)
     else:
@@ -101,19 +101,23 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     return read_merged(spark, path)
 
 
-def _note(spark: SparkSession, path: str, buckets: int) -> None:
-    """Keep the bucket count in a file beside the data that readers pass over."""
-    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets")
-    out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file, True)
-    out.writeInt(buckets)
+def note(spark: SparkSession, file: str, text: str) -> None:
+    """Keep a short text in one file, replaced as a whole; readers of tables pass over names that begin with an underscore."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(file).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new = path(f"{file}.{uuid.uuid4().hex}")
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
     out.close()
+    fs.delete(path(file), False)
+    fs.rename(new, path(file))
 
 
-def _noted(spark: SparkSession, path: str) -> int:
-    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_buckets")
-    got = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+def noted(spark: SparkSession, file: str) -> str:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    got = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
     try:
-        return got.readInt()
+        return bytes(got.readAllBytes()).decode()
     finally:
         got.close()
 

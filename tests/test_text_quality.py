@@ -307,3 +307,18 @@ def test_compaction(spark, folder):
     spark.range(1000).select(F.pmod("id", F.lit(50)).alias("k"), "id").repartition(20).write.parquet(f"{folder}/small")
     K.compact(spark, f"{folder}/small", f"{folder}/large", ["k"], 3)
     assert len(glob.glob(f"{folder}/large/*.parquet")) <= 3 and spark.read.parquet(f"{folder}/large").count() == 1000
+
+
+def test_published_datasets_are_found_by_another_process(spark, folder):
+    made = Datasets(spark, folder)
+    made.source("raw", spark.range(5).withColumnRenamed("id", "x"))
+    made.define("kept", lambda raw: raw, ("raw",), drop={"small": "x < 3"}, cluster_by=("x",), comment="small ones", properties={"layer": "gold"})
+    run = made.refresh()
+    other = Datasets(spark, folder)
+    assert sorted(r.x for r in other.read("kept").collect()) == [0, 1, 2]
+    about = other.about("kept")
+    assert (about["run_id"], about["comment"], about["properties"]) == (run, "small ones", {"layer": "gold"})
+    made.define("stopped", lambda raw: raw, ("raw",), fail={"none": "x < 0"})
+    with pytest.raises(Q.RuleViolation):
+        made.refresh()
+    assert sorted(r.x for r in other.read("kept").collect()) == [0, 1, 2]
