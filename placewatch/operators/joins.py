@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import padded_code
+from ..sources.sinks import scratch
 
 HOT_ROWS = 2_000_000   # rows of one key that one task should take at most
 SALTS = 64
@@ -42,9 +43,12 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, spread_by: list[str]
     """Equi-join ``big`` with ``small`` that splits hot keys of ``big`` over ``salts`` tasks.
 
     Only the ``small`` rows of hot keys are repeated; all other keys join as usual.
-    ``how`` may be inner, left (keeps all of ``big``), left_semi or left_anti.
+    ``how`` may be inner, left (keeps all of ``big``), left_semi or left_anti. The
+    hot keys are looked for once and written: a small table for both sides.
     """
-    hot = hot_keys(big, key, rows).withColumn("_hot", F.lit(True))
+    path = scratch(big.sparkSession, "hot-keys")
+    hot_keys(big, key, rows).write.parquet(path)
+    hot = big.sparkSession.read.schema(big.select(key).schema).parquet(path).withColumn("_hot", F.lit(True))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("long")
     left = big.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     zero = F.lit(0).cast("long")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.history import latest_per_key, upsert
 
@@ -26,17 +28,32 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def append_batch(df: DataFrame, path: str, partition_by: str | None = "_ingest_time") -> None:
-    """Append one stamped batch, in day folders of its stamp; an empty batch writes no row."""
+    """Append one stamped batch, in day folders of its stamp; an empty batch writes no row.
+
+    The columns of all batches so far are noted beside the table, so that
+    readers need not open every file for them. A column keeps its type.
+    """
+    spark = df.sparkSession
     if partition_by:
-        day = F.to_date(partition_by)
-        df.withColumn("_ingest_date", day).write.mode("append").partitionBy("_ingest_date").parquet(path)
-    else:
-        df.write.mode("append").parquet(path)
+        df = df.withColumn("_ingest_date", F.to_date(partition_by))
+    known = {f.name: f for f in (_columns(spark, path) or T.StructType([])).fields}
+    for f in df.schema.fields:
+        if known.setdefault(f.name, T.StructField(f.name, f.dataType)).dataType != f.dataType:
+            raise ValueError(f"{path}: {f.name} is {known[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}")
+    df.write.mode("append").partitionBy(*(["_ingest_date"] if partition_by else [])).parquet(path)
+    note(spark, f"{path}/_columns", T.StructType(list(known.values())).json())
+
+
+def _columns(spark: SparkSession, path: str) -> T.StructType | None:
+    if not table_exists(spark, f"{path}/_columns"):
+        return None
+    return T.StructType.fromJson(json.loads(noted(spark, f"{path}/_columns")))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """Batches of any earlier schema; columns added later are NULL in older ones."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    columns = _columns(spark, path)
+    return spark.read.schema(columns).parquet(path) if columns else spark.read.option("mergeSchema", True).parquet(path)
 
 
 def clustered(df: DataFrame, keys: list[str], files: int | None = None) -> DataFrame:
