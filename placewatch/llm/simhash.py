@@ -13,7 +13,7 @@ different components are left to look for.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +24,8 @@ from .components import components
 
 #: The seed of the shingle hashes, XXH64.
 SEED = 42
+#: Distinct values whose 0/1 columns a task holds at a time.
+COLUMNS = 4096
 
 
 def _hashes(text: str, words: int, distinct: bool) -> np.ndarray:
@@ -81,13 +83,11 @@ def _keyed(nodes: DataFrame, segments: int) -> DataFrame:
     return nodes.withColumn("key", F.explode(F.expr(f"array({', '.join(keys)})")))
 
 
-def linked(nodes: DataFrame, radius: int = 4, segments: int = 2, verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``node`` and ``root`` for each node that has a link: fingerprints within ``radius`` bits, and ``verify`` holds.
+def linked(nodes: DataFrame, radius: int = 4, segments: int = 2) -> DataFrame:
+    """``node`` and ``root`` for each node that has a link: another fingerprint within ``radius`` bits.
 
     ``nodes``: ``node`` (unique, not null) and ``fp`` (long). ``radius //
-    segments`` has to be 2 at most. ``verify(pairs, near)`` gets pairs of nodes
-    (``a``, ``b``) and the nodes that have any neighbour within the radius, and
-    returns the pairs that are links.
+    segments`` has to be 2 at most.
     """
     if radius // segments > 2 or segments < 2:
         raise ValueError("balls of radius 1 meet up to 2 differing bits in a segment")
@@ -96,14 +96,10 @@ def linked(nodes: DataFrame, radius: int = 4, segments: int = 2, verify: Callabl
     some = mine.join(other, (mine["key"] == other["key"]) & (F.col("node") != F.col("o_node")) & (differing_bits("fp", "o_fp") <= radius), "left_semi")
     near = stored(some.select("node", "fp").distinct(), "near")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        return verify(pairs, near) if verify else pairs
-
     # Each node and the smallest node of a key.
     least = F.min(F.struct("node", "fp")).over(Window.partitionBy("key"))
     star = _keyed(near, segments).withColumn("least", least).where((F.col("node") != F.col("least.node")) & (differing_bits("fp", "least.fp") <= radius))
-    first = components(links(star.select(F.col("node").alias("a"), F.col("least.node").alias("b"))))
+    first = components(star.select(F.col("node").alias("a"), F.col("least.node").alias("b")).distinct())
     # Pairs that would join two components: keys under which only one component is met are done.
     named = near.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
     by_key = Window.partitionBy("key")
@@ -111,7 +107,7 @@ def linked(nodes: DataFrame, radius: int = 4, segments: int = 2, verify: Callabl
                  .where("low != high").select("key", "node", "fp", "root"))
     other = open_keys.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "fp", "root")])
     met = open_keys.join(other, (open_keys["key"] == other["key"]) & (F.col("root") < F.col("o_root")) & (differing_bits("fp", "o_fp") <= radius))
-    rest = stored(links(met.select(F.col("node").alias("a"), F.col("o_node").alias("b"))), "links")
+    rest = stored(met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), "links")
     if rest.isEmpty():
         return first
     return components(rest.unionByName(first.select(F.col("node").alias("a"), F.col("root").alias("b"))))
@@ -135,28 +131,110 @@ def near_duplicates(df: DataFrame, words: int = 4, radius: int = 4) -> DataFrame
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _verifier(documents: DataFrame, words: int, similarity: float) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Keeps pairs of doc_ids whose shingle sets have a Jaccard similarity of ``similarity`` or more; sets are written once, for documents with a neighbour."""
-    sets: list[DataFrame] = []
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each other one on the right; the same list may stand on both sides."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    values = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    enough = times > (2 if left is right else 1)  # a value of one set only is in no intersection
+    shared, number = enough[column], np.cumsum(enough) - 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - low] = 1
+        out += has[:len(left)] @ has[len(left):].T
+    return out
+
+
+def _joined(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest over sets with a Jaccard similarity of ``similarity`` or more.
+
+    With sets on the right, which are numbered behind the left ones, only pairs across count.
+    """
+    n, m = len(left), len(right)
+    both = _overlaps(left, right or left)
+    sizes = np.array([len(s) for s in left]), np.array([len(s) for s in right or left])
+    near = both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both)  # two empty sets are alike
+    if right:
+        near = np.block([[np.zeros((n, n), bool), near], [near.T, np.zeros((m, m), bool)]])
+    new = np.ones(n + m, bool)
+    for start in range(n + m):
+        if not new[start]:
+            continue
+        new[start] = False
+        front = np.array([start])
+        while len(front):
+            reached = near[front].any(axis=0) & new
+            new &= ~reached
+            front = np.flatnonzero(reached)
+            yield from ((start, int(x)) for x in front)
+
+
+def similar(blobs: DataFrame, sets: DataFrame, similarity: float, most: int = 1000, most_values: int = 2_000_000) -> DataFrame:
+    """``a``, ``b``: edges that join all nodes of a blob whose sets reach the similarity; as many as nodes, not as pairs.
+
+    ``blobs``: ``node``, ``root``; ``sets``: ``node``, ``s``. A blob is cut
+    into blocks of about ``most`` nodes and ``most_values`` values, and each
+    two blocks meet in a task, where products of 0/1 matrices give all overlaps.
+    """
+    rows = blobs.join(sets, "node")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("v"))
+    blocks = sizes.select("root", F.greatest(F.lit(1), F.ceil(F.col("n") / most), F.ceil(F.col("v") / most_values)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (rows.join(blocks, "root").withColumn("own", own)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "s"))
+
+    def meet(batches) -> Iterator:
+        import pyarrow as pa
+
+        def met(key, group):
+            ids, mine = [g[1] for g in group], [g[0] == key[1] for g in group]
+            left, right = [g[2] for g, x in zip(group, mine, strict=True) if x], [g[2] for g, x in zip(group, mine, strict=True) if not x]
+            names = [i for i, x in zip(ids, mine, strict=True) if x] + [i for i, x in zip(ids, mine, strict=True) if not x]
+            if key[1] != key[2] and not (left and right):
+                return []  # one of two blocks is empty
+            return [(names[a], names[b]) for a, b in _joined(left, right, similarity)]
 
-    def verify(pairs: DataFrame, near: DataFrame) -> DataFrame:
-        if not sets:
-            def shingles(batches) -> Iterator:
-                import pyarrow as pa
+        def written(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
-                for batch in batches:
-                    found = [np.unique(_hashes(t.as_py(), words, False)).astype(np.int64) for t in batch.column(1)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
+        key, group, found = None, [], []
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True))
+            owns, ids, lists = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+            for r, k in enumerate(keys):
+                if k != key:
+                    found += met(key, group) if group else []
+                    key, group = k, []
+                    if len(found) >= 50_000:
+                        yield written(found)
+                        found = []
+                group.append((owns[r], ids[r], lists[r].values.to_numpy()))
+        found += met(key, group) if group else []
+        if found:
+            yield written(found)
+
+    together = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    return together.mapInArrow(meet, "a long, b long")
+
+
+def _shingle_sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``node`` and its set of shingle hashes, for documents that are nodes; of rows that share a doc_id the first text counts."""
+    def shingles(batches) -> Iterator:
+        import pyarrow as pa
 
-            texts = documents.join(near.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-            one = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-            sets.append(stored(one.mapInArrow(shingles, "node long, s array<long>"), "shingles"))
-        a, b = (sets[0].select(F.col("node").alias(x), F.col("s").alias(f"s_{x}")) for x in "ab")
-        both = F.size(F.array_intersect("s_a", "s_b"))
-        alike = (both >= similarity * (F.size("s_a") + F.size("s_b") - both)) | ((F.size("s_a") == 0) & (F.size("s_b") == 0))
-        return pairs.join(a, "a").join(b, "b").where(alike).select("a", "b")
+        for batch in batches:
+            found = [np.unique(_hashes(t.as_py(), words, False)).astype(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
 
-    return verify
+    texts = documents.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    one = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return one.mapInArrow(shingles, "node long, s array<long>")
 
 
 def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3) -> DataFrame:
@@ -165,8 +243,9 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, r
     Documents are linked if their sets of ``words``-word shingles (lower-cased
     in A-Z; fewer words: all of them) have a Jaccard similarity of
     ``similarity`` or more; equal texts always are, texts without words too.
-    Candidates are fingerprints of the distinct words within ``radius`` bits:
-    scattered edits move these far less than fingerprints of long shingles. The
+    Candidates are components of fingerprints of the distinct words within
+    ``radius`` bits: scattered edits move these far less than fingerprints of
+    long shingles. Inside them all similarities are exact. The
     smallest doc_id of each component stays. Rows that share a doc_id are one
     document, of which the row with the first text stays (repeated rows: one);
     rows with a null doc_id stay. An empty table gives no row.
@@ -176,7 +255,8 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, r
     # Equal texts are one node, named by their smallest doc_id.
     named = rows.groupBy("_digest", "fp").agg(F.min("doc_id").alias("node"))
     nodes = named.groupBy("node").agg(F.min("fp").alias("fp"))
-    roots = linked(nodes, radius, segments, _verifier(known, words, similarity))
+    blobs = stored(linked(nodes, radius, segments), "blobs")
+    roots = components(similar(blobs, stored(_shingle_sets(known, blobs, words), "shingles"), similarity))
     keep = (rows.join(named, ["_digest", "fp"]).join(roots, "node", "left")
             .groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("root"), F.min("_digest").alias("_digest")).where("doc_id = root"))
     # One row for each document that stays.

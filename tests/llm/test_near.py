@@ -13,7 +13,7 @@ from placewatch.llm.chunks import boundaries, dedup_substrings, repeated_passage
 from placewatch.llm.components import components
 from placewatch.llm.decontam import contaminated, without_contaminated
 from placewatch.llm.lines import dedup_lines
-from placewatch.llm.simhash import fingerprint, linked, near_duplicates, one_of_each
+from placewatch.llm.simhash import fingerprint, linked, near_duplicates, one_of_each, similar
 
 from .conftest import SPACED, links
 
@@ -125,6 +125,25 @@ def test_one_of_each(frame, odd, copies):
     assert one_of_each(frame([])).count() == 0
 
 
+@pytest.mark.parametrize(("most", "most_values"), [(1000, 10**6), (7, 10**6), (1000, 300)])
+def test_similar_sets(spark, most, most_values):
+    """Blocks of any size give the same components, with no more edges than a block has nodes."""
+    rng = random.Random(8)
+    sets = []
+    for g in range(6):
+        base = [rng.getrandbits(62) for _ in range(40)]
+        for k in range(15):
+            kept = rng.sample(base, 40 - rng.randint(0, 9))
+            sets.append((g, sorted(kept + [rng.getrandbits(62) for _ in range(rng.randint(0, 3))])))
+    sets += [(7, []), (7, []), (7, [5])]
+    blobs = spark.createDataFrame([(i, g) for i, (g, _) in enumerate(sets)], "node long, root long")
+    got = similar(blobs, spark.createDataFrame([(i, s) for i, (_, s) in enumerate(sets)], "node long, s array<long>"), 0.8, most, most_values).collect()
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a][0] == sets[b][0]
+            and len(set(sets[a][1]) & set(sets[b][1])) >= 0.8 * len(set(sets[a][1]) | set(sets[b][1]))]
+    assert links(range(len(sets)), [(r.a, r.b) for r in got]) == links(range(len(sets)), near)
+    assert most < 1000 or most_values < 10**6 or len(got) < len(sets)
+
+
 def best_windows(docs, items, words=5, similarity=0.8):
     out = {}
     for (d, text), (i, item) in itertools.product(docs, items):
