@@ -34,9 +34,11 @@ _SLOTS = 2**18
 def _chosen(pairs: np.ndarray, room: int) -> np.ndarray:
     """The most frequent pairs, the most frequent first (ties mixed), each in a slot of its own of the look-up table."""
     s = np.sort(pairs)
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    count = np.diff(np.append(first, len(s)))
-    often = np.flatnonzero(count >= LEAST)
+    # In sorted order a pair that is met LEAST times equals the one LEAST - 1 places on.
+    s = s[:-(LEAST - 1)][s[LEAST - 1:] == s[:-(LEAST - 1)]]
+    first = np.flatnonzero(np.append(s[:1] == s[:1], s[1:] != s[:-1]))
+    count = np.diff(np.append(first, len(s))) + LEAST - 1
+    often = np.arange(len(first))
     take = min(PAIRS, room)
     if len(often) > take:
         often = often[np.argpartition(-count[often], take - 1)[:take]] if take else often[:0]
@@ -58,22 +60,25 @@ def compress(ids: np.ndarray, first_rule: int) -> dict:
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        pairs = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
+        wide = seq.astype(np.uint32)
+        pairs = wide[:-1] << np.uint32(16)
+        pairs |= wide[1:]
         found = _chosen(pairs, SYMBOLS - next_symbol)
         if not len(found):
             break
         rank = np.full(_SLOTS, len(found), np.uint16)
         rank[_slot(found)] = np.arange(len(found), dtype=np.uint16)
-        own = rank[_slot(pairs)]
-        own[np.append(found, np.uint32(0))[own] != pairs] = len(found)
+        own = rank.take(_slot(pairs).astype(np.intp))
+        np.putmask(own, np.append(found, np.uint32(0)).take(own.astype(np.intp)) != pairs, np.uint16(len(found)))
         # In a run of one id every second pair is left out; of two overlapping pairs the more frequent is replaced.
         run = np.flatnonzero((own[1:] == own[:-1]) & (own[1:] < len(found))) + 1
         if len(run):
             first = np.maximum.accumulate(np.where(np.diff(run, prepend=-1) != 1, np.arange(len(run)), 0))
             own[run[(np.arange(len(run)) - first) % 2 == 0]] = len(found)
-        before = np.append(np.uint16(len(found)), own[:-1])
-        after = np.append(own[1:], np.uint16(len(found)))
-        at = np.flatnonzero((own < len(found)) & (own < before) & (own < after))
+        best = own < len(found)
+        best[1:] &= own[1:] < own[:-1]
+        best[:-1] &= own[:-1] < own[1:]
+        at = np.flatnonzero(best)
         used = np.bincount(own[at], minlength=len(found)) >= 2
         at = at[used[own[at]]]
         if not len(at):
@@ -83,7 +88,7 @@ def compress(ids: np.ndarray, first_rule: int) -> dict:
         seq[at] = number[own[at]]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
+        seq = seq.take(np.flatnonzero(stay))
         size = np.concatenate(lengths)
         a, b = (kept >> np.uint32(16)).astype(np.uint16), (kept & np.uint32(0xFFFF)).astype(np.uint16)
         left.append(a)

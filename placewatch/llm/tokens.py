@@ -33,6 +33,10 @@ class _Pieces(dict):
 
     def ids(self, piece: str) -> bytes:
         shown = piece.encode().decode("latin-1").translate(self.names)
+        return self.shown(shown)
+
+    def shown(self, shown: str) -> bytes:
+        """Ids of a pre-token that is written as the model writes it."""
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
@@ -53,13 +57,14 @@ class _Words(dict):
     def __init__(self, pieces: _Pieces, cut, odd):
         super().__init__()
         self.pieces, self.cut, self.odd, self.old = pieces, cut, odd, {}
-        self.marks = {m: pieces[m] for m in ".,"}
+        self.marks, self.space = {m: pieces[m] for m in ".,"}, pieces.names[32]
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             if word.isalpha():
-                ids = self.pieces.ids(" " + word)
+                # Letters of ASCII are written as they are.
+                ids = self.pieces.shown(self.space + word) if word.isascii() else self.pieces.ids(" " + word)
             elif word[-1:] in self.marks and word[:-1].isalpha():
                 ids = self[word[:-1]] + self.marks[word[-1]]
             elif not word or word[0].isspace() or word[-1].isspace() or self.odd(word):
@@ -90,11 +95,12 @@ class Encoder:
         self.words = _Words(self.pieces, self.cut, self.odd)
 
     def encode(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
+        first, cut, rest = text.partition(" ")
         try:
             if first[-1:].isspace() or self.odd(first):
                 raise _Uncut
-            return b"".join([*map(self.pieces.__getitem__, self.cut(first)), *map(self.words.__getitem__, rest)])
+            head = b"".join(map(self.pieces.__getitem__, self.cut(first)))
+            return head + b"".join(map(self.words.__getitem__, rest.split(" "))) if cut else head
         except _Uncut:
             pass
         if self.odd(text):
