@@ -24,7 +24,7 @@ BEGINNINGS = (4, 5)
 #: Least texts with a term, least distance from chance in standard deviations, most terms in the model, factors of a term.
 LEAST_TEXTS, LEAST_Z, MOST_TERMS, FACTORS = 4, 4.0, 20_000, 6
 #: Words whose terms a worker keeps.
-CACHED = 200_000
+CACHED = 100_000
 MARKS = ".,;:!?\"'()[]{}*#$%&|<>-"
 
 
@@ -47,7 +47,10 @@ class ToxicityModel:
     name: str = ""
 
     def score(self, text: str) -> float:
-        known = per_process(f"toxicity {self.name}", lambda: _Known(self.place))
+        known = per_process("toxicity", lambda: _Known(self.place, self.name))
+        if known.name != self.name:  # of another model
+            known.clear()
+            known.place, known.name = self.place, self.name
         found: set[int] = set()
         for at in map(known.__getitem__, set(text.lower().split())):
             found.update(at)
@@ -57,9 +60,9 @@ class ToxicityModel:
 class _Known(dict):
     """Places in the model of a word's terms."""
 
-    def __init__(self, place: dict[int, int]):
+    def __init__(self, place: dict[int, int], name: str):
         super().__init__()
-        self.place = place
+        self.place, self.name = place, name
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED:
