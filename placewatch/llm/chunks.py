@@ -18,6 +18,8 @@ from .common import stored
 
 #: Least bytes of a chunk, the most, and one boundary in so many bytes on average (a power of two).
 LEAST, MOST, EVERY = 8, 512, 32
+#: ``at`` of a chunk holds its first byte, its bytes and the words that start in it, so that rows stay short: in SQL.
+START, BYTES, WORDS = "shiftright(at, 20)", "(shiftright(at, 10) & 1023)", "(at & 1023)"
 #: The random 16-bit number of each byte value, from a seed.
 GEAR = np.random.default_rng(2024).integers(0, 2**16, 256, dtype=np.uint16)
 
@@ -51,7 +53,7 @@ def boundaries(data: np.ndarray) -> np.ndarray:
 
 
 def text_chunks(documents: DataFrame) -> DataFrame:
-    """Chunks of whole texts: ``key`` (doc_id, hash of the text), ``no``, ``start`` and ``bytes``, ``words`` that start in it, and the digest (two longs)."""
+    """Chunks of whole texts: doc_id, hash of the text, ``at`` (where it lies, see ``START``) and the digest (two longs)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").where("text != ''")
 
     def cut(batches) -> Iterator:
@@ -67,15 +69,14 @@ def text_chunks(documents: DataFrame) -> DataFrame:
                 starts = np.append(0, ends[:-1])
                 space = (data == 32) | ((data >= 9) & (data <= 13))
                 begins = ~space & np.append(True, space[:-1])
-                words = np.add.reduceat(begins, starts, dtype=np.int32)
+                words = np.add.reduceat(begins, starts, dtype=np.int64)
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<i8").reshape(-1, 2)
-                n = len(ends)
+                n, at = len(ends), starts.astype(np.int64) << 20 | (ends - starts) << 10 | words
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[i]] * n, pa.int64()), pa.array([hashes[i]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
-                    pa.array(starts.astype(np.int64)), pa.array((ends - starts).astype(np.int32)), pa.array(words),
-                    pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["doc_id", "h", "no", "start", "bytes", "words", "d1", "d2"])
+                    pa.array([ids[i]] * n, pa.int64()), pa.array([hashes[i]] * n, pa.int64()), pa.array(at),
+                    pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["doc_id", "h", "at", "d1", "d2"])
 
-    return rows.mapInArrow(cut, "doc_id long, h long, no int, start long, bytes int, words int, d1 long, d2 long")
+    return rows.mapInArrow(cut, "doc_id long, h long, at long, d1 long, d2 long")
 
 
 def repeated_passages(documents: DataFrame, least_words: int = 16) -> DataFrame:
@@ -90,12 +91,17 @@ def repeated_passages(documents: DataFrame, least_words: int = 16) -> DataFrame:
     last, is not part of it: 32 bytes on average at each end.
     """
     chunks = text_chunks(documents)
-    key = F.struct("doc_id", "h", "no")
-    known = (chunks.groupBy("d1", "d2").agg(F.min(key).alias("kept"), F.max(key).alias("last")).where("kept != last").select("d1", "d2", "kept"))
-    met = stored(chunks.join(known, ["d1", "d2"]).where(key != F.col("kept")).select("doc_id", "h", "no", "start", "bytes", "words", "kept").distinct(), "repeated-chunks")
-    in_text = Window.partitionBy("doc_id", "h").orderBy("no")
-    runs = (met.withColumn("run", F.col("no") - F.row_number().over(in_text)).groupBy("doc_id", "h", "run")
-            .agg(F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.sum("words").alias("words"), F.min_by("kept", "no").alias("kept")))
+    # Half a digest tells most chunks that are met once; both halves decide. What is small is written, so that joins can split hot digests.
+    twice = stored(chunks.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "digests")
+    some = stored(chunks.join(twice, "d1", "left_semi"), "chunks")
+    key = F.struct("doc_id", "h", "at")
+    known = stored(some.groupBy("d1", "d2").agg(F.min(key).alias("kept"), F.max(key).alias("last")).where("kept != last").select("d1", "d2", "kept"), "first-chunks")
+    met = some.join(known, ["d1", "d2"]).where(key != F.col("kept")).select("doc_id", "h", "at", "kept").distinct()
+    met = met.selectExpr("doc_id", "h", "kept", "at", f"{START} AS start", f"{BYTES} AS bytes", f"{WORDS} AS words")
+    in_text = Window.partitionBy("doc_id", "h").orderBy("at")
+    begins = F.when(F.lag(F.col("start") + F.col("bytes")).over(in_text) == F.col("start"), 0).otherwise(1)
+    runs = (met.withColumn("begins", begins).withColumn("run", F.sum("begins").over(in_text)).groupBy("doc_id", "h", "run")
+            .agg(F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.sum("words").alias("words"), F.min_by("kept", "at").alias("kept")))
     return runs.where(F.col("words") >= least_words).select("doc_id", "h", "start", "bytes", "words", F.col("kept.doc_id").alias("first_doc_id"))
 
 
