@@ -13,7 +13,8 @@ from placewatch.catalog import QUERIES
 from placewatch.session import local_session
 
 HEADLINE = ("Q-01 Q-02 Q-03 Q-04 Q-05 Q-06 Q-07 Q-09 Q-10 Q-11 Q-12 Q-13 Q-14 Q-16 Q-17 Q-18 Q-20 Q-24 Q-26 Q-28 Q-29 Q-30 "
-            "AGG-01 AGG-03 AGG-07 JON-05 SPA-02 SPA-05 SPA-05-grid SET-04 SNK-05 STR-01 STR-05 TXT-01 VEC-01 WIN-02 WIN-03").split()
+            "AGG-01 AGG-03 AGG-07 JON-05 SPA-02 SPA-05 SPA-05-grid SET-04 SNK-05 STR-01 STR-05 TXT-01 VEC-01 WIN-02 WIN-03 "
+            "SNK-05-table STR-06 TXT-03 VEC-02 SRC-15 UDF-01 Q-26-scenarios").split()
 
 
 def main() -> None:
