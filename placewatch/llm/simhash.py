@@ -9,6 +9,11 @@ the same keys, and complete distances are verified where rows meet.
 No pair is made inside a group of near copies but what joins it: first each
 fingerprint meets the smallest one of its keys, then only pairs between
 different components are left to look for.
+
+``one_of_each`` adds an exact source of candidates, as fingerprints alone miss
+similar texts: two sets of a Jaccard similarity have an element in common among
+the first few of each in any order of all elements (prefix filter). The order
+puts elements first that are rare in a sample; the sample decides on speed only.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ from .components import components
 SEED = 42
 #: Distinct values whose 0/1 columns a task holds at a time.
 COLUMNS = 4096
+#: About so many documents are sampled for common shingles; those in so many of them are common, and so many of these at most are broadcast.
+SAMPLED, COMMON, MOST_COMMON = 4096, 3, 200_000
+#: Longs of the parities of a set: bit i is the parity of the elements that are i modulo all bits. The second are for pairs that pass the first.
+PARITY, WIDE = 16, 128
 
 
 def _hashes(text: str, words: int, distinct: bool) -> np.ndarray:
@@ -237,26 +246,136 @@ def _shingle_sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFra
     return one.mapInArrow(shingles, "node long, s array<long>")
 
 
+def _common(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many sampled documents have, in order, and how many of them. Bounded by ``MOST_COMMON``."""
+    def shingles(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashes(t.as_py(), words, False)).view(np.int64))], ["x"])
+
+    every = max(1, documents.count() // SAMPLED)
+    some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")))
+    counts = some.mapInArrow(shingles, "x long").groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    got = counts.orderBy(F.desc("n"), "x").limit(MOST_COMMON).toArrow()
+    x, n = got.column("x").to_numpy(), got.column("n").to_numpy()
+    order = np.argsort(x)
+    return x[order], n[order]
+
+
+def _first_shingles(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """So many elements of a set, rare ones first, that a set of ``similarity`` has one of its own first elements among them."""
+    x, n = common
+    times = np.zeros(len(s), np.int64)
+    if len(x):
+        at = np.minimum(np.searchsorted(x, s), len(x) - 1)
+        times = np.where(x[at] == s, n[at], 0)
+    enough = int(np.ceil(similarity * len(s) - 1e-9))
+    return s[np.lexsort((s, times))][:len(s) - enough + 1]
+
+
+def _parity(s: np.ndarray, longs: int) -> np.ndarray:
+    return np.packbits((np.bincount(s & (64 * longs - 1), minlength=64 * longs) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """``node``, ``n`` and ``parity`` of ``WIDE`` longs of each set."""
+    def made(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [x.values.to_numpy() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int32()),
+                                              pa.array([_parity(x, WIDE) for x in found], pa.list_(pa.int64()))], ["node", "n", "parity"])
+
+    return sets.select("node", "s").mapInArrow(made, "node long, n int, parity array<long>")
+
+
+def _close(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that may reach the similarity: parities differ in as many bits at most as there are elements that only one of two sets has."""
+    left = prints.select(F.col("node").alias("a"), "n", "parity")
+    right = prints.select(F.col("node").alias("b"), F.col("n").alias("o_n"), F.col("parity").alias("o_parity"))
+    bits = F.aggregate(F.zip_with("parity", "o_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    may = bits - 1e-6 <= (F.col("n") + F.col("o_n")) * ((1 - similarity) / (1 + similarity))
+    return pairs.join(left, "a").join(right, "b").where(may).select("a", "b").distinct()
+
+
+def _prints(documents: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``doc_id``, ``_digest``, ``fp`` of the distinct words, ``n`` shingles, the first ones of them, ``firsts``, and their ``parity``, for each row."""
+    common = documents.sparkSession.sparkContext.broadcast(_common(documents, words))
+    text = F.coalesce("text", F.lit(""))
+
+    def made(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fps, sizes, firsts, parities = [], [], [], []
+            for t in batch.column(2):
+                s = np.unique(_hashes(t.as_py(), words, False)).view(np.int64)
+                s.sort()
+                fps.append(fingerprint(_hashes(t.as_py(), 1, True)))
+                sizes.append(len(s))
+                firsts.append(_first_shingles(s, common.value, similarity))
+                parities.append(_parity(s, PARITY))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()),
+                                              pa.array(firsts, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))],
+                                             ["doc_id", "_digest", "fp", "n", "firsts", "parity"])
+
+    kept = documents.select("doc_id", F.md5(text).alias("_digest"), text.alias("_text"))
+    return kept.mapInArrow(made, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, _digest string, fp long, n int, firsts array<long>, parity array<long>")
+
+
+def _across(documents: DataFrame, rows: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``a``, ``b``: all pairs of nodes of different ``roots`` whose sets reach the similarity, by the first shingles of each."""
+    own = (rows.select(F.col("doc_id").alias("node"), "n", "firsts", "parity", "_digest").join(nodes.select("node"), "node", "left_semi")
+           .dropDuplicates(["node", "_digest"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    keyed = own.select("node", "root", "n", F.posexplode("firsts").alias("at", "key"))
+    by_key = Window.partitionBy("key")
+    # Keys under which only one component is met are done.
+    open_keys = stored(keyed.withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)})
+                       .where("low != high").select("key", "node", "root", "n", "at"), "first-shingles")
+    other = open_keys.select(*[F.col(c).alias(f"o_{c}") for c in open_keys.columns])
+    # As many as both may have in common: what lies before the key in both, the key, and what lies behind it in both.
+    most = F.least("at", "o_at") + F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
+    met = open_keys.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") < F.col("o_root"))
+                         & (most + 1e-6 >= similarity * (F.col("n") + F.col("o_n") - most)))
+    met = met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+    pairs = stored(_close(met, own.select("node", "n", "parity"), similarity), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stored(_shingle_sets(documents, asked, words), "pair-shingles")
+    # Whole sets travel only with the pairs that are left.
+    pairs = stored(_close(pairs, stored(_wide(sets), "wide"), similarity), "pairs")
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("s").alias("o_s")), "b"))
+    shared = F.size(F.array_intersect("s", "o_s"))
+    return both.where(shared >= similarity * (F.size("s") + F.size("o_s") - shared)).select("a", "b")
+
+
 def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3) -> DataFrame:
     """The rows of ``documents`` but those of which a near-duplicate with a smaller doc_id stays; columns as they are.
 
     Documents are linked if their sets of ``words``-word shingles (lower-cased
     in A-Z; fewer words: all of them) have a Jaccard similarity of
     ``similarity`` or more; equal texts always are, texts without words too.
-    Candidates are components of fingerprints of the distinct words within
-    ``radius`` bits: scattered edits move these far less than fingerprints of
-    long shingles. Inside them all similarities are exact. The
-    smallest doc_id of each component stays. Rows that share a doc_id are one
+    First candidates are components of fingerprints of the distinct words
+    within ``radius`` bits: scattered edits move these far less than fingerprints
+    of long shingles. Inside them all similarities are exact. Similar texts that
+    are further apart are all found by their rarest shingles (see ``_across``),
+    so no link is lost. The smallest doc_id of each component stays. Rows that share a doc_id are one
     document, of which the row with the first text stays (repeated rows: one);
     rows with a null doc_id stay. An empty table gives no row.
     """
     known = documents.where("doc_id IS NOT NULL")
-    rows = stored(fingerprints(known.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))), 1, True, ("doc_id", "_digest")), "fingerprints")
+    rows = stored(_prints(known, words, similarity), "fingerprints")
     # Equal texts are one node, named by their smallest doc_id.
     named = rows.groupBy("_digest", "fp").agg(F.min("doc_id").alias("node"))
     nodes = named.groupBy("node").agg(F.min("fp").alias("fp"))
     blobs = stored(linked(nodes, radius, segments), "blobs")
     roots = components(similar(blobs, stored(_shingle_sets(known, blobs, words), "shingles"), similarity))
+    more = stored(_across(known, rows, nodes, roots, words, similarity), "links")
+    if not more.isEmpty():
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     keep = (rows.join(named, ["_digest", "fp"]).join(roots, "node", "left")
             .groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("root"), F.min("_digest").alias("_digest")).where("doc_id = root"))
     # One row for each document that stays.

@@ -125,6 +125,24 @@ def test_one_of_each(frame, odd, copies):
     assert one_of_each(frame([])).count() == 0
 
 
+def test_one_of_each_with_appended_blocks(frame, prose):
+    """Copies with a block of other text before or behind, just over the similarity: fingerprints miss many, none may be."""
+    rows, far = [], 0
+    for g in range(60):
+        base = prose(100 + 7 * g, 3000 + g)
+        block = prose(int((100 + 7 * g) * (0.12 + 0.1 * (g % 5) / 4)), 4000 + g)
+        rows += [(10 * g, base), (10 * g + 1, f"{base} {block}" if g % 2 else f"{block} {base}")]
+        far += (simhash_of_words(rows[-1][1]) ^ simhash_of_words(base)).bit_count() > 8
+    sets = {i: set(shingles(t, 5)) for i, t in rows}
+    want = sorted(i for i in sets if i % 10 == 0 or len(sets[i] & sets[i - 1]) < 0.8 * len(sets[i] | sets[i - 1]))
+    got = sorted(r.doc_id for r in one_of_each(frame(rows)).collect())
+    assert far > 10 and len(want) < 75 and got == want
+
+
+def simhash_of_words(text):
+    return simhash(" ".join(sorted(set(words_of(text)))), 1)
+
+
 @pytest.mark.parametrize(("most", "most_values"), [(1000, 10**6), (7, 10**6), (1000, 300)])
 def test_similar_sets(spark, most, most_values):
     """Blocks of any size give the same components, with no more edges than a block has nodes."""
