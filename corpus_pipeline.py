@@ -1,6 +1,6 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
-Toxic documents go, repeated line chunks are cut out, one document of each
+Toxic documents go, repeated passages of lines are cut out, one document of each
 group of near-duplicates stays, documents with a benchmark item go, and what is
 left is packed into sequences.
 """
@@ -26,8 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without chunks of lines met before; ``n_chars`` follows the text."""
-    return dedup_lines(docs, text_length="n_chars")
+    """All documents, without passages of two lines or more met before; ``n_chars`` follows the text."""
+    return dedup_lines(docs, text_length="n_chars", passages=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

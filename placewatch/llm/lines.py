@@ -4,6 +4,10 @@ A rolling hash over the hashes of two neighbouring lines proposes a boundary
 after the second; a proposal right after another one is passed over. So a
 boundary depends on three lines only, chunks inside a document have two lines
 at least, and inserted lines shift no boundary further away.
+
+Chunks miss what lies between the ends of a repeated passage and the next
+boundaries inside. ``repeated_passages`` looks at each two neighbouring lines
+with words instead, so repeats of two such lines or more are found whole.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: A line's hash: the first 32 bits of its MD5. Rolling hash of two lines: before * ROLL + last. One in ODDS proposes a boundary.
 ROLL, ODDS = 31, 2
 
@@ -54,9 +60,47 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     return line_chunks(documents, False).join(known, "digest").where("key != kept").select("key", "lines").distinct()
 
 
-def dedup_lines(documents: DataFrame, text_length: str | None = None, counted: bool = False) -> DataFrame:
+def line_pairs(documents: DataFrame, with_text: bool) -> DataFrame:
+    """Each line with words and the next one, with the blank lines between: ``key``, ``lines``, ``x`` (hash), ``digest`` and, if wanted, ``chunk``."""
+    lines = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
+    at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(F.get("lines", i)) != "")
+    worded = lines.select("doc_id", "h", "lines", at.alias("at"))
+
+    def pair(k: Column) -> Column:
+        first, count = F.get("at", k), F.get("at", k + 1) - F.get("at", k) + 1
+        return F.struct(first.alias("first"), count.alias("lines"), F.array_join(F.slice("lines", first + 1, count), "\n").alias("chunk"))
+
+    pairs = F.when(F.size("at") > 1, F.transform(F.sequence(F.lit(0), F.size("at") - 2), pair))
+    # Outer for the same reason as above.
+    each = worded.select("doc_id", "h", F.explode_outer(pairs).alias("p")).where("p IS NOT NULL")
+    return each.select(F.struct("doc_id", "h", "p.first").alias("key"), "p.lines", F.xxhash64("p.chunk").alias("x"), F.md5("p.chunk").alias("digest"),
+                       *([F.col("p.chunk").alias("chunk")] if with_text else []))
+
+
+def repeated_passages(documents: DataFrame) -> DataFrame:
+    """``key`` and ``lines`` of each pair of neighbouring lines whose bytes are met earlier, in the order of ``repeated_chunks``.
+
+    Equality is by bytes, which are compared for hashes met twice only. A pair
+    that begins inside its own first occurrence (a run of one line) keeps the
+    line that both share.
+    """
+    twice = stored(line_pairs(documents, False).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "line-pairs")
+    same = line_pairs(documents, True).join(twice, "x", "left_semi").groupBy("x", "digest", "chunk").agg(F.min("key").alias("kept"), F.max("key").alias("last"))
+    known = same.groupBy("x", "digest").agg(F.min("kept").alias("kept"), F.max("last").alias("last"), F.count("*").alias("n"))
+    known = stored(known.where("n = 1 AND kept != last").select("x", "digest", "kept"), "first-pairs")
+    met = line_pairs(documents, False).join(known, ["x", "digest"]).where("key != kept")
+    inside = (F.col("key.doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key.h") == F.col("kept.h"))
+              & (F.col("key.first") == F.col("kept.first") + F.col("lines") - 1)).cast("int")
+    key = F.struct("key.doc_id", "key.h", (F.col("key.first") + inside).alias("first"))
+    return met.select(key.alias("key"), (F.col("lines") - inside).alias("lines")).distinct()
+
+
+def dedup_lines(documents: DataFrame, text_length: str | None = None, counted: bool = False, passages: bool = False) -> DataFrame:
     """``documents`` without repeated multi-line chunks, the first occurrence stays; one row for each row, other columns as they are.
 
+    With ``passages``, repeats of two lines with words or more go as a whole
+    (see ``repeated_passages``), wherever chunks end; blank lines around them stay.
+
     ``counted`` adds ``_lines`` and ``_removed_lines``. The column named
     ``text_length``, if given, gets the new length of the text. A null text stays null with 0
     lines; an empty text has one line; a text all of whose lines go becomes
@@ -64,7 +108,8 @@ def dedup_lines(documents: DataFrame, text_length: str | None = None, counted: b
     alike; a null doc_id comes first in order. Lines of blanks count as lines
     of a chunk, but two lines with words are needed. Line ends are ``\\n``.
     """
-    gone = (repeated_chunks(documents).groupBy(F.col("key.doc_id").alias("_doc"), F.col("key.h").alias("_hash"))
+    found = repeated_passages(documents) if passages else repeated_chunks(documents)
+    gone = (found.groupBy(F.col("key.doc_id").alias("_doc"), F.col("key.h").alias("_hash"))
             .agg(F.sort_array(F.collect_list(F.struct(F.col("key.first").alias("first"), "lines"))).alias("_gone")))
     rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
     met = rows.join(gone, rows["_id"].eqNullSafe(gone["_doc"]) & (rows["_h"] == gone["_hash"]), "left")
@@ -73,12 +118,12 @@ def dedup_lines(documents: DataFrame, text_length: str | None = None, counted: b
     def after(k: Column) -> Column:
         return F.when(k < 0, 0).otherwise(F.get("_gone", k)["first"] + F.get("_gone", k)["lines"])
 
-    # What stays lies between two chunks that go: before the k-th, and behind the last.
+    # What stays lies between two chunks that go: before the k-th, and behind the last. Passages overlap, in order of both ends.
     until = F.concat(F.transform("_gone", lambda g: g["first"]), F.array(F.size("_all")))
-    stays = F.flatten(F.transform(until, lambda stop, k: F.slice("_all", after(k - 1) + 1, stop - after(k - 1))))
+    stays = F.flatten(F.transform(until, lambda stop, k: F.slice("_all", after(k - 1) + 1, F.greatest(stop - after(k - 1), F.lit(0)))))
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(stays, "\n"))
-    count = F.aggregate("_gone", F.lit(0), lambda n, g: n + g["lines"])
+    count = F.size("_all") - F.size(stays)
     out = met.select("_row", text.alias("_text"), F.when(F.col("_all").isNull(), 0).otherwise(F.size("_all")).alias("_lines"),
-                     F.coalesce(count, F.lit(0)).alias("_removed_lines"))
+                     F.when(F.col("_gone").isNull(), 0).otherwise(count).alias("_removed_lines"))
     new = {"text": F.col("_text"), **({text_length: F.length("_text").cast(documents.schema[text_length].dataType)} if text_length else {})}
     return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in documents.columns], *(["_lines", "_removed_lines"] if counted else []))

@@ -261,6 +261,26 @@ def test_line_dedup(frame, odd, shared_lines):
     assert dedup_lines(frame([])).count() == 0
 
 
+def test_line_dedup_of_short_passages(frame, odd, prose):
+    """Passages of 2 to 10 lines in different surroundings go whole, their first occurrence and all other lines stay."""
+    rows, want = [], {}
+    for g in range(45):
+        n = 2 + g % 9
+        passage, other = prose(8 * n, 7000 + g, 8), [prose(24, 7100 + 10 * g + k, 8) for k in range(4)]
+        passage = passage.replace("\n", "\n \n", 1) if g % 3 else passage
+        rows += [(100 + 2 * g, f"{other[0]}\n{passage}\n{other[1]}"), (101 + 2 * g, f"{other[2]}\n{passage}\n{other[3]}")]
+        want |= {100 + 2 * g: rows[-2][1], 101 + 2 * g: f"{other[2]}\n{other[3]}"}
+    rows += [(300, "same line here\n" * 30), (301, "a b\nc d\na b\nc d\na b"), (302, "\n\n\n"), (303, "just one"), (304, "just one")]
+    want |= {300: "same line here\nsame line here\n", 301: "a b\nc d", 302: "\n\n\n", 303: "just one", 304: "just one"}
+    got = dedup_lines(frame(rows).select("doc_id", "text"), counted=True, passages=True).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
+    before = {i: t.count("\n") + 1 for i, t in rows}
+    assert all(r["_lines"] == before[r.doc_id] and r["_removed_lines"] == before[r.doc_id] - (r.text.count("\n") + 1) for r in got)
+    null = dedup_lines(frame(odd), counted=False, passages=True)
+    assert null.columns == frame([]).columns and null.count() == len(odd)
+    assert {r.doc_id: r.text for r in null.collect()}[2] is None and dedup_lines(frame([]), passages=True).count() == 0
+
+
 def test_boundaries_follow_the_content():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 123, 20_000).astype(np.uint8)
