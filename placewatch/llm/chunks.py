@@ -105,10 +105,13 @@ def repeated_passages(documents: DataFrame, least_words: int = 16) -> DataFrame:
     return runs.where(F.col("words") >= least_words).select("doc_id", "h", "start", "bytes", "words", F.col("kept.doc_id").alias("first_doc_id"))
 
 
-def dedup_substrings(documents: DataFrame, least_words: int = 16) -> DataFrame:
-    """``documents`` without their repeated passages, one row for each row, other columns as they are; a null text stays null."""
+def dedup_substrings(documents: DataFrame, least_words: int = 16, counted: bool = False) -> DataFrame:
+    """``documents`` without their repeated passages, one row for each row, other columns as they are; a null text stays null.
+
+    ``counted`` adds ``_removed_bytes`` and ``_removed_words``.
+    """
     passages = repeated_passages(documents, least_words)
-    gone = passages.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "bytes"))).alias("_gone"))
+    gone = passages.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("start", "bytes", "words"))).alias("_gone"))
     rows = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"))
     met = rows.join(gone, rows["_id"].eqNullSafe(gone["_doc"]) & (rows["_h"] == gone["_hash"]), "left")
     raw = F.col("_row.text").cast("binary")
@@ -119,5 +122,10 @@ def dedup_substrings(documents: DataFrame, least_words: int = 16) -> DataFrame:
 
     parts = F.transform(until, lambda stop, k: F.substring(raw, (after(k - 1) + 1).cast("int"), (stop - after(k - 1)).cast("int")).cast("string"))
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(parts, ""))
-    out = met.select("_row", text.alias("_text"))
-    return out.select(*[(F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in documents.columns])
+
+    def total(name):
+        return F.coalesce(F.aggregate("_gone", F.lit(0).cast("long"), lambda n, g: n + g[name]), F.lit(0).cast("long")).alias(f"_removed_{name}")
+
+    out = met.select("_row", text.alias("_text"), total("bytes"), total("words"))
+    return out.select(*[(F.col("_text") if c == "text" else F.col("_row")[c]).alias(c) for c in documents.columns],
+                      *(["_removed_bytes", "_removed_words"] if counted else []))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chat, read_turns
-from .chunks import repeated_passages
+from .chunks import dedup_substrings, repeated_passages
 from .common import stored
 from .decontam import contaminated
 from .lines import dedup_lines
@@ -102,6 +102,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "first_doc_id", F.col("start").alias("start_byte"), F.col("bytes").alias("n_bytes"), F.col("words").alias("n_words"))
 
 
+def op5_substring_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after substring dedup: the bytes and words it lost, and its text as length and digest."""
+    out = dedup_substrings(table(spark, sf_dir, "documents"), counted=True)
+    return out.select("doc_id", F.col("_removed_bytes").alias("removed_bytes"), F.col("_removed_words").alias("removed_words"),
+                      F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = stored(pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY)), "packed")
     return pieces(packed).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -153,6 +160,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_chat_formatting, op3_benchmark_decontamination, op4_simhash_near_dedup,
-    op5_substring_dedup, op6_packing, op7_quality_rules, op8_line_dedup,
+    op5_substring_dedup, op5_substring_dedup_texts, op6_packing, op7_quality_rules, op8_line_dedup,
     op9_toxicity, op10_sharding)}
 ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL}

@@ -342,3 +342,33 @@ def test_whole_tables_against_brute_force(spark):
     fps = {i: simhash(t) for i, t in rows}
     root = links(fps, [(a, b) for a, b in itertools.combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 4])
     assert {(r.doc_id, r.fingerprint, r.component_id) for r in q.op4_simhash_near_dedup(spark, SF).collect()} == {(i, f"{f:016x}", root[i]) for i, f in fps.items()}
+
+
+def test_texts_after_substring_dedup_against_brute_force(spark):
+    """The registered query returns every document, those without a passage too, with what is left of its text."""
+    import hashlib
+
+    from placewatch.llm import queries as q
+    from .conftest import SF
+    seen, want = set(), {}
+    for i, t in sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()):
+        raw, kept, run, lost = (t or "").encode(), b"", [], [0, 0]
+        at = [0, *boundaries(np.frombuffer(raw, np.uint8)).tolist()]
+        for a, b in [*zip(at, at[1:], strict=False), (len(raw), len(raw))]:
+            if a < b and raw[a:b] in seen:
+                run.append((a, b))
+                continue
+            if run:
+                first, last = run[0][0], run[-1][1]
+                words = len(re.findall(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", raw[:last])) - len(re.findall(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", raw[:first]))
+                if words >= 16:
+                    lost = [lost[0] + last - first, lost[1] + words]
+                else:
+                    kept += raw[first:last]
+            run = []
+            seen.add(raw[a:b])
+            kept += raw[a:b]
+        want[i] = (*lost, None if t is None else len(kept.decode()), None if t is None else hashlib.md5(kept).hexdigest())
+    got = q.QUERIES["op5_substring_dedup_texts"](spark, SF).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    assert any(w[0] for w in want.values()) and not all(w[0] for w in want.values())
