@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import scratch
+from .audit import count_masks, document_stream, interactions
 from .chat import format_chat, read_turns
 from .chunks import dedup_substrings, repeated_passages
 from .common import stored
@@ -158,8 +160,45 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = document_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
+    return interactions(count_masks(stream, table(spark, sf_dir, "labels"), scratch(spark, "llm/audit")))
+
+
+OP13_SQL = r"""
+WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+      100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+      coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f
+  FROM d LEFT JOIN l USING (doc_id)),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS i),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS p, a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step, unnest(p) AS own, p FROM o),
+m AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+g AS (
+  SELECT part, filter_order, step, own, n, good, toxic, f, f[own] AS fails,
+    len(list_filter(p[1:step - 1], lambda k: f[k])) > 0 AS gone FROM m, s),
+a AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails AND len(list_filter(f, lambda k: k)) = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+  FROM g GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM a"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_chat_formatting, op3_benchmark_decontamination, op4_simhash_near_dedup,
     op5_substring_dedup, op5_substring_dedup_texts, op6_packing, op7_quality_rules, op8_line_dedup,
-    op9_toxicity, op10_sharding)}
-ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL}
+    op9_toxicity, op10_sharding, op13_filter_interaction)}
+ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL,
+           "op13_filter_interaction": OP13_SQL}
