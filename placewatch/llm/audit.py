@@ -115,15 +115,22 @@ def interactions(counts: DataFrame) -> DataFrame:
     """Every order of the filters, step by step, per part: from counters alone, a row per part and at most 32 masks."""
     part = counts.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("m"))
     orders = F.array(*[F.lit("".join(o)) for o in permutations(LETTERS)])
-    part = part.withColumn("filter_order", F.explode(orders)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(LETTERS)))))
-    place = {x: F.instr("filter_order", x) for x in LETTERS}
-    part = part.withColumn("_own", sum((F.when(p == F.col("step"), 1 << i).otherwise(0) for i, (x, p) in enumerate(place.items())), F.lit(0)))
-    part = part.withColumn("_before", sum((F.when(p < F.col("step"), 1 << i).otherwise(0) for i, (x, p) in enumerate(place.items())), F.lit(0)))
+
+    def bits(test) -> Column:
+        return sum((F.when(test(x), 1 << i).otherwise(0) for i, x in enumerate(LETTERS)), F.lit(0))
+
+    def steps(order: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(len(LETTERS))), lambda s: F.struct(
+            order.alias("filter_order"), s.alias("step"), bits(lambda x: F.instr(order, x) == s).alias("own"),
+            bits(lambda x: F.instr(order, x) < s).alias("before")))
+
+    # A constant, so that filters and those before them are not looked up again for each mask.
+    part = part.select("part", "m", F.inline(F.flatten(F.transform(orders, steps))))
 
     def total(of: str, test) -> Column:
         return F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + F.when(test(x["mask"]), x[of]).otherwise(0))
 
-    own, before = F.col("_own"), F.col("_before")
+    own, before = F.col("own"), F.col("before")
 
     def here(m: Column) -> Column:
         return (m.bitwiseAND(own) != 0) & (m.bitwiseAND(before) == 0)
