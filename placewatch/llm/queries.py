@@ -10,12 +10,13 @@ from ..sources.sinks import scratch
 from .audit import count_masks, document_stream, interactions
 from .chat import format_chat, read_turns
 from .chunks import dedup_substrings, repeated_passages
-from .common import stored
+from .common import stored, text_of, words_of
 from .decontam import contaminated
 from .lines import dedup_lines
 from .packing import pack_examples, pieces
 from .quality import judge_quality, learn_quality
 from .repair import read_documents, token_blocks
+from .runs import periodic_runs
 from .shards import shuffle_to_shards
 from .simhash import near_duplicates
 from .toxicity import learn_toxicity, score_toxicity
@@ -160,6 +161,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; one in ten, by its id, is first made to repeat its own words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+    words = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"), F.when(h % 10 == 0, words_of(text_of())).alias("w"), g.alias("g"))
+    made = words.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")).withColumn(
+        "p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    other = F.array_join(F.transform("w", lambda _, i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))), " ")
+    out = periodic_runs(made.select("doc_id", F.when(F.col("n") > 0, other).otherwise(F.col("text")).alias("text")))
+    # Exact comparison of length / period; of equal ones the first in order stays.
+    best = F.reduce("_runs", F.get("_runs", F.lit(0)), lambda a, x: F.when(x["length"] * a["period"] > a["length"] * x["period"], x).otherwise(a))
+    shown = F.array_join(F.transform("_runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return (out.withColumn("_best", best)
+            .select("doc_id", F.size("_runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+                    F.floor(1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"),
+                    F.sha2(F.when(F.size("_runs") > 0, F.concat(shown, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+                    F.sha2("_collapsed", 256).alias("collapsed_sha256")))
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = document_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     return interactions(count_masks(stream, table(spark, sf_dir, "labels"), scratch(spark, "llm/audit")))
@@ -199,6 +219,6 @@ FROM a"""
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_chat_formatting, op3_benchmark_decontamination, op4_simhash_near_dedup,
     op5_substring_dedup, op5_substring_dedup_texts, op6_packing, op7_quality_rules, op8_line_dedup,
-    op9_toxicity, op10_sharding, op13_filter_interaction)}
+    op9_toxicity, op10_sharding, op11_periodic_runs, op13_filter_interaction)}
 ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL,
            "op13_filter_interaction": OP13_SQL}
