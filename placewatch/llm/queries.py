@@ -12,6 +12,7 @@ from .chat import format_chat, read_turns
 from .chunks import dedup_substrings, repeated_passages
 from .common import stored, text_of, words_of
 from .decontam import contaminated
+from .lattice import learn_lattice, score_documents
 from .lines import dedup_lines
 from .packing import pack_examples, pieces
 from .quality import judge_quality, learn_quality
@@ -22,6 +23,7 @@ from .simhash import near_duplicates
 from .toxicity import learn_toxicity, score_toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
+LATTICE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,6 +182,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("_collapsed", 256).alias("collapsed_sha256")))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    model = learn_lattice(documents, public_tokenizers.path(LATTICE_VOCABULARY), training=~held_out)
+    return score_documents(documents, model).select(
+        "doc_id", held_out.alias("held_out"), F.col("_tokens").alias("n_tokens"), F.col("_known").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = document_stream(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
     return interactions(count_masks(stream, table(spark, sf_dir, "labels"), scratch(spark, "llm/audit")))
@@ -219,6 +230,6 @@ FROM a"""
 QUERIES = {f.__name__: f for f in (
     op1_token_ids, op2_chat_formatting, op3_benchmark_decontamination, op4_simhash_near_dedup,
     op5_substring_dedup, op5_substring_dedup_texts, op6_packing, op7_quality_rules, op8_line_dedup,
-    op9_toxicity, op10_sharding, op11_periodic_runs, op13_filter_interaction)}
+    op9_toxicity, op10_sharding, op11_periodic_runs, op12_lm_scoring, op13_filter_interaction)}
 ORACLES = {"op2_chat_formatting": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op8_line_dedup": OP8_SQL,
            "op13_filter_interaction": OP13_SQL}
