@@ -199,7 +199,7 @@ class LatticeModel:
     all_words: int
 
 
-def learn_lattice(documents: DataFrame, path: str, training: Column, rounds: int = 2, prior: float = 1.0) -> LatticeModel:
+def learn_lattice(documents: DataFrame, path: str, training: Column, rounds: int = 4, prior: float = 1.0) -> LatticeModel:
     """Learn the uses of the vocabulary's pieces from the documents where ``training`` is true.
 
     ``rounds`` of expectation maximisation start from the vocabulary's own
