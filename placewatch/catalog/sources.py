@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import history as H
 from ..operators.joins import attach_scalars
 from ..plans.datasets import Datasets
+from ..sources import changes as C
 from ..sources import files as SF
 from ..sources import landing as L
 from ..sources import sinks as K
@@ -259,6 +260,27 @@ def versioned(t):
     return K.upsert_table(t.spark, path, t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit("second").alias("v")), ["k"])
 
 
+@query("SNK-05-changes", """
+    SELECT c_custkey AS k, CASE WHEN c_custkey % 20 = 0 THEN 'third' WHEN c_custkey % 10 = 0 THEN 'second' ELSE 'first' END AS v,
+      CASE WHEN c_custkey % 20 = 0 THEN c_acctbal END AS added FROM customer""")
+def changed(t):
+    """Three merges of fewer and fewer keys, of which the last adds a column; the first two are folded together in between."""
+    path = K.scratch(t.spark, "changes")
+    for name, rule in (("first", "true"), ("second", "c_custkey % 10 = 0"), ("third", "c_custkey % 20 = 0")):
+        rows = t.customer.where(rule).select(F.col("c_custkey").alias("k"), F.lit(name).alias("v"), F.col("c_acctbal").alias("added"))
+        C.merge_changes(t.spark, path, rows if name == "third" else rows.drop("added"), ["k"], name=name)
+        if name == "second":
+            C.compact_changes(t.spark, path)
+    return C.read_changes(t.spark, path)
+
+
+@query("SNK-11-zorder", "SELECT l_partkey, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate, l_orderkey, l_linenumber FROM lineitem")
+def z_ordered(t):
+    path = K.scratch(t.spark, "zorder")
+    K.z_ordered(t.lineitem.select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber"), ["l_partkey", "l_shipdate"], files=16).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 @query("PRJ-02-cells", """
     SELECT hazard_id, CASE WHEN longitude IS NULL THEN NULL ELSE CAST(floor((latitude + 90) * 4) AS BIGINT) * 1440 + CAST(floor((longitude + 180) * 4) AS BIGINT) END AS h3_cell,
            strftime(make_timestamp(created_ms * 1000), '%Y-%m-%d %H:%M:%S') AS created_ts FROM hazards_raw""", ("hazards_raw",))

@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +63,41 @@ def clustered(df: DataFrame, keys: list[str], files: int | None = None) -> DataF
     return ranged.sortWithinPartitions(*keys)
 
 
+def z_ordered(df: DataFrame, columns: list[str], files: int, bits: int = 8, sample: int = 20_000) -> DataFrame:
+    """Rows along a Z-order curve over several columns, so that statistics of each file let readers skip by any of them.
+
+    A column's value counts by its place among 2^``bits`` ranges of about equal
+    size, whose bounds come from at most ``sample`` rows, those with the least
+    hash of these columns; the bits of the places are interleaved. The sample
+    decides on the order of rows only. NULL is the first range; of one very
+    common value all rows lie together, and ties of the curve are in the order
+    of the columns.
+    """
+    known = df.select(*columns).orderBy(F.xxhash64(*columns)).limit(sample).collect()
+    code = F.lit(0).cast("long")
+    for i, c in enumerate(columns):
+        seen = sorted(r[i] for r in known if r[i] is not None)
+        bounds = [seen[len(seen) * k // 2**bits] for k in range(1, 2**bits)] if seen else []
+        if not bounds:
+            continue
+        limits = F.array(*[F.lit(b) for b in bounds]).cast(T.ArrayType(df.schema[c].dataType))
+        code = code + _spread(_place(F.col(c), limits, bits), bits, len(columns), i)
+    return (df.withColumn("_z", code).repartitionByRange(files, "_z", *columns).sortWithinPartitions("_z", *columns).drop("_z"))
+
+
+def _place(value: Column, limits: Column, bits: int) -> Column:
+    """How many limits are not above the value, by binary search: a step is taken where the limit before its end allows it."""
+    return F.reduce(F.array(*[F.lit(2**k) for k in reversed(range(bits))]), F.lit(0),
+                    lambda at, step: at + F.when(F.get(limits, at + step - 1) <= value, step).otherwise(0))
+
+
+def _spread(place: Column, bits: int, gap: int, first: int) -> Column:
+    """The bits of a number moved apart, ``gap`` places each, from place ``first`` on."""
+    start = F.struct(place.cast("long").alias("rest"), F.lit(0).cast("long").alias("out"))
+    powers = F.array(*[F.lit(2**(k * gap + first)).cast("long") for k in range(bits)])
+    return F.reduce(powers, start, lambda a, p: F.struct(F.shiftright(a["rest"], 1).alias("rest"), (a["out"] + (a["rest"] % 2) * p).alias("out")), lambda a: a["out"])
+
+
 def replace(df: DataFrame, path: str, cluster_by: tuple[str, ...] = ()) -> None:
     out = clustered(df, list(cluster_by)) if cluster_by else df
     out.write.mode("overwrite").parquet(path)
@@ -81,6 +117,16 @@ def land(df: DataFrame, root: str, subdir: str, batch_time: dt.datetime) -> str
     return path
 
 
+def land_arrays(df: DataFrame, folder: str, rows: int = 10_000) -> None:
+    """Rows as files of one JSON array each, over several lines, of about ``rows`` objects a file's block."""
+    number = F.monotonically_increasing_id()
+    block = df.select(F.to_json(F.struct(*df.columns)).alias("o"), (number / rows).cast("long").alias("b"))
+    text = F.concat(F.lit("[\n "), F.array_join(F.collect_list("o"), ",\n "), F.lit("\n]"))
+    arrays = block.groupBy("b").agg(text.alias("value"))
+    # A text file holds the lines of one array only.
+    arrays.repartition(F.col("b")).write.partitionBy("b").mode("append").text(folder)
+
+
 def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[str],
                  order_by: list[str] | None = None, buckets: int = 64, newest: bool = False, files: int = 8) -> DataFrame:
     """Merge into a Parquet table kept in ``buckets`` folders by a hash of the keys; returns the new table.
@@ -98,15 +144,15 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     staged = scratch(spark, "merge")
     source.withColumn("_bucket", F.pmod(number, F.lit(buckets)).cast("int")).write.parquet(staged)
     source = spark.read.parquet(staged)
-    if table_exists(spark, path):
+    if table_exists(spark, f"{path}/_buckets"):
         if (kept := int(noted(spark, f"{path}/_buckets"))) != buckets:
             raise ValueError(f"{path} is kept in {kept} buckets, not {buckets}")
         touched = [r[0] for r in source.select("_bucket").distinct().collect()]   # at most ``buckets`` numbers
-        before = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
-        before = before.select(*source.columns)
+        before = spark.read.schema(source.schema).parquet(path).where(F.col("_bucket").isin(touched))
     else:
+        # The first merge, or one after a first merge that failed: what that one left behind is replaced.
+        drop(spark, path)
         before = source.limit(0)
-        note(spark, f"{path}/_buckets", str(buckets))
     if newest:
         merged = latest_per_key(before.unionByName(source), ["_bucket", *keys], order_by)
     else:
@@ -114,20 +160,60 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     part = F.pmod(F.shiftrightunsigned(number, 32), F.lit(files))
     (merged.repartition("_bucket", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("_bucket").parquet(path))
+    # Only now is there a table. A merge without rows leaves its columns, so that an empty table can be read.
+    note(spark, f"{path}/_merged", source.drop("_bucket").schema.json())
+    note(spark, f"{path}/_buckets", str(buckets))
     drop(spark, staged)
     return read_merged(spark, path)
 
 
 def note(spark: SparkSession, file: str, text: str) -> None:
-    """Keep a short text in one file, replaced as a whole; readers of tables pass over names that begin with an underscore."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(file).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new = path(f"{file}.{uuid.uuid4().hex}")
-    out = fs.create(new, True)
+    """Keep a short text in one file, replaced in one step: a reader finds the old text or the new one, never none.
+
+    Readers of tables pass over names that begin with an underscore.
+    """
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    old = fs.Path(file)
+    new = fs.Path(old.getParent(), f"_new.{uuid.uuid4().hex}")
+    out = new.getFileSystem(conf).create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(old.toUri(), conf).rename(new, old, how)
+
+
+def note_next(spark: SparkSession, folder: str, text: str, number: int | None = None) -> int | None:
+    """Add the next numbered note of a folder, from 1, or the one of ``number``; None where another writer took the number first."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    number = number or max(notes(spark, folder), default=0) + 1
+    path, new = fs.Path(f"{folder}/_{number:08d}"), fs.Path(f"{folder}/_new.{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(new, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(path(file), False)
-    fs.rename(new, path(file))
+    # A rename without OVERWRITE fails where the name is taken, so that a note is there as a whole or not at all.
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").NONE
+    try:
+        fs.FileContext.getFileContext(path.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, path, how)
+    except Py4JJavaError as e:
+        files.delete(new, False)
+        if "FileAlreadyExists" in str(e.java_exception):
+            return None
+        raise
+    return number
+
+
+def notes(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of a folder's notes, rising."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(path))
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"_\d{8}", n))
 
 
 def noted(spark: SparkSession, file: str) -> str:
@@ -146,7 +232,8 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("_bucket")
+    columns = T.StructType.fromJson(json.loads(noted(spark, f"{path}/_merged")))
+    return spark.read.schema(columns).parquet(path).drop("_bucket")
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:

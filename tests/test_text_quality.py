@@ -15,6 +15,7 @@ from placewatch.operators.vector import top_k
 from placewatch.plans import claims as C
 from placewatch.plans.datasets import Datasets
 from placewatch.sources import files as SF
+from placewatch.sources import changes as CH
 from placewatch.sources import landing as L
 from placewatch.sources import sinks as K
 from placewatch.streaming import ingest as I
@@ -283,7 +284,7 @@ def test_late_rows(spark, folder, rows):
     def run():
         s = spark.readStream.schema("ts timestamp, k string, v long").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
         I.store_rollup(I.daily_rollup(s, "ts", ["k"], {"n": F.sum("v")}, "1 day"), f"{folder}/t", ["day", "k"], f"{folder}/cp").awaitTermination()
-        return rows(K.read_merged(spark, f"{folder}/t").select(F.col("day").cast("string").alias("day"), "n"))
+        return rows(CH.read_changes(spark, f"{folder}/t").select(F.col("day").cast("string").alias("day"), "n"))
     put("a", [("2026-05-01 10:00", "x", 1), ("2026-05-01 11:00", "x", 2)])
     assert run() == [("2026-05-01", 3)]
     put("b", [("2026-05-05 10:00", "x", 5), ("2026-05-01 12:00", "x", 4)])
@@ -298,7 +299,7 @@ def test_latest_row_ignores_older_arrivals(spark, folder, rows):
         spark.createDataFrame(data, "k long, at long, v string").coalesce(1).write.parquet(f"{folder}/in/{name}")
         s = spark.readStream.schema("k long, at long, v string").option("recursiveFileLookup", True).parquet(f"{folder}/in")
         I.keep_latest(s, f"{folder}/t", ["k"], ["at"], f"{folder}/cp").awaitTermination()
-        return rows(K.read_merged(spark, f"{folder}/t"), "k", "v")
+        return rows(CH.read_changes(spark, f"{folder}/t"), "k", "v")
     assert run("a", [(1, 5, "a5"), (1, 4, "a4"), (2, 1, "b1")]) == [(1, "a5"), (2, "b1")]
     assert run("b", [(1, 3, "late"), (2, 9, "b9"), (3, 1, "c1")]) == [(1, "a5"), (2, "b9"), (3, "c1")]
 
