@@ -88,13 +88,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings of special tokens: a text that holds one goes to the library as a whole, where it becomes that token.
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
         self.odd = regex.compile(r"[\x1c-\x1f\x85]").search  # white space to some engines only
         self.pieces = _Pieces(self.whole.model)
         self.words = _Words(self.pieces, self.cut, self.odd)
 
     def encode(self, text: str) -> bytes:
+        for mark in self.special:
+            if mark in text:
+                return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         first, cut, rest = text.partition(" ")
         try:
             if first[-1:].isspace() or self.odd(first):

@@ -22,7 +22,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def whole():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
 
 
@@ -156,7 +155,6 @@ def test_query_digests(spark):
         raw = (text[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "rows", None)
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     at = 0
     for r in q.op1_token_ids(spark, SF).orderBy("doc_id").collect():
         ids = np.array(t.encode(text[r.doc_id] or "", add_special_tokens=False).ids + [0], "<u4")
