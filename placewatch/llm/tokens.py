@@ -12,7 +12,7 @@ from array import array
 from .common import per_process
 
 #: Entries per cache generation; two generations are kept, so memory is bounded.
-CACHED = 500_000
+CACHED = 700_000
 #: Longer words are encoded each time.
 LONGEST = 48
 
