@@ -14,11 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 
 #: A line's hash: the first 32 bits of its MD5. Rolling hash of two lines: before * ROLL + last. One in ODDS proposes a boundary.
 ROLL, ODDS = 31, 2
+#: Bits of the map of hashes met twice (8 MB); a power of two. Where it fills up, it only spares fewer rows the shuffle.
+MAP_BITS = 1 << 26
 
 
 def _line_hash(line: Column) -> Column:
@@ -61,38 +64,57 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
 
 
 def line_pairs(documents: DataFrame, with_text: bool) -> DataFrame:
-    """Each line with words and the next one, with the blank lines between: ``key``, ``lines``, ``x`` (hash), ``digest`` and, if wanted, ``chunk``."""
+    """Each line with words and the next one, with the blank lines between: ``key``, ``k`` (number in the text), ``lines``, ``x`` (hash), ``digest`` and, if wanted, ``chunk``."""
     lines = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
     at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.trim(F.get("lines", i)) != "")
     worded = lines.select("doc_id", "h", "lines", at.alias("at"))
 
     def pair(k: Column) -> Column:
         first, count = F.get("at", k), F.get("at", k + 1) - F.get("at", k) + 1
-        return F.struct(first.alias("first"), count.alias("lines"), F.array_join(F.slice("lines", first + 1, count), "\n").alias("chunk"))
+        return F.struct(k.alias("k"), first.alias("first"), count.alias("lines"), F.array_join(F.slice("lines", first + 1, count), "\n").alias("chunk"))
 
     pairs = F.when(F.size("at") > 1, F.transform(F.sequence(F.lit(0), F.size("at") - 2), pair))
     # Outer for the same reason as above.
     each = worded.select("doc_id", "h", F.explode_outer(pairs).alias("p")).where("p IS NOT NULL")
-    return each.select(F.struct("doc_id", "h", "p.first").alias("key"), "p.lines", F.xxhash64("p.chunk").alias("x"), F.md5("p.chunk").alias("digest"),
+    return each.select(F.struct("doc_id", "h", "p.first").alias("key"), "p.k", "p.lines", F.xxhash64("p.chunk").alias("x"), F.md5("p.chunk").alias("digest"),
                        *([F.col("p.chunk").alias("chunk")] if with_text else []))
 
 
+def _likely(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """Rows whose ``x`` may be among ``some``, by a bit map of fixed size; none that is there gets lost."""
+    def place(x: str) -> Column:
+        return F.pmod(F.col(x), F.lit(MAP_BITS)) + 1
+
+    maps = some.groupBy(F.bitmap_bucket_number(place("x")).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("x"))).alias("_map"))
+    at = F.bitmap_bit_position(place("x"))
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # At most MAP_BITS / 32768 rows of 4 KB: the size of what is broadcast is known.
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(place("x"))).join(F.broadcast(maps), "_bucket")
+    return met.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("_bucket", "_map")
+
+
 def repeated_passages(documents: DataFrame) -> DataFrame:
-    """``key`` and ``lines`` of each pair of neighbouring lines whose bytes are met earlier, in the order of ``repeated_chunks``.
+    """``key`` and ``lines`` of the lines that go: pairs of neighbouring lines whose bytes are met earlier, in the order of ``repeated_chunks``.
 
-    Equality is by bytes, which are compared for hashes met twice only. A pair
-    that begins inside its own first occurrence (a run of one line) keeps the
-    line that both share.
+    The first occurrence of each repeated pair stays whole: a line that such a
+    pair shares with a pair that goes stays too. Equality is by bytes; only the
+    bytes of pairs whose hash is met twice are shuffled, those of all others
+    stay where they are read.
     """
     twice = stored(line_pairs(documents, False).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "line-pairs")
-    same = line_pairs(documents, True).join(twice, "x", "left_semi").groupBy("x", "digest", "chunk").agg(F.min("key").alias("kept"), F.max("key").alias("last"))
+    same = _likely(line_pairs(documents, True), twice).join(twice, "x", "left_semi")
+    same = same.groupBy("x", "digest", "chunk").agg(F.min("key").alias("kept"), F.max("key").alias("last"))
     known = same.groupBy("x", "digest").agg(F.min("kept").alias("kept"), F.max("last").alias("last"), F.count("*").alias("n"))
     known = stored(known.where("n = 1 AND kept != last").select("x", "digest", "kept"), "first-pairs")
-    met = line_pairs(documents, False).join(known, ["x", "digest"]).where("key != kept")
-    inside = (F.col("key.doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("key.h") == F.col("kept.h"))
-              & (F.col("key.first") == F.col("kept.first") + F.col("lines") - 1)).cast("int")
-    key = F.struct("key.doc_id", "key.h", (F.col("key.first") + inside).alias("first"))
-    return met.select(key.alias("key"), (F.col("lines") - inside).alias("lines")).distinct()
+    met = _likely(line_pairs(documents, False), known).join(known, ["x", "digest"]).select("key", "k", "lines", (F.col("key") == F.col("kept")).alias("first"))
+    # Rows equal in doc_id and text are one document.
+    met = met.distinct()
+    w = Window.partitionBy("key.doc_id", "key.h").orderBy("k")
+    before = F.coalesce(F.lag("first").over(w) & (F.lag("k").over(w) == F.col("k") - 1), F.lit(False)).cast("int")
+    after = F.coalesce(F.lead("first").over(w) & (F.lead("k").over(w) == F.col("k") + 1), F.lit(False)).cast("int")
+    rest = met.withColumn("_before", before).withColumn("_after", after).where("NOT first AND lines > _before + _after")
+    key = F.struct("key.doc_id", "key.h", (F.col("key.first") + F.col("_before")).alias("first"))
+    return rest.select(key.alias("key"), (F.col("lines") - F.col("_before") - F.col("_after")).alias("lines"))
 
 
 def dedup_lines(documents: DataFrame, text_length: str | None = None, counted: bool = False, passages: bool = False) -> DataFrame:

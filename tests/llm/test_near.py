@@ -271,7 +271,7 @@ def test_line_dedup_of_short_passages(frame, odd, prose):
         rows += [(100 + 2 * g, f"{other[0]}\n{passage}\n{other[1]}"), (101 + 2 * g, f"{other[2]}\n{passage}\n{other[3]}")]
         want |= {100 + 2 * g: rows[-2][1], 101 + 2 * g: f"{other[2]}\n{other[3]}"}
     rows += [(300, "same line here\n" * 30), (301, "a b\nc d\na b\nc d\na b"), (302, "\n\n\n"), (303, "just one"), (304, "just one")]
-    want |= {300: "same line here\nsame line here\n", 301: "a b\nc d", 302: "\n\n\n", 303: "just one", 304: "just one"}
+    want |= {300: "same line here\nsame line here\n", 301: "a b\nc d\na b", 302: "\n\n\n", 303: "just one", 304: "just one"}
     got = dedup_lines(frame(rows).select("doc_id", "text"), counted=True, passages=True).collect()
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
     before = {i: t.count("\n") + 1 for i, t in rows}
@@ -281,6 +281,23 @@ def test_line_dedup_of_short_passages(frame, odd, prose):
     assert {r.doc_id: r.text for r in null.collect()}[2] is None and dedup_lines(frame([]), passages=True).count() == 0
 
 
+def test_the_first_copy_of_each_passage_stays_whole(spark):
+    """Passages that overlap: a pair of lines met twice stands somewhere afterwards, whatever else goes around it."""
+    rng = np.random.default_rng(9)
+    texts = ["a\nb", "a\nb\nc", "b\nc", "q\nq\nq\nq", "z\n\nq\nq\nw", "a b\nc d\na b\nc d\na b",
+             *["\n".join(rng.choice(list("klmnop"), rng.integers(2, 9))) for _ in range(40)]]
+    got = dict(dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), passages=True).collect())
+    assert [got[i] for i in range(6)] == ["a\nb", "b\nc", "", "q\nq", "z\n\nw", "a b\nc d\na b"]
+
+    def pairs(t):
+        lines = [x for x in t.split("\n") if x.strip()]
+        return set(zip(lines, lines[1:]))
+
+    counts = collections.Counter(p for t in texts for p in pairs(t))
+    left = set().union(*[pairs(t) for t in got.values()])
+    assert all(p in left for p in counts) and sum(map(len, got.values())) < sum(map(len, texts))
+
+
 def test_boundaries_follow_the_content():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 123, 20_000).astype(np.uint8)
