@@ -295,7 +295,7 @@ def test_the_first_copy_of_each_passage_stays_whole(spark):
 
     counts = collections.Counter(p for t in texts for p in pairs(t))
     left = set().union(*[pairs(t) for t in got.values()])
-    assert all(p in left for p in counts) and sum(map(len, got.values())) < sum(map(len, texts))
+    assert all(p in left for p, n in counts.items() if n > 1) and sum(map(len, got.values())) < sum(map(len, texts))
 
 
 def test_boundaries_follow_the_content():
