@@ -102,7 +102,8 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     stay where they are read.
     """
     twice = stored(line_pairs(documents, False).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "line-pairs")
-    same = _likely(line_pairs(documents, True), twice).join(twice, "x", "left_semi")
+    # Not a semi join: that would be pushed below the map, and all pairs shuffled with their bytes.
+    same = _likely(line_pairs(documents, True), twice).join(twice, "x")
     same = same.groupBy("x", "digest", "chunk").agg(F.min("key").alias("kept"), F.max("key").alias("last"))
     known = same.groupBy("x", "digest").agg(F.min("kept").alias("kept"), F.max("last").alias("last"), F.count("*").alias("n"))
     known = stored(known.where("n = 1 AND kept != last").select("x", "digest", "kept"), "first-pairs")
