@@ -72,18 +72,10 @@ def test_large_numbers_are_not_changed(spark, folder):
 def test_rules_are_counted_in_the_pass_that_writes(spark, folder, rows):
     land(folder, "a", [{"kind": "flood"}, {"kind": "quake"}, {"kind": None}])
     rules, watched = {"known": "kind = 'flood'"}, {"long": "length(kind) > 5"}
-    seen = []
-
-    class Scans(I.StreamingQueryListener):
-        def onQueryStarted(self, event): pass
-        def onQueryIdle(self, event): pass
-        def onQueryTerminated(self, event): pass
-        def onQueryProgress(self, event): seen.append(event.progress.numInputRows)
-
     for audit in (None, f"{folder}/audit"):
         stream = L.read_landing(spark, f"{folder}/in", "kind string")
         I.ingest(stream, f"{folder}/out{bool(audit)}", f"{folder}/cp{bool(audit)}", rules, watched, audit).awaitTermination()
-    assert [p for p in os.listdir(f"{folder}/outTrue")] == [p for p in os.listdir(f"{folder}/outFalse")] == ["batch=0"]
+    assert os.listdir(f"{folder}/outTrue") == os.listdir(f"{folder}/outFalse") == ["batch=0"]
     assert rows(spark.read.parquet(f"{folder}/audit"), "rule", "action", "passed", "failed") == [("known", "drop", 1, 2), ("long", "allow", 0, 3)]
     batch = spark.createDataFrame([("flood",)], "kind string")
     counted, _ = Q.expect(batch, {**rules, **watched})
