@@ -100,6 +100,18 @@ def nested_codes(t):
     return SF.code_list(t.customer.select("c_custkey", body.alias("body")), "c_custkey", "body")
 
 
+@query("SRC-12-states", """
+    SELECT CASE c_custkey % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'malformed' WHEN 2 THEN 'no list' ELSE 'listed' END AS state,
+           count(*) AS n FROM customer GROUP BY 1""")
+def code_list_states(t):
+    """Broken, missing and list-free texts beside good ones; a text that only quotes a list holds none."""
+    kind, name = F.col("c_custkey") % 5, F.col("c_name")
+    quoted = F.concat(F.lit('{"note":"{\\"codes\\":[{\\"id\\":1}]}","name":"'), name, F.lit('"}'))
+    good = F.concat(F.lit('[0,{"codes":[{"id":"'), name, F.lit('"}]}]'))
+    body = F.when(kind == 1, F.concat(F.lit('{"codes":["'), name)).when(kind == 2, quoted).when(kind > 2, good)
+    return SF.code_list_states(t.customer.select(body.alias("body")), "body")
+
+
 @query("SRC-15", "SELECT length(text) AS chars, md5(replace(text, chr(12), ' ')) AS digest FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''")
 def page_texts(t):
     path = K.scratch(t.spark, "pages")

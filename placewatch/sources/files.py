@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,41 +29,77 @@ def read_polygons(spark: SparkSession, path: str, code: str, name: str, area: st
                       F.nullif(F.col(wkt), F.lit("")).alias("geometry_wkt"), "_source_file", "_ingest_time")
 
 
-def first_code_list(text: str | None) -> list[tuple[str, str | None]]:
-    """(code, name) of the first ``codes`` list of a JSON text in document order, at any depth."""
-    waiting = [json.loads(text)] if text is not None else []
-    while waiting:
-        at = waiting.pop()
-        if isinstance(at, dict):
-            if isinstance(codes := at.get("codes"), list):
-                break
-            waiting.extend(reversed(at.values()))
-        elif isinstance(at, list):
-            waiting.extend(reversed(at))
-    else:
-        return []
+def _marked(text: Column) -> Column:
+    """JSON text whose strings that begin like a list or an object get a leading NUL, so raw nested text stands out."""
+    return F.regexp_replace(F.ltrim(text), r'(?<!\\)"((?:\\u0000)*\s*[\[{])', r'"\\u0000$1')
+
+
+def _unmarked(value: Column) -> Column:
+    return F.regexp_replace(value, r"^\x00(\x00*\s*[\[{])", "$1")
 
-    def shown(name):
-        """Text as it is; of an object of languages English, else the first."""
-        if isinstance(name, dict):
-            name = name.get("en") or next(iter(name.values()), None)
-            return name if name is None or isinstance(name, str) else str(name)
-        return name if isinstance(name, str) else None
 
-    return [(str(c["id"]), shown(c.get("name"))) for c in codes if isinstance(c, dict) and c.get("id") is not None]
+def _first_codes(text: Column) -> Column:
+    """Raw text of the first ``codes`` list of valid JSON text, at any depth; NULL when there is none.
+
+    The text is walked level by level. A place is its list of child numbers, and
+    lists compare in document order, an object before what it holds, so the
+    smallest place wins and what lies behind a hit is not walked further.
+    """
+    container = r"^[\[{]"
+    state = "struct<open: array<struct<at: array<int>, body: string>>, hit: array<struct<at: array<int>, codes: string>>>"
+
+    def hits(state: Column) -> Column:
+        here = F.transform(state["open"], lambda o: F.struct(o["at"].alias("at"), F.when(
+            o["body"].startswith("{"), F.from_json(o["body"], "codes string")["codes"]).alias("codes")))
+        return F.slice(F.array_sort(F.concat(state["hit"], F.filter(here, lambda h: h["codes"].startswith("[")))), 1, 1)
+
+    def inside(o: Column) -> Column:
+        parts = F.when(o["body"].startswith("{"), F.map_values(F.from_json(o["body"], "map<string, string>"))).otherwise(
+            F.from_json(o["body"], "array<string>"))
+        placed = F.transform(parts, lambda c, i: F.struct(F.concat(o["at"], F.array(i)).alias("at"), c.alias("body")))
+        return F.filter(placed, lambda c: c["body"].rlike(container))
+
+    def level(state: Column, _) -> Column:
+        def deeper(hit: Column) -> Column:
+            still = F.filter(state["open"], lambda o: F.coalesce(o["at"] < F.get(hit, F.lit(0))["at"], F.lit(True)))
+            return F.struct(F.flatten(F.transform(still, inside)).alias("open"), hit.alias("hit"))
+
+        return F.transform(F.array(hits(state)), deeper)[0]
+
+    start = F.struct(F.array(F.struct(F.array().cast("array<int>").alias("at"), text.alias("body"))).alias("open"),
+                     F.array().cast("array<struct<at: array<int>, codes: string>>").alias("hit")).cast(state)
+    # No text is nested deeper than it has opening brackets; rounds after the last level have nothing to do.
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(F.regexp_replace(text, r"[^\[{]", ""))))
+    return F.get(F.aggregate(rounds, start, level)["hit"], F.lit(0))["codes"]
 
 
 def code_list(df: DataFrame, key: str, col: str) -> DataFrame:
     """(key, code, name) out of JSON text that holds a ``codes`` list at any depth; the first one in document order counts.
 
-    A name may be text or an object of languages: English first. A NULL text
-    or one without such a list gives no row.
+    A name may be text or an object of languages: English first, else the
+    first one given. A code without an id is no code. A NULL text, one that is
+    no JSON and one without such a list give no row; ``code_list_states`` counts them.
     """
-    @F.pandas_udf("array<struct<code: string, name: string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(first_code_list)
-
-    return df.select(key, F.inline(found(F.col(col))))
+    def entry(c: Column) -> Column:
+        kind = F.schema_of_variant(F.from_json(c, "name variant")["name"])
+        fields = F.from_json(c, "id string, name string")
+        languages = F.from_json(fields["name"], "map<string, string>")
+        english = F.nullif(F.from_json(fields["name"], "en string")["en"], F.lit(""))
+        name = F.when(kind == "STRING", fields["name"]).when(
+            kind.startswith("OBJECT"), F.coalesce(english, F.get(F.map_values(languages), F.lit(0))))
+        return F.struct(_unmarked(fields["id"]).alias("code"), _unmarked(name).alias("name"))
+
+    lists = (df.select(key, F.when(F.try_parse_json(col).isNotNull(), _marked(F.col(col))).alias("_text"))
+             .select(key, F.from_json(_first_codes(F.col("_text")), "array<string>").alias("_codes")))
+    entries = F.transform(F.filter("_codes", lambda c: c.startswith("{")), entry)
+    return lists.select(key, F.inline(F.filter(entries, lambda e: e["code"].isNotNull())))
+
+
+def code_list_states(df: DataFrame, col: str) -> DataFrame:
+    """Texts per state: ``listed``, ``no list``, ``malformed`` (no JSON) or ``missing`` (NULL)."""
+    state = (F.when(F.col(col).isNull(), "missing").when(F.try_parse_json(col).isNull(), "malformed")
+             .when(_first_codes(_marked(F.col(col))).isNull(), "no list").otherwise("listed"))
+    return df.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def read_business_xml(spark: SparkSession, path: str, row_tag: str = "businessEntity202001",

@@ -195,6 +195,18 @@ def test_code_list_at_any_depth(spark, rows):
     assert rows(SF.code_list(df, "k", "j")) == [(1, "A", "x"), (2, "A", None), (3, "7", "sept")]
 
 
+def test_code_list_odd_texts(spark, rows):
+    """Broken texts give no row, an object comes before what it holds, quoted JSON is no list, brackets in strings stay."""
+    quoted = '{"note":"{\\"codes\\":[{\\"id\\":1}]}","x":[[[{"codes":[{"id":"[z","name":"{k"},{"id":null},{"id":"n","name":5}]}]]]}'
+    own = '{"a":{"codes":[{"id":"in"}]},"codes":[{"id":"own","name":{"de":"D","en":""}}]}'
+    texts = [(1, own), (2, quoted), (3, '{"codes":['), (4, None), (5, ""), (6, '{"codes":7}'), (7, '{"codes":[],"z":{"codes":[{"id":"late"}]}}'),
+             (8, ' {"z":{"q":{"codes":[{"id":"deep"}]}},"a":{"codes":[{"id":"flat"}]}}')]
+    df = spark.createDataFrame(texts, "k int, j string")
+    assert rows(SF.code_list(df, "k", "j")) == [(1, "own", "D"), (2, "[z", "{k"), (2, "n", None), (8, "deep", None)]
+    assert rows(SF.code_list_states(df, "j"), "state", "n") == [("listed", 4), ("malformed", 2), ("missing", 1), ("no list", 1)]
+    assert SF.code_list(df.where("k < 0"), "k", "j").count() == 0
+
+
 def test_audit_events_are_not_cut(spark):
     log = spark.range(120).selectExpr("'e' AS event_type", "timestamp_seconds(id) AS at", "'d' AS dataset", "'r' AS rule")
     assert Q.audit_events(log, "e").count() == 120 and Q.audit_events(log, "e", 50).count() == 50
