@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import text as X
+from ..operators import vector_index as V
 from ..operators.aggregates import latency_summary
 from ..operators.vector import top_k
 from ..plans import claims
+from ..sources import sinks as K
 from .registry import ARGUED_SQL, INPUTS, NEEDS, NOW, SQL_ONLY, WHITE, query
 
 BLANK = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -99,6 +101,21 @@ def nearest_to_topics(t):
     return top_k(topics, t.embeddings, 5, "label", "v", "vec_id", "embedding").withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("VEC-01-index", """
+    SELECT label, count(*) AS n_queries, 5 * count(*) AS n_hits, true AS itself_first, true AS recalled FROM embeddings WHERE vec_id % 100 = 0 GROUP BY 1""")
+def indexed_search(t):
+    """Every hundredth vector looked for in a cell index of the whole table: hits, itself among the first, recall of 0.9 or more overall."""
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("asked"), "embedding")
+    path = K.scratch(t.spark, "index")
+    V.build_index(t.embeddings, path, 64, "vec_id")
+    found = V.search_index(t.spark, path, asked, 5, q_id="asked", c_id="vec_id")
+    share = V.recall(found, top_k(asked, t.embeddings, 5, "asked", "embedding", "vec_id", "embedding"), "asked", "vec_id")
+    own = found.groupBy("asked").agg(F.count("*").alias("n"), F.max((F.col("asked") == F.col("vec_id")) | (F.col("score") == 1)).alias("own"))
+    labels = t.embeddings.select(F.col("vec_id").alias("asked"), "label")
+    return own.join(labels, "asked").groupBy("label").agg(F.count("*").alias("n_queries"), F.sum("n").alias("n_hits"), F.min("own").alias("itself_first")).join(
+        F.broadcast(share.select((F.col("recall") >= 0.9).alias("recalled"))))
+
+
 @query("Q-14", "SELECT item_id, rank, chunk_id, round(score, 4) AS score FROM hits WHERE rank <= 5", ("chunks", "hits"))
 def guideline_search(t):
     found = claims.rank_chunks(t.benchmark, "item_id", "text", chunks(t))

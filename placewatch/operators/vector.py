@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.sinks import scratch
-from .history import top_per_key, union_all
+from .history import top_per_key
 
 BLOCK_ROWS = 4096                # queries that every task holds as one matrix
 SCORES = 4_000_000               # scores a task computes at a time
@@ -57,40 +58,48 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, q_id: str = "query_
     """The ``k`` nearest corpus rows of every query by cosine: (q_id, c_id, rank, score).
 
     Ties go to the smallest corpus id. The queries travel to the corpus in
-    blocks of about ``block`` rows, one pass over the corpus for each, so what a
-    task or the driver holds is bounded for any number of queries; the corpus
-    is never shuffled and a task emits its best ``k`` rows per query.
+    blocks of about ``block`` rows, one pass over the corpus for each. The hits of
+    a block are written and its broadcast is released before the next one is
+    read, so what a task or the driver holds is bounded for any number of
+    queries; the corpus is never shuffled and a task emits its best ``k`` rows
+    per query. ``vector_index`` passes over the corpus once.
     """
     asked = queries.select(F.col(q_id).alias("_q"), F.col(q_vec).cast("array<double>").alias("_v")).where("size(_v) > 0")
     rows = corpus.select(F.col(c_id).alias("_c"), F.col(c_vec).cast("array<double>").alias("_v")).where("size(_v) > 0")
     out = T.StructType([T.StructField("_q", asked.schema["_q"].dataType),
                         T.StructField("_c", rows.schema["_c"].dataType), T.StructField("score", T.DoubleType())])
-    found = union_all([_scan(part, rows, k, out) for part in _parts(asked, block)])
+    found = _hits(asked, rows, k, out, block)
     ranked = top_per_key(found, ["_q"], [F.desc("score"), F.asc("_c")], k, rank="rank")
     return ranked.select(F.col("_q").alias(q_id), F.col("_c").alias(c_id), "rank", F.round("score", digits).alias("score"))
 
 
-def _parts(asked: DataFrame, block: int) -> Iterator[pd.DataFrame]:
-    """The queries, written once and read back block by block in file order."""
-    path = scratch(asked.sparkSession, "queries")
+def _hits(asked: DataFrame, rows: DataFrame, k: int, out: T.StructType, block: int) -> DataFrame:
+    """The best rows of every task and query; of one block as a plan, of several from a written table."""
+    spark = rows.sparkSession
+    path = scratch(spark, "queries")
     asked.write.option("maxRecordsPerFile", block).parquet(path)
-    stored = asked.sparkSession.read.schema(asked.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"))
+    stored = spark.read.schema(asked.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"))
     sizes = [(r["_file"], r["count"]) for r in stored.groupBy("_file").count().orderBy("_file").collect()]   # one row per file
-    some, held = [], 0
-    for n, (file, rows) in enumerate(sizes):
-        some, held = [*some, file], held + rows
-        if n + 1 == len(sizes) or held + sizes[n + 1][1] > block:
-            yield stored.where(F.col("_file").isin(some)).drop("_file").toPandas()
-            some, held = [], 0
-    if not sizes:
-        yield pd.DataFrame({"_q": [], "_v": []})
-
-
-def _scan(held: pd.DataFrame, rows: DataFrame, k: int, out: T.StructType) -> DataFrame:
-    if held.empty:
-        return rows.sparkSession.createDataFrame([], out)
-    shared = rows.sparkSession.sparkContext.broadcast((held["_q"].to_numpy(), _unit(_matrix(held["_v"]))))
-
+    groups, held = [], block
+    for file, n in sizes:
+        if held + n > block:
+            groups.append([])
+            held = 0
+        groups[-1].append(file)
+        held += n
+    hits = scratch(spark, "hits")
+    for i, files in enumerate(groups):
+        part = stored.where(F.col("_file").isin(files)).drop("_file").toPandas()
+        shared = spark.sparkContext.broadcast((part["_q"].to_numpy(), _unit(_matrix(part["_v"]))))
+        found = _scan(shared, rows, k, out)
+        if len(groups) == 1:
+            return found
+        found.write.parquet(f"{hits}/block={i}")
+        shared.destroy()
+    return spark.read.schema(out).parquet(hits).select(*out.names) if groups else spark.createDataFrame([], out)
+
+
+def _scan(shared: Broadcast, rows: DataFrame, k: int, out: T.StructType) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vectors = shared.value
         best = None
