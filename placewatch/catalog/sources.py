@@ -120,6 +120,20 @@ def page_texts(t):
     return pages.where(F.trim(F.translate("text", "\n", " ")) != "").select(F.length("text").cast("long").alias("chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query("SRC-15-numbers", """
+    SELECT doc_id // 500 AS file, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id, text) AS page,
+           md5(coalesce(replace(text, chr(12), ' '), '')) AS digest FROM documents""")
+def numbered_pages(t):
+    """Files of 500 documents, a page each, and the numbers that the pages get when read back."""
+    path = K.scratch(t.spark, "numbered")
+    file = F.floor(F.col("doc_id") / 500).cast("long")
+    rows = t.documents.select(file.alias("file"), "doc_id", F.coalesce(F.regexp_replace("text", "\f", " "), F.lit("")).alias("value"))
+    (rows.repartition("file").sortWithinPartitions("file", "doc_id", "value").select("file", "value")
+     .write.partitionBy("file").option("lineSep", "\f").text(path))
+    return SF.read_pages(t.spark, path).select(F.regexp_extract("path", r"file=(\d+)", 1).cast("long").alias("file"),
+                                               F.col("page").cast("long").alias("page"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("UDF-04", "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS value FROM events")
 def table_functions(t):
     rows = t.events.select("event_id", F.parse_json("props").alias("v"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,10 +131,38 @@ def business_rows(raw: DataFrame, ingested_at) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Documents as whole-file text, one page per form feed: (path, page, text)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select("path", F.posexplode(F.split(F.col("content").cast("string"), "\f")).alias("_i", "text")).select(
-        "path", (F.col("_i") + 1).cast("int").alias("page"), "text")
+    """Text documents by page, a form feed ending each: (path, page, text), pages numbered from 1 in each file.
+
+    Files are read in byte ranges of ``spark.sql.files.maxPartitionBytes``, a page
+    by the task in whose range it begins, so a document of any size is shared by
+    many tasks; a compressed file is read by one. Text behind the last form feed
+    is a page where there is any. The pages of every range are counted by a
+    first pass, and one number per range tells where it starts.
+    """
+    raw = (spark.read.option("lineSep", "\f").option("recursiveFileLookup", True).text(path)
+           .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+                   F.monotonically_increasing_id().alias("_at")))
+    ranges = raw.groupBy("path", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select("path", "_start", "_first", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    page = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return raw.join(starts, ["path", "_start"]).select("path", page.cast("int").alias("page"), F.col("value").alias("text"))
+
+
+def page_documents(pages: DataFrame, files: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """(path, n_pages, n_chars, error_status) per document; ``files`` (path) names those that must be there.
+
+    A document without a page is ``empty``, one whose pages are all blank
+    ``no text``, one with bytes that are no UTF-8 ``broken text``; else NULL.
+    """
+    value = F.col(text)
+    found = pages.groupBy("path").agg(F.count("*").alias("n_pages"), F.sum(F.length(value)).cast("long").alias("n_chars"),
+                                      F.max(F.trim(F.regexp_replace(value, r"\s", "")) != "").alias("_any"),
+                                      F.max(~F.is_valid_utf8(value)).alias("_broken"))
+    out = files.select("path").distinct().join(found, "path", "left") if files is not None else found
+    status = F.when(F.col("n_pages").isNull(), "empty").when(F.col("_broken"), "broken text").when(~F.col("_any"), "no text")
+    return out.select("path", F.coalesce("n_pages", F.lit(0)).alias("n_pages"), F.coalesce("n_chars", F.lit(0)).alias("n_chars"),
+                      status.alias("error_status"))
 
 
 def point_read(spark: SparkSession, sql: str, args: dict) -> DataFrame:
