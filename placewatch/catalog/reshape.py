@@ -313,10 +313,16 @@ def variant_path(t):
     return t.events.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "int").alias("k"))
 
 
-@query("FN-22", "SELECT c_custkey, c_name AS name, 0 AS n FROM customer")
+@query("FN-22", """
+    SELECT c_custkey, c_name AS name, len(parts) AS n, coalesce(parts[1], 'none') AS first FROM (SELECT *, CASE c_custkey % 3
+      WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN CAST([] AS VARCHAR[]) ELSE list_filter(string_split(c_name, '0'), lambda p: p <> '') END AS parts FROM customer)""")
 def named_structs(t):
-    s = F.struct(F.col("c_name").alias("name"), F.size(F.coalesce(F.lit(None).cast("array<bigint>"), F.array().cast("array<bigint>"))).alias("n"))
-    return t.customer.select("c_custkey", s.alias("s")).select("c_custkey", "s.*")
+    """A struct with a list that is missing, empty or filled, by row; a missing one counts as a typed empty one."""
+    empty = F.array().cast("array<string>")
+    parts = F.when(F.col("c_custkey") % 3 == 1, empty).when(F.col("c_custkey") % 3 == 2, F.filter(F.split("c_name", "0"), lambda p: p != ""))
+    s = F.named_struct(F.lit("name"), F.col("c_name"), F.lit("parts"), F.coalesce(parts, empty))
+    return t.customer.select("c_custkey", s.alias("s")).select(
+        "c_custkey", "s.name", F.size("s.parts").cast("long").alias("n"), F.coalesce(F.get("s.parts", F.lit(0)), F.lit("none")).alias("first"))
 
 
 @query("FN-23", """

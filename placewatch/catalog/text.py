@@ -84,6 +84,25 @@ def embedded(t):
                     weight.cast("long").alias("weight"))
 
 
+@query("TXT-03-refresh", """
+    SELECT w.chunk_id, c.page_number % 10 < 2 AS fresh, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS words, CAST(sum(n * b) AS BIGINT) AS weight
+    FROM words w JOIN (SELECT source_uri || '::p' || page_number || '::c' || chunk_position AS chunk_id, page_number FROM chunks) c USING (chunk_id)
+    GROUP BY 1, 2""", ("words", "chunks"))
+def refreshed(t):
+    """All chunks against an earlier table in which a tenth had other texts and a tenth was missing: only those are embedded again."""
+    now = chunks(t).select("chunk_id", "page_number", "chunk_to_retrieve")
+    kind = F.col("page_number") % 10
+    then = now.where(kind != 1).withColumn("chunk_to_retrieve", F.when(kind == 0, F.concat("chunk_to_retrieve", F.lit(" older"))).otherwise(F.col("chunk_to_retrieve")))
+    path = K.scratch(t.spark, "embedded")
+    none = t.spark.createDataFrame([], "chunk_id string, text_digest string, embedding array<float>")
+    X.refresh_embeddings(then, none, X.hashed_words()).select("chunk_id", "text_digest", "embedding").write.parquet(path)
+    e = X.refresh_embeddings(now, t.spark.read.parquet(path), X.hashed_words())
+    sums = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    weight = F.aggregate(F.transform("embedding", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return e.select("chunk_id", "fresh", F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("buckets"), sums.cast("long").alias("words"),
+                    weight.cast("long").alias("weight"))
+
+
 SQL_ONLY["topic"] = """
     SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM
       (SELECT label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1"""

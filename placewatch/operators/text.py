@@ -106,6 +106,27 @@ def hashed_counts(df: DataFrame, text: str, dims: int = 64, name: str = "embeddi
     return df.withColumn("_buckets", buckets).withColumn(name, sizes).drop("_buckets")
 
 
-def new_chunks(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Chunks that have no embedding yet, by id: only these need the encoder again."""
-    return chunks.join(embedded.select("chunk_id"), "chunk_id", "left_anti")
+def refresh_embeddings(chunks: DataFrame, embedded: DataFrame, encoder: Callable[[list[str]], np.ndarray], key: str = "chunk_id",
+                       text: str = "chunk_to_retrieve", batch: int = 25) -> DataFrame:
+    """Every chunk with its embedding, the digest of its text, and ``fresh``: only new and changed texts pass through the encoder.
+
+    ``embedded`` is an earlier result (key, text_digest, embedding). A chunk that
+    is gone has no row; a NULL text has a NULL embedding and is never fresh.
+    """
+    old = embedded.select(key, F.col("text_digest").alias("_digest"), F.col("embedding").alias("_old"))
+    now = chunks.withColumn("text_digest", F.sha2(F.col(text).cast("binary"), 256))
+    both = now.join(old, key, "left").withColumn("fresh", F.col(text).isNotNull() & ~F.equal_null("_digest", "text_digest"))
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            at = np.flatnonzero(part.notna())
+            out = pd.Series([None] * len(part), dtype=object)
+            for i in range(0, len(at), batch):
+                for row, vector in zip(at[i:i + batch], encoder(part.iloc[at[i:i + batch]].tolist())):
+                    out.iat[row] = np.asarray(vector, dtype=np.float32)
+            yield out
+
+    made = both.withColumn("_new", run(F.when(F.col("fresh"), F.col(text))))
+    vector = F.when(F.col("fresh"), F.col("_new")).when(F.col(text).isNotNull(), F.col("_old"))
+    return made.select(*chunks.columns, vector.alias("embedding"), "text_digest", "fresh")

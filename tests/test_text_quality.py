@@ -61,9 +61,20 @@ def test_encoders_agree(spark):
     assert a == b and sum(a[0]) == 3.0 and sum(a[1]) == 0.0
 
 
-def test_new_chunks_only(spark, rows):
-    c = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
-    assert rows(X.new_chunks(c, spark.createDataFrame([("a",)], "chunk_id string"))) == [("b",)]
+def test_only_changed_texts_are_embedded_again(spark, folder, rows):
+    """The encoder sees new and changed texts, no others; gone ones have no row, and a NULL text no vector."""
+    def encoder(mark):
+        return lambda texts: np.array([[float(len(t)), mark] for t in texts])
+
+    def table(data):
+        return spark.createDataFrame(data, "chunk_id string, chunk_to_retrieve string")
+
+    none = spark.createDataFrame([], "chunk_id string, text_digest string, embedding array<float>")
+    X.refresh_embeddings(table([("a", "same"), ("b", "old"), ("c", "gone"), ("d", "text"), ("e", None)]), none, encoder(1.0)).write.parquet(folder + "/one")
+    now = X.refresh_embeddings(table([("a", "same"), ("b", "newer"), ("d", None), ("e", "e"), ("f", "")]), spark.read.parquet(folder + "/one"), encoder(2.0), batch=2)
+    assert rows(now, "chunk_id", "embedding", "fresh") == [
+        ("a", [4.0, 1.0], False), ("b", [5.0, 2.0], True), ("d", None, False), ("e", [1.0, 2.0], True), ("f", [0.0, 2.0], True)]
+    assert X.refresh_embeddings(table([]), none, encoder(1.0)).count() == 0
 
 
 @pytest.mark.parametrize("block", [4096, 2])
