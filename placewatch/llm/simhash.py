@@ -233,7 +233,7 @@ def similar(blobs: DataFrame, sets: DataFrame, similarity: float, most: int = 10
 
 
 def _shingle_sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """``node`` and its set of shingle hashes, for documents that are nodes; of rows that share a doc_id the first text counts."""
+    """``node`` and its set of shingle hashes; ``nodes`` has ``node`` and the ``doc_id`` and ``_digest`` of a row with its text."""
     def shingles(batches) -> Iterator:
         import pyarrow as pa
 
@@ -241,8 +241,9 @@ def _shingle_sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFra
             found = [np.unique(_hashes(t.as_py(), words, False)).astype(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
 
-    texts = documents.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    one = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    texts = documents.select("doc_id", F.md5(text).alias("_digest"), text.alias("text")).join(nodes, ["doc_id", "_digest"])
+    one = texts.groupBy("node").agg(F.min("text").alias("text"))
     return one.mapInArrow(shingles, "node long, s array<long>")
 
 
@@ -328,8 +329,8 @@ def _prints(documents: DataFrame, words: int, similarity: float) -> DataFrame:
 
 def _across(documents: DataFrame, rows: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
     """``a``, ``b``: all pairs of nodes of different ``roots`` whose sets reach the similarity, by the first shingles of each."""
-    own = (rows.select(F.col("doc_id").alias("node"), "n", "firsts", "parity", "_digest").join(nodes.select("node"), "node", "left_semi")
-           .dropDuplicates(["node", "_digest"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    own = (rows.select("doc_id", "_digest", "n", "firsts", "parity").join(nodes.select("doc_id", "_digest", "node"), ["doc_id", "_digest"])
+           .drop("doc_id", "_digest").dropDuplicates(["node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     keyed = own.select("node", "root", "n", F.posexplode("firsts").alias("at", "key"))
     by_key = Window.partitionBy("key")
     # Keys under which only one component is met are done.
@@ -343,7 +344,7 @@ def _across(documents: DataFrame, rows: DataFrame, nodes: DataFrame, roots: Data
     met = met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
     pairs = stored(_close(met, own.select("node", "n", "parity"), similarity), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_shingle_sets(documents, asked, words), "pair-shingles")
+    sets = stored(_shingle_sets(documents, nodes.select("node", "doc_id", "_digest").join(asked, "node", "left_semi"), words), "pair-shingles")
     # Whole sets travel only with the pairs that are left.
     pairs = stored(_close(pairs, stored(_wide(sets), "wide"), similarity), "pairs")
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a")
@@ -362,25 +363,26 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, r
     within ``radius`` bits: scattered edits move these far less than fingerprints
     of long shingles. Inside them all similarities are exact. Similar texts that
     are further apart are all found by their rarest shingles (see ``_across``),
-    so no link is lost. The smallest doc_id of each component stays. Rows that share a doc_id are one
-    document, of which the row with the first text stays (repeated rows: one);
-    rows with a null doc_id stay. An empty table gives no row.
+    so no link is lost. The smallest doc_id of each component stays, of several texts
+    under it the one with the least digest. Rows that share a doc_id but are not
+    alike are documents of their own and all stay; of repeated rows one does.
+    Rows with a null doc_id stay. An empty table gives no row.
     """
     known = documents.where("doc_id IS NOT NULL")
     rows = stored(_prints(known, words, similarity), "fingerprints")
-    # Equal texts are one node, named by their smallest doc_id.
-    named = rows.groupBy("_digest", "fp").agg(F.min("doc_id").alias("node"))
-    nodes = named.groupBy("node").agg(F.min("fp").alias("fp"))
-    blobs = stored(linked(nodes, radius, segments), "blobs")
-    roots = components(similar(blobs, stored(_shingle_sets(known, blobs, words), "shingles"), similarity))
-    more = stored(_across(known, rows, nodes, roots, words, similarity), "links")
+    # Equal texts are one node; the number of its row in the written table names it, as a doc_id may stand for several texts.
+    named = stored(rows.groupBy("_digest", "fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    blobs = stored(linked(named.select("node", "fp"), radius, segments), "blobs")
+    inside = named.select("node", "doc_id", "_digest").join(blobs.select("node"), "node", "left_semi")
+    roots = components(similar(blobs, stored(_shingle_sets(known, inside, words), "shingles"), similarity))
+    more = stored(_across(known, rows, named, roots, words, similarity), "links")
     if not more.isEmpty():
         roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    keep = (rows.join(named, ["_digest", "fp"]).join(roots, "node", "left")
-            .groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("root"), F.min("_digest").alias("_digest")).where("doc_id = root"))
+    keep = (named.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+            .agg(F.min(F.struct("doc_id", "_digest")).alias("_kept")).select("_kept.*"))
     # One row for each document that stays.
     first = F.row_number().over(Window.partitionBy("_doc", "_digest").orderBy(F.lit(0)))
     wide = known.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
-    kept = keep.select(F.col("doc_id").alias("_doc"), "_digest")
+    kept = keep.withColumnRenamed("doc_id", "_doc")
     stays = wide.join(kept, ["_doc", "_digest"], "left_semi").withColumn("_n", first).where("_n = 1").select("_row.*")
     return stays.unionByName(documents.where("doc_id IS NULL"))

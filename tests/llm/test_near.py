@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination, line and substring dedup against brute force."""
 
 import collections
+import hashlib
 import itertools
 import random
 import re
@@ -121,10 +122,19 @@ def test_one_of_each(frame, odd, copies):
     assert collections.Counter(r.doc_id for r in got.collect()) == want
     # Repeated rows are one document.
     again = one_of_each(frame([(1, "a b c"), (1, "a b c"), (2, "x y z"), (2, "p q r")])).collect()
-    assert sorted(r.doc_id for r in again) == [1, 2]
+    assert sorted(r.doc_id for r in again) == [1, 2, 2]
     assert one_of_each(frame([])).count() == 0
 
 
+def test_one_of_each_with_clashing_ids(frame, prose):
+    """Different texts under one doc_id are documents of their own; of alike ones the smallest doc_id stays, then the least digest."""
+    a, b, c = (prose(80, 5000 + i) for i in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b + " end"), (3, c), (3, c + " end"), (4, None), (4, a + " x"), (5, "p q r"), (5, "x y z w"), (6, "P Q R")]
+    got = sorted((r.doc_id, r.text or "") for r in one_of_each(frame(rows)).collect())
+    one_c = min(c, c + " end", key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == sorted([(1, a), (1, b), (3, one_c), (4, ""), (5, "p q r"), (5, "x y z w")])
+
+
 def test_one_of_each_with_appended_blocks(frame, prose):
     """Copies with a block of other text before or behind, just over the similarity: fingerprints miss many, none may be."""
     rows, far = [], 0
