@@ -161,3 +161,14 @@ def test_trends(spark, rows):
     window = [sum(x[3] for x in days if x[2] == dt.date(2026, 5, 12) - dt.timedelta(days=k)) for k in range(1, 31)]
     assert abs(last.trailing_avg - sum(window) / 30) < 1e-3
     assert rows(analyst.wettest_day(h))[0] == ("A", 39.0)
+
+
+def test_places_are_never_broadcast(spark, folder):
+    # A row per place or per cell of a place: the small packed file it comes from says nothing about its size.
+    frames = {"weather": weather(spark), "hazards": clean(spark), "cover": cover(spark),
+              "map": spark.createDataFrame([("A", "s1")], "poa_code string, nearest_weather_location string")}
+    for name, df in frames.items():
+        df.write.parquet(f"{folder}/{name}")
+    history = P.gold_history(*(spark.read.parquet(f"{folder}/{name}") for name in frames))
+    assert "BroadcastExchange" not in history._jdf.queryExecution().executedPlan().toString()
+    assert {r.postcode for r in history.collect()} >= {"A", "B"}
