@@ -87,3 +87,12 @@ def test_point_on_a_station(spark):
     s = spark.createDataFrame([("Bathurst", -33.42, 149.58), ("Orange", -33.28, 149.10)], "name string, lat double, lon double")
     r = P.nearest(p, s, "k", "name", "station").first()
     assert (r.station, r.distance_km) == ("Bathurst", 0.0)
+
+
+def test_first_of_ranked_looks_at_all_stations(spark, folder, rows):
+    # Customer 0 and station 0 share a place, but not a nation.
+    spark.createDataFrame([(0, 1), (900, 1)], "c_custkey long, c_nationkey int").write.parquet(f"{folder}/customer.parquet")
+    spark.createDataFrame([(0, 2), (500, 1)], "s_suppkey long, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    from placewatch.catalog import QUERIES
+    got = rows(QUERIES["WIN-04"](spark, folder), "c_custkey", "nearest", "distance_km")
+    assert got[0] == (0, 0, 0.0) and len(got) == 2
