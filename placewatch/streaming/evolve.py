@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import let
 from ..sources.sinks import note, note_next, noted, notes, table_exists
 from .ingest import write_counted
 
@@ -76,12 +77,16 @@ def _records(values: DataFrame) -> DataFrame:
     many = F.schema_of_variant("_value").startswith("ARRAY")
     parts = F.when(many, F.try_variant_get("_value", "$", "array<variant>")).otherwise(F.array("_value"))
 
-    def parsed(record: Column) -> Column:
+    def parsed(record: Column, malformed: Column) -> Column:
         is_object = F.schema_of_variant(record).startswith("OBJECT")
-        return F.struct(record.alias("_record"), F.when(is_object, F.try_variant_get(record, "$", "map<string,variant>")).alias("_fields"))
-
-    # Made inside the generator, so that a record's fields are taken apart once and not once per column.
-    return values.select(F.col("_value").isNull().alias("_malformed"), "_ingest_time", "_source_file", F.inline(F.transform(parts, parsed)))
+        return F.struct(malformed.alias("_malformed"), record.alias("_record"),
+                        F.when(is_object, F.try_variant_get(record, "$", "map<string,variant>")).alias("_fields"))
+
+    # Made inside the generator, so that a record's fields are taken apart once and not once per column. The value is
+    # looked at once: behind the generator, or per record, a whole array would be copied for each of its records.
+    whole = F.struct(F.col("_value").isNull().alias("malformed"), parts.alias("parts"))
+    taken = let(whole, lambda w: F.transform(w["parts"], lambda record: parsed(record, w["malformed"])))
+    return values.select("_ingest_time", "_source_file", F.inline(taken))
 
 
 def _new_fields(records: DataFrame, known: T.StructType, most: int) -> list[T.StructField]:

@@ -189,3 +189,14 @@ def test_z_order_lets_readers_skip_by_each_column(spark, folder):
     assert touched("s", "b", b) > 0.9 * whole
     assert spark.read.parquet(f"{folder}/z").count() == 40_000
     assert K.z_ordered(df.limit(0), ["a"], 4).count() == 0
+
+
+def test_records_do_not_carry_their_array(spark, folder):
+    # Behind the generator each record of a file would come with a copy of the whole file.
+    import re
+    spark.createDataFrame([('[{"a": 1}, 2, null]',), (None,)], "t string").write.parquet(f"{folder}/t")
+    values = spark.read.parquet(f"{folder}/t").select(F.try_parse_json("t").alias("_value"), F.lit(None).cast("timestamp").alias("_ingest_time"), F.lit("f").alias("_source_file"))
+    records = E._records(values)
+    plan = records.select("_malformed", "_fields", "_source_file")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline" in plan and re.search(r"\), \[[^\]]*_value#\d+[^\]]*\], (false|true)", plan) is None
+    assert sorted(r._malformed for r in records.select("_malformed").collect()) == [False, False, False, True]
