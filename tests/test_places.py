@@ -172,3 +172,11 @@ def test_places_are_never_broadcast(spark, folder):
     history = P.gold_history(*(spark.read.parquet(f"{folder}/{name}") for name in frames))
     assert "BroadcastExchange" not in history._jdf.queryExecution().executedPlan().toString()
     assert {r.postcode for r in history.collect()} >= {"A", "B"}
+
+
+def test_only_numbers_of_hazards_are_ranked_per_place(spark):
+    # The texts of a cell's hazards would be shuffled once for each place that holds the cell.
+    import re
+    plan = P.nearby_hazards(cover(spark), clean(spark))._jdf.queryExecution().optimizedPlan().toString()
+    orders = re.findall(r"windowspecdefinition\(poa_code#\d+, ([^\n]*?), specifiedwindowframe", plan)
+    assert orders and all(re.fullmatch(r"_pos#\d+L? ASC NULLS FIRST", o) for o in orders)
