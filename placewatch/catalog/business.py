@@ -76,6 +76,9 @@ def rain_worst(t):
 NAME = "CASE WHEN b.postcode % 3 = 0 THEN b.organisation_name WHEN b.postcode % 3 = 1 THEN b.organisation_name || ' A' ELSE 'Kim ' || b.organisation_name END"
 
 
+XML_RECORDS = 50_000   # records of a written XML file, about 30 MB
+
+
 def xml_records(t):
     """The business records written as XML files, names in three places, and read back."""
     three, name = F.col("postcode") % 3, F.col("organisation_name")
@@ -87,7 +90,8 @@ def xml_records(t):
         F.when(three == 2, F.struct(F.lit("Kim").alias("givenName"), name.alias("familyName"))).alias("legalName"),
         F.struct(F.col("state").alias("stateCode"), "postcode").alias("mainBusinessPhysicalAddress"))
     path = K.scratch(t.spark, "business-xml")
-    rows.write.format("xml").option("rowTag", "businessEntity202001").option("rootTag", "records").save(path)
+    # A reader can't split an XML file: each is written small.
+    rows.write.option("maxRecordsPerFile", XML_RECORDS).format("xml").option("rowTag", "businessEntity202001").option("rootTag", "records").save(path)
     return SF.business_rows(SF.read_business_xml(t.spark, path), NOW)
 
 
