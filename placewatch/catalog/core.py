@@ -169,7 +169,7 @@ def across_types(t):
     SELECT poa_code, hazard_id, hazard_type FROM cover JOIN active USING (h3_cell)""", ("cover", "active"))
 def cells(t):
     active = H.latest_batch(t.hazards).where(~F.col("ended") & F.col("h3_cell").isNotNull())
-    return J.cell_join(t.cover, active, "h3_cell", "inner").select("poa_code", "hazard_id", "hazard_type")
+    return J.cell_join(t.cover, active, "h3_cell", "inner", pairs=True).select("poa_code", "hazard_id", "hazard_type")
 
 
 @query("JON-06", """
