@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.common import tasks
 from ..operators.reshape import first_present, path_column
 
 
@@ -89,7 +90,9 @@ def code_list(df: DataFrame, key: str, col: str) -> DataFrame:
             kind.startswith("OBJECT"), F.coalesce(english, F.get(F.map_values(languages), F.lit(0))))
         return F.struct(_unmarked(fields["id"]).alias("code"), _unmarked(name).alias("name"))
 
-    lists = (df.select(key, F.when(F.try_parse_json(col).isNotNull(), _marked(F.col(col))).alias("_text"))
+    # A text is small and the work on it is not: the few tasks that read the texts deal them out first.
+    texts = df.select(key, col).repartition(tasks(df.sparkSession))
+    lists = (texts.select(key, F.when(F.try_parse_json(col).isNotNull(), _marked(F.col(col))).alias("_text"))
              .select(key, F.from_json(_first_codes(F.col("_text")), "array<string>").alias("_codes")))
     entries = F.transform(F.filter("_codes", lambda c: c.startswith("{")), entry)
     return lists.select(key, F.inline(F.filter(entries, lambda e: e["code"].isNotNull())))
@@ -99,7 +102,8 @@ def code_list_states(df: DataFrame, col: str) -> DataFrame:
     """Texts per state: ``listed``, ``no list``, ``malformed`` (no JSON) or ``missing`` (NULL)."""
     state = (F.when(F.col(col).isNull(), "missing").when(F.try_parse_json(col).isNull(), "malformed")
              .when(_first_codes(_marked(F.col(col))).isNull(), "no list").otherwise("listed"))
-    return df.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    texts = df.select(col).repartition(tasks(df.sparkSession))
+    return texts.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
 def read_business_xml(spark: SparkSession, path: str, row_tag: str = "businessEntity202001",

@@ -22,3 +22,9 @@ def test_pairs_of_one_key_are_returned_by_many_tasks(spark, rows):
     assert rows(out, "k", "a", "b") == rows(a.join(b, "k"), "k", "a", "b") and out.count() == 603
     assert _used(out) > 1
     assert rows(J.cell_join(a, b, "k", "inner", pairs=True), "k", "a", "b") == rows(J.cell_join(a, b, "k", "inner"), "k", "a", "b")
+
+
+def test_code_lists_of_one_file_are_read_by_many_tasks(spark):
+    df = spark.range(100).coalesce(1).select("id", F.lit('{"codes":[{"id":"a","name":"x"}]}').alias("body"))
+    out = SF.code_list(df, "id", "body")
+    assert out.count() == 100 and _used(out) > 1
