@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 from ..operators.history import latest_per_key, upsert
 
 
+FILE_ROWS = 2_000_000   # rows that one task sorts for a file
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder the session names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -104,8 +107,12 @@ def replace(df: DataFrame, path: str, cluster_by: tuple[str, ...] = ()) -> None:
 
 
 def compact(spark: SparkSession, source: str, target: str, keys: list[str], files: int) -> None:
-    """Rewrite many small files as ``files`` sorted ones, into another folder."""
-    clustered(spark.read.parquet(source), keys, files).write.mode("overwrite").parquet(target)
+    """Rewrite many small files as ``files`` sorted ones, into another folder; as more where one would hold over ``FILE_ROWS`` rows.
+
+    A file is sorted by one task, so its rows are bounded, not the table's.
+    """
+    rows = spark.read.parquet(source)
+    clustered(rows, keys, max(files, -(-rows.count() // FILE_ROWS))).write.mode("overwrite").parquet(target)
 
 
 def land(df: DataFrame, root: str, subdir: str, batch_time: dt.datetime) -> str | None:

@@ -28,3 +28,10 @@ def test_code_lists_of_one_file_are_read_by_many_tasks(spark):
     df = spark.range(100).coalesce(1).select("id", F.lit('{"codes":[{"id":"a","name":"x"}]}').alias("body"))
     out = SF.code_list(df, "id", "body")
     assert out.count() == 100 and _used(out) > 1
+
+
+def test_compaction_bounds_the_rows_of_a_file(spark, folder, monkeypatch):
+    monkeypatch.setattr(K, "FILE_ROWS", 100)
+    spark.range(1000).select(F.pmod("id", F.lit(50)).alias("k"), "id").write.parquet(f"{folder}/small")
+    K.compact(spark, f"{folder}/small", f"{folder}/large", ["k"], 3)
+    assert len(glob.glob(f"{folder}/large/*.parquet")) > 3 and spark.read.parquet(f"{folder}/large").count() == 1000
