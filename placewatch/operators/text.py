@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,13 +88,21 @@ def hashed_words(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
 def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], batch: int = 25,
           name: str = "embedding") -> DataFrame:
     """Add an embedding column, calling ``encoder`` on at most ``batch`` texts at a time; only the texts pass through Python."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return df.withColumn(name, _encoded(encoder, batch, nulls=True)(F.col(text)))
+
+
+def _encoded(encoder: Callable[[list[str]], np.ndarray], batch: int, nulls: bool) -> Callable[[Column], Column]:
+    """Vectors of texts, ``batch`` texts at a time from the Arrow rows on, so a worker holds one batch; without ``nulls`` a NULL text has none."""
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = part.tolist()
-            yield pd.Series([np.asarray(v, dtype=np.float32) for i in range(0, len(texts), batch) for v in encoder(texts[i:i + batch])])
+            for i in range(0, len(part), batch):
+                texts = part.slice(i, batch).to_pylist()
+                given = texts if nulls else [t for t in texts if t is not None]
+                vectors = iter([np.asarray(v, dtype=np.float32) for v in encoder(given)] if given else [])
+                yield pa.array([next(vectors) if nulls or t is not None else None for t in texts], pa.list_(pa.float32()))
 
-    return df.withColumn(name, run(F.col(text)))
+    return run
 
 
 def hashed_counts(df: DataFrame, text: str, dims: int = 64, name: str = "embedding") -> DataFrame:
@@ -117,16 +125,6 @@ def refresh_embeddings(chunks: DataFrame, embedded: DataFrame, encoder: Callable
     now = chunks.withColumn("text_digest", F.sha2(F.col(text).cast("binary"), 256))
     both = now.join(old, key, "left").withColumn("fresh", F.col(text).isNotNull() & ~F.equal_null("_digest", "text_digest"))
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            at = np.flatnonzero(part.notna())
-            out = pd.Series([None] * len(part), dtype=object)
-            for i in range(0, len(at), batch):
-                for row, vector in zip(at[i:i + batch], encoder(part.iloc[at[i:i + batch]].tolist())):
-                    out.iat[row] = np.asarray(vector, dtype=np.float32)
-            yield out
-
-    made = both.withColumn("_new", run(F.when(F.col("fresh"), F.col(text))))
+    made = both.withColumn("_new", _encoded(encoder, batch, nulls=False)(F.when(F.col("fresh"), F.col(text))))
     vector = F.when(F.col("fresh"), F.col("_new")).when(F.col(text).isNotNull(), F.col("_old"))
     return made.select(*chunks.columns, vector.alias("embedding"), "text_digest", "fresh")

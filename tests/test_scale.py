@@ -35,3 +35,12 @@ def test_compaction_bounds_the_rows_of_a_file(spark, folder, monkeypatch):
     spark.range(1000).select(F.pmod("id", F.lit(50)).alias("k"), "id").write.parquet(f"{folder}/small")
     K.compact(spark, f"{folder}/small", f"{folder}/large", ["k"], 3)
     assert len(glob.glob(f"{folder}/large/*.parquet")) > 3 and spark.read.parquet(f"{folder}/large").count() == 1000
+
+
+def test_encoder_gets_no_more_than_its_batch_and_all_rows_come_back(spark, rows):
+    def encoder(texts):
+        assert 0 < len(texts) <= 4
+        return [[float(len(t or ""))] for t in texts]
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "x" * i) for i in range(50)], "i long, t string").coalesce(1)
+    got = {r.i: list(r.embedding) for r in X.embed(df, "t", encoder, batch=4).collect()}
+    assert got == {i: [0.0 if i % 3 == 0 else float(i)] for i in range(50)}
