@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,21 +110,27 @@ def typed(records: DataFrame, known: T.StructType) -> DataFrame:
     """Columns of the schema; what fits none of them as JSON text ``_rescued``, whole values that are no objects too."""
     fields = {f.name: f.dataType for f in known.fields}
     own = {n: F.element_at("_fields", F.lit(n)) for n in fields}
-    columns = [F.when(fits(v, fields[n]), v if isinstance(fields[n], T.VariantType) else F.try_variant_get(v, "$", fields[n].simpleString())).alias(n)
+    # A value is tested once, in a step of its own, for its column and for what is rescued.
+    good = {n: f"_good{i}" for i, n in enumerate(fields)}
+    records = records.withColumns({good[n]: fits(v, fields[n]) for n, v in own.items()})
+    columns = [F.when(F.col(good[n]), v if isinstance(fields[n], T.VariantType) else F.try_variant_get(v, "$", fields[n].simpleString())).alias(n)
                for n, v in own.items()]
 
     def left_over(name: Column, value: Column) -> Column:
-        # Looked up by name, so that each value is tested once.
         test = F.schema_of_variant(value) != "VOID"
         if not fields:
             return test
         first, *others = fields
-        chain = F.when(name == first, ~fits(value, fields[first]))
+        chain = F.when(name == first, ~F.col(good[first]))
         for n in others:
-            chain = chain.when(name == n, ~fits(value, fields[n]))
+            chain = chain.when(name == n, ~F.col(good[n]))
         return chain.otherwise(test)
 
     rest = F.nullif(F.to_json(F.map_filter("_fields", left_over)), F.lit("{}"))
+    if fields:
+        # Most records have nothing but values that fit.
+        held = reduce(lambda a, b: a + b, [F.when(own[n].isNotNull() & F.col(good[n]), 1).otherwise(0) for n in fields])
+        rest = F.when(held < F.size("_fields"), rest)
     rescued = F.when(F.col("_fields").isNull(), F.to_json("_record")).otherwise(rest)
     return records.select(*columns, rescued.alias("_rescued"), "_malformed", "_ingest_time", "_source_file")
 

@@ -3,11 +3,13 @@
 import glob
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placewatch.operators import joins as J
 from placewatch.operators import text as X
 from placewatch.sources import files as SF
 from placewatch.sources import sinks as K
+from placewatch.streaming import evolve as E
 
 
 def _used(df):
@@ -44,3 +46,17 @@ def test_encoder_gets_no_more_than_its_batch_and_all_rows_come_back(spark, rows)
     df = spark.createDataFrame([(i, None if i % 3 == 0 else "x" * i) for i in range(50)], "i long, t string").coalesce(1)
     got = {r.i: list(r.embedding) for r in X.embed(df, "t", encoder, batch=4).collect()}
     assert got == {i: [0.0 if i % 3 == 0 else float(i)] for i in range(50)}
+
+
+def test_each_inferred_value_is_tested_once(spark):
+    known = T.StructType([T.StructField(n, T.LongType()) for n in "abcd"])
+    data = [("""{"a":1,"b":2,"c":3,"d":4}""",), ("""{"a":1,"b":"x","c":null}""",), ("""{"a":1,"e":5,"f":null}""",), ("""[1]""",), ("""{}""",), ("7",)]
+    values = spark.createDataFrame(data, "j string").select(F.try_parse_json("j").alias("_value"), F.lit(0).alias("_ingest_time"), F.lit("p").alias("_source_file"))
+    records = E._records(values)
+    out = E.typed(records, known)
+    got = sorted(((r.a, r.b, r.c, r.d, r._rescued) for r in out.collect()), key=str)
+    assert got == sorted([(1, 2, 3, 4, None), (1, None, None, None, '{"b":"x"}'), (1, None, None, None, '{"e":5}'), (None, None, None, None, "1"),
+                          (None, None, None, None, None), (None, None, None, None, "7")], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # The last step looks at types only for the rescued text (named twice there), of fields that no column has.
+    assert plan.split("\n")[0].count("SchemaOfVariant.schemaOfVariant(") <= 2
