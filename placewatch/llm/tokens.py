@@ -65,8 +65,11 @@ class _Words(dict):
             if word.isalpha():
                 # Letters of ASCII are written as they are.
                 ids = self.pieces.shown(self.space + word) if word.isascii() else self.pieces.ids(" " + word)
-            elif word[-1:] in self.marks and word[:-1].isalpha():
-                ids = self[word[:-1]] + self.marks[word[-1]]
+            elif word[-1:] in self.marks and (plain := word[:-1]).isalpha():
+                if plain not in self:
+                    # Met for the first time: most such words are not met again, and one entry is enough for those.
+                    return self[plain] + self.marks[word[-1]]
+                ids = self[plain] + self.marks[word[-1]]
             elif not word or word[0].isspace() or word[-1].isspace() or self.odd(word):
                 raise _Uncut
             else:

@@ -163,3 +163,20 @@ def test_query_digests(spark):
     packed = q.op6_packing(spark, SF)
     assert packed.agg(F.sum("length")).first()[0] == at
     assert at / (1024 * packed.select("sequence_id").distinct().count()) > 0.98
+
+
+def test_words_with_a_mark_take_one_entry_until_met_again():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from placewatch.llm.tokens import Encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, text = Encoder(path), "a qwzlk, b qwzlk, c qwzlk. d qwzlk"
+    first = e.encode("a qwzlk,")
+    assert "qwzlk" in e.words and "qwzlk," not in e.words
+    e.encode("a qwzlk,")
+    assert "qwzlk," in e.words
+    whole = Tokenizer.from_file(path)
+    for got, t in ((first, "a qwzlk,"), (e.encode(text), text)):
+        assert [int.from_bytes(got[i:i + 4], "little") for i in range(0, len(got), 4)] == whole.encode(t, add_special_tokens=False).ids
