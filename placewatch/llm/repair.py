@@ -154,7 +154,7 @@ def token_blocks(documents: DataFrame, tokenizer: str, vocabulary: int, end_id:
         import pyarrow as pa
 
         part, block, before = TaskContext.get().partitionId(), 0, 0
-        encode, held, sizes, doc_ids = encoder(tokenizer).encode, [], [], []
+        encode, held, sizes, doc_ids = encoder(tokenizer).column, [], [], []
         section = pa.struct([("symbols", pa.binary()), ("rules", pa.binary()), ("lengths", pa.binary()),
                              ("levels", pa.list_(pa.int32())), ("n_tokens", pa.int32())])
 
@@ -168,8 +168,7 @@ def token_blocks(documents: DataFrame, tokenizer: str, vocabulary: int, end_id:
 
         total = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = encode(batch.column(1)[i].as_py() or "") + end
+            for i, ids in enumerate(encode(batch.column(1), end)):
                 held.append(ids)
                 sizes.append(len(ids) // 4)
                 doc_ids.append(batch.column(0)[i].as_py())

@@ -180,3 +180,38 @@ def test_words_with_a_mark_take_one_entry_until_met_again():
     whole = Tokenizer.from_file(path)
     for got, t in ((first, "a qwzlk,"), (e.encode(text), text)):
         assert [int.from_bytes(got[i:i + 4], "little") for i in range(0, len(got), 4)] == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_columns_of_texts_equal_the_tokenizer(whole, odd, monkeypatch):
+    import pyarrow as pa
+
+    from placewatch.llm import tokens
+
+    own, rng = Encoder(PATH), random.Random(4)
+    parts = [*"abZ9.,'éß×ɿʰ中x\n\t\u3000\x1c\x85\xa0", "the", "'s", "\n\n", "İ", "٣", "<|endoftext|>", "\u200b", "🙂"]
+    plain = [" ".join("".join(rng.choice(parts[:16]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    mixed = ["".join(rng.choice([*parts, " ", " ", " of,", "  "]) for _ in range(rng.randint(0, 20))) for _ in range(2000)]
+    texts = [*plain, *mixed, *(t for _, t in odd), None, "", " ", "\n", " a", "a "]
+    for at_once, known in ((2**23, 500_000), (500, 300), (1, 0)):
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        monkeypatch.setattr(tokens, "KNOWN", known)
+        for kind in (pa.string(), pa.large_string()):
+            got = list(own.column(pa.array(texts[-800 if at_once == 1 else 0:], kind), b"\0\0\0\0"))
+            assert [bytes(g) for g in got] == [whole(t).tobytes() for t in texts[-800 if at_once == 1 else 0:]]
+            assert own.known is None or len(own.known[0]) <= known
+    for some in ([], [None], ["a  b"], [" "], ["\n"], ["a"]):
+        assert list(own.column(pa.array(["x", *some, "y"], pa.string()).slice(1, len(some)))) == [whole(t).tobytes()[:-4] for t in some]
+
+
+def test_a_pre_token_reaches_the_model_once(monkeypatch):
+    import pyarrow as pa
+
+    own, new = Encoder(PATH), []
+    made = own._new_pieces
+    monkeypatch.setattr(own, "_new_pieces", lambda pieces: new.extend(pieces.to_pylist()) or made(pieces))
+    list(own.column(pa.array(["a qwzlk, qwzlk.\nqwzlk qwzlk###", "b qwzlk"])))
+    assert collections.Counter(new) == collections.Counter(["###", ",", ".", "\n", " qwzlk", "qwzlk"])
+    list(own.column(pa.array(["c qwzlk.\nqwzlk,", "d qwzlk###"])))
+    assert len(new) == 6
+    # Tasks go through columns, so what a worker keeps from task to task is Arrow's, not one Python object per word.
+    assert not own.words
