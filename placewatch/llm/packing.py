@@ -118,7 +118,7 @@ def pack_examples(df: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     def pack(batches):
         import pyarrow as pa
 
-        encode = encoder(tokenizer).encode if tokenizer else None
+        encode = encoder(tokenizer).column if tokenizer else None
         number = TaskContext.get().partitionId() << 33
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("offset", pa.int32()),
                                    ("loss_tokens", pa.int32()), ("doc_tokens", pa.int64())]))
@@ -141,10 +141,11 @@ def pack_examples(df: DataFrame, tokenizer: str | None = None, end_id: int = 0,
 
         waiting, ready = [], []
         for batch in batches:
+            encoded = encode(batch.column(1), end) if encode else None
             for i in range(batch.num_rows):
                 doc_id = batch.column(0)[i].as_py()
-                if encode:
-                    ids, loss = np.frombuffer(encode(batch.column(1)[i].as_py() or "") + end, "<u4"), None
+                if encoded:
+                    ids, loss = np.frombuffer(next(encoded), "<u4"), None
                 else:
                     raw, flags = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                     ids, loss = np.frombuffer(raw or b"", "<u4"), None if flags is None else np.frombuffer(flags, np.uint8)

@@ -142,6 +142,7 @@ class Encoder:
 
     def column(self, texts, end: bytes = b"") -> Iterator[bytes]:
         """For each text of an Arrow column (null: empty) what ``encode`` gives, then ``end``."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
@@ -150,6 +151,7 @@ class Encoder:
         while i < len(texts):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + AT_ONCE, side="right")))
             yield from self._at_once(texts.slice(i, j - i).cast("string"), end)
+            pa.default_memory_pool().release_unused()  # else an idle worker keeps the largest it ever took
             i = j
 
     def _at_once(self, texts, end: bytes) -> Iterator[bytes]:

@@ -215,3 +215,26 @@ def test_a_pre_token_reaches_the_model_once(monkeypatch):
     assert len(new) == 6
     # Tasks go through columns, so what a worker keeps from task to task is Arrow's, not one Python object per word.
     assert not own.words
+
+
+def test_workers_keep_little_of_many_words(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from placewatch.llm import tokens
+
+    own, rng = Encoder(PATH), random.Random(6)
+    texts = [" ".join("".join(rng.choice("abdeghilmnorstu") for _ in range(9)) for _ in range(1000)) for _ in range(40)]
+    released = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": staticmethod(lambda: released.append(1))}))
+    monkeypatch.setattr(tokens, "AT_ONCE", 100_000)
+    tracemalloc.start()
+    try:
+        for _ in own.column(pa.array(texts)):
+            pass
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    # 40,000 words as dictionary entries take over 4 MB.
+    assert kept < 1_000_000 and own.known[0].nbytes < 16 * 40_010 and len(released) >= 4
