@@ -13,6 +13,8 @@ from ..sources.sinks import scratch
 
 #: White space that separates words: space and the control characters 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows of a side of a join that Spark may broadcast if it likes: a few MB in the driver.
+FEW = 50_000
 
 
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -23,6 +25,15 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as the side of a join that grows with the documents: never sent through the driver, unless it has ``rows`` and these are few.
+
+    Spark judges a side by its packed file, and does not count the rows that an
+    explode makes of one; so a side of any size in memory may pass for a small one.
+    """
+    return df if rows is not None and rows <= FEW else df.hint("merge")
+
+
 def per_process(key: str, make: Callable[[], Any]) -> Any:
     """A value kept for the life of a Python worker, from task to task (functions arrive by value, so module globals don't last)."""
     kept = sys.__dict__.setdefault("_placewatch_llm", {})

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored
+from .common import SPACES, by_shuffle, stored
 
 #: Four counters of 16 bits in a long: bits i, i + 16, i + 32 and i + 48 of the hashes are counted at once.
 LANES = 0x0001000100010001
@@ -77,7 +77,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = 5, sim
     """
     items = hashed(benchmark, words, "item_id").where(F.size("_h") > 0).withColumn("m", F.size("_h"))
     items = stored(with_fingerprint(items, "_h", "fp"), "items")
-    rows, longest = items.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    number, rows, longest = items.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     if longest > LONGEST:
         raise ValueError(f"an item has {longest} shingles, more than {LONGEST}")
     blocks = max(1, -(-2 * rows // broadcast_rows))
@@ -115,7 +115,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, words: int = 5, sim
     of_window, of_item = _blocks("window_fp", "size", radius), _blocks("fp", "m", radius)
     keyed = prints.select("*", F.expr(of_window).alias("blocks")).select("*", F.explode("blocks").alias("key"))
     table = items.select("item_id", "fp", F.col("_h").alias("item_runs"), F.expr(of_item).alias("item_blocks")).select("*", F.explode("item_blocks").alias("key"))
-    near = keyed.join(table, "key").where(F.bit_count(F.col("window_fp").bitwiseXOR(F.col("fp"))) <= radius)
+    near = keyed.join(by_shuffle(table, number * (radius + 1)), "key").where(F.bit_count(F.col("window_fp").bitwiseXOR(F.col("fp"))) <= radius)
     # The same pair comes once for each equal block: only the first of them counts.
     near = near.where("key.block = array_position(zip_with(blocks, item_blocks, (a, b) -> a.bits = b.bits), true) - 1")
     shared = _shared(F.col("runs"), F.col("item_runs"))

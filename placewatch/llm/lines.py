@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import by_shuffle, stored
 
 #: A line's hash: the first 32 bits of its MD5. Rolling hash of two lines: before * ROLL + last. One in ODDS proposes a boundary.
 ROLL, ODDS = 31, 2
@@ -103,11 +103,11 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     """
     twice = stored(line_pairs(documents, False).groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "line-pairs")
     # Not a semi join: that would be pushed below the map, and all pairs shuffled with their bytes.
-    same = _likely(line_pairs(documents, True), twice).join(twice, "x")
+    same = _likely(line_pairs(documents, True), twice).join(by_shuffle(twice), "x")
     same = same.groupBy("x", "digest", "chunk").agg(F.min("key").alias("kept"), F.max("key").alias("last"))
     known = same.groupBy("x", "digest").agg(F.min("kept").alias("kept"), F.max("last").alias("last"), F.count("*").alias("n"))
     known = stored(known.where("n = 1 AND kept != last").select("x", "digest", "kept"), "first-pairs")
-    met = _likely(line_pairs(documents, False), known).join(known, ["x", "digest"]).select("key", "k", "lines", (F.col("key") == F.col("kept")).alias("first"))
+    met = _likely(line_pairs(documents, False), known).join(by_shuffle(known), ["x", "digest"]).select("key", "k", "lines", (F.col("key") == F.col("kept")).alias("first"))
     # Rows equal in doc_id and text are one document.
     met = met.distinct()
     w = Window.partitionBy("key.doc_id", "key.h").orderBy("k")

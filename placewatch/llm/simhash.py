@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_shuffle, stored
 from .components import components
 
 #: The seed of the shingle hashes, XXH64.
@@ -102,7 +102,7 @@ def linked(nodes: DataFrame, radius: int = 4, segments: int = 2) -> DataFrame:
         raise ValueError("balls of radius 1 meet up to 2 differing bits in a segment")
     other = _keyed(nodes, segments).select("key", F.col("node").alias("o_node"), F.col("fp").alias("o_fp"))
     mine = _keyed(nodes, segments)
-    some = mine.join(other, (mine["key"] == other["key"]) & (F.col("node") != F.col("o_node")) & (differing_bits("fp", "o_fp") <= radius), "left_semi")
+    some = mine.join(by_shuffle(other), (mine["key"] == other["key"]) & (F.col("node") != F.col("o_node")) & (differing_bits("fp", "o_fp") <= radius), "left_semi")
     near = stored(some.select("node", "fp").distinct(), "near")
 
     # Each node and the smallest node of a key.
@@ -110,12 +110,12 @@ def linked(nodes: DataFrame, radius: int = 4, segments: int = 2) -> DataFrame:
     star = _keyed(near, segments).withColumn("least", least).where((F.col("node") != F.col("least.node")) & (differing_bits("fp", "least.fp") <= radius))
     first = components(star.select(F.col("node").alias("a"), F.col("least.node").alias("b")).distinct())
     # Pairs that would join two components: keys under which only one component is met are done.
-    named = near.join(first, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+    named = near.join(by_shuffle(first), "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
     by_key = Window.partitionBy("key")
     open_keys = (_keyed(named, segments).withColumns({"low": F.min("root").over(by_key), "high": F.max("root").over(by_key)})
                  .where("low != high").select("key", "node", "fp", "root"))
     other = open_keys.select("key", *[F.col(c).alias(f"o_{c}") for c in ("node", "fp", "root")])
-    met = open_keys.join(other, (open_keys["key"] == other["key"]) & (F.col("root") < F.col("o_root")) & (differing_bits("fp", "o_fp") <= radius))
+    met = open_keys.join(by_shuffle(other), (open_keys["key"] == other["key"]) & (F.col("root") < F.col("o_root")) & (differing_bits("fp", "o_fp") <= radius))
     rest = stored(met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct(), "links")
     if rest.isEmpty():
         return first
@@ -190,11 +190,11 @@ def similar(blobs: DataFrame, sets: DataFrame, similarity: float, most: int = 10
     into blocks of about ``most`` nodes and ``most_values`` values, and each
     two blocks meet in a task, where products of 0/1 matrices give all overlaps.
     """
-    rows = blobs.join(sets, "node")
+    rows = by_shuffle(blobs).join(sets, "node")
     sizes = rows.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("v"))
     blocks = sizes.select("root", F.greatest(F.lit(1), F.ceil(F.col("n") / most), F.ceil(F.col("v") / most_values)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (rows.join(blocks, "root").withColumn("own", own)
+    dealt = (rows.join(by_shuffle(blocks), "root").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "s"))
 
@@ -242,7 +242,7 @@ def _shingle_sets(documents: DataFrame, nodes: DataFrame, words: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
 
     text = F.coalesce("text", F.lit(""))
-    texts = documents.select("doc_id", F.md5(text).alias("_digest"), text.alias("text")).join(nodes, ["doc_id", "_digest"])
+    texts = documents.select("doc_id", F.md5(text).alias("_digest"), text.alias("text")).join(by_shuffle(nodes), ["doc_id", "_digest"])
     one = texts.groupBy("node").agg(F.min("text").alias("text"))
     return one.mapInArrow(shingles, "node long, s array<long>")
 
@@ -299,7 +299,7 @@ def _close(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
     right = prints.select(F.col("node").alias("b"), F.col("n").alias("o_n"), F.col("parity").alias("o_parity"))
     bits = F.aggregate(F.zip_with("parity", "o_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     may = bits - 1e-6 <= (F.col("n") + F.col("o_n")) * ((1 - similarity) / (1 + similarity))
-    return pairs.join(left, "a").join(right, "b").where(may).select("a", "b").distinct()
+    return pairs.join(by_shuffle(left), "a").join(by_shuffle(right), "b").where(may).select("a", "b").distinct()
 
 
 def _prints(documents: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -329,8 +329,8 @@ def _prints(documents: DataFrame, words: int, similarity: float) -> DataFrame:
 
 def _across(documents: DataFrame, rows: DataFrame, nodes: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
     """``a``, ``b``: all pairs of nodes of different ``roots`` whose sets reach the similarity, by the first shingles of each."""
-    own = (rows.select("doc_id", "_digest", "n", "firsts", "parity").join(nodes.select("doc_id", "_digest", "node"), ["doc_id", "_digest"])
-           .drop("doc_id", "_digest").dropDuplicates(["node"]).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    own = (rows.select("doc_id", "_digest", "n", "firsts", "parity").join(by_shuffle(nodes.select("doc_id", "_digest", "node")), ["doc_id", "_digest"])
+           .drop("doc_id", "_digest").dropDuplicates(["node"]).join(by_shuffle(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
     keyed = own.select("node", "root", "n", F.posexplode("firsts").alias("at", "key"))
     by_key = Window.partitionBy("key")
     # Keys under which only one component is met are done.
@@ -339,16 +339,16 @@ def _across(documents: DataFrame, rows: DataFrame, nodes: DataFrame, roots: Data
     other = open_keys.select(*[F.col(c).alias(f"o_{c}") for c in open_keys.columns])
     # As many as both may have in common: what lies before the key in both, the key, and what lies behind it in both.
     most = F.least("at", "o_at") + F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
-    met = open_keys.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") < F.col("o_root"))
+    met = open_keys.join(by_shuffle(other), (F.col("key") == F.col("o_key")) & (F.col("root") < F.col("o_root"))
                          & (most + 1e-6 >= similarity * (F.col("n") + F.col("o_n") - most)))
     met = met.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
     pairs = stored(_close(met, own.select("node", "n", "parity"), similarity), "pairs")
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stored(_shingle_sets(documents, nodes.select("node", "doc_id", "_digest").join(asked, "node", "left_semi"), words), "pair-shingles")
+    sets = stored(_shingle_sets(documents, nodes.select("node", "doc_id", "_digest").join(by_shuffle(asked), "node", "left_semi"), words), "pair-shingles")
     # Whole sets travel only with the pairs that are left.
     pairs = stored(_close(pairs, stored(_wide(sets), "wide"), similarity), "pairs")
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("s").alias("o_s")), "b"))
+    both = (pairs.join(by_shuffle(sets.select(F.col("node").alias("a"), F.col("s").alias("s"))), "a")
+            .join(by_shuffle(sets.select(F.col("node").alias("b"), F.col("s").alias("o_s"))), "b"))
     shared = F.size(F.array_intersect("s", "o_s"))
     return both.where(shared >= similarity * (F.size("s") + F.size("o_s") - shared)).select("a", "b")
 
@@ -373,16 +373,16 @@ def one_of_each(documents: DataFrame, words: int = 5, similarity: float = 0.8, r
     # Equal texts are one node; the number of its row in the written table names it, as a doc_id may stand for several texts.
     named = stored(rows.groupBy("_digest", "fp").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     blobs = stored(linked(named.select("node", "fp"), radius, segments), "blobs")
-    inside = named.select("node", "doc_id", "_digest").join(blobs.select("node"), "node", "left_semi")
+    inside = named.select("node", "doc_id", "_digest").join(by_shuffle(blobs.select("node")), "node", "left_semi")
     roots = components(similar(blobs, stored(_shingle_sets(known, inside, words), "shingles"), similarity))
     more = stored(_across(known, rows, named, roots, words, similarity), "links")
     if not more.isEmpty():
         roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    keep = (named.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    keep = (named.join(by_shuffle(roots), "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
             .agg(F.min(F.struct("doc_id", "_digest")).alias("_kept")).select("_kept.*"))
     # One row for each document that stays.
     first = F.row_number().over(Window.partitionBy("_doc", "_digest").orderBy(F.lit(0)))
     wide = known.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.md5(F.coalesce("text", F.lit(""))).alias("_digest"))
     kept = keep.withColumnRenamed("doc_id", "_doc")
-    stays = wide.join(kept, ["_doc", "_digest"], "left_semi").withColumn("_n", first).where("_n = 1").select("_row.*")
+    stays = wide.join(by_shuffle(kept), ["_doc", "_digest"], "left_semi").withColumn("_n", first).where("_n = 1").select("_row.*")
     return stays.unionByName(documents.where("doc_id IS NULL"))

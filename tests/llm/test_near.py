@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from placewatch.llm import common, components as stars, decontam, lines as passages, simhash as prints
 from placewatch.llm.chunks import boundaries, dedup_substrings, repeated_passages
 from placewatch.llm.components import components
 from placewatch.llm.decontam import contaminated, without_contaminated
@@ -126,6 +127,44 @@ def test_one_of_each(frame, odd, copies):
     assert one_of_each(frame([])).count() == 0
 
 
+@pytest.fixture
+def planned(monkeypatch):
+    """Plans of all tables that the operators write, by name; nothing counts as few."""
+    found = collections.defaultdict(list)
+
+    def kept(df, name, *a, write=common.stored):
+        found[name].append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *a)
+
+    for module in (prints, stars, passages, decontam):
+        monkeypatch.setattr(module, "stored", kept)
+    monkeypatch.setattr(common, "FEW", 0, raising=False)
+    return found
+
+
+def test_sides_that_grow_with_the_documents_are_not_broadcast(frame, copies, planned):
+    docs = frame(copies)
+    for out in (one_of_each(docs),):
+        planned["out"].append(out._jdf.queryExecution().executedPlan().toString())
+    assert {"near", "edges", "links", "blobs", "shingles", "first-shingles", "pairs", "pair-shingles"} <= set(planned)
+    assert not [name for name, plans in planned.items() for p in plans if "BroadcastExchange" in p]
+
+
+def test_repeated_lines_are_not_broadcast(frame, prose, planned):
+    docs = frame([(i, prose(60, 1, 6) + f"\n{prose(20, 50 + i, 5)}") for i in range(20)])
+    out = dedup_lines(docs, passages=True)
+    # The maps of fixed size are the only sides that travel through the driver.
+    texts = [*planned["first-pairs"], out._jdf.queryExecution().executedPlan().toString()]
+    assert all(p.count("BroadcastHashJoin") <= 1 for p in texts) and sum(r.text is not None for r in out.collect()) == 20
+
+
+def test_keys_of_many_items_are_not_broadcast(spark, frame, prose, planned):
+    items = spark.createDataFrame([(i, prose(30, 70 + i)) for i in range(5)], "item_id long, text string")
+    out = contaminated(frame([(i, prose(30, 70 + i)) for i in range(3)]), items)
+    assert sorted((r.doc_id, r.item_id) for r in out.collect()) == [(i, i) for i in range(3)]
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_of_each_with_clashing_ids(frame, prose):
     """Different texts under one doc_id are documents of their own; of alike ones the smallest doc_id stays, then the least digest."""
     a, b, c = (prose(80, 5000 + i) for i in range(3))
