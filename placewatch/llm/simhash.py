@@ -134,10 +134,10 @@ def near_duplicates(df: DataFrame, words: int = 4, radius: int = 4) -> DataFrame
     rows = stored(fingerprints(df, words), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked_fps = linked(classes.select(F.col("fp").alias("node"), "fp"), radius)
-    named = classes.join(linked_fps, classes["fp"] == linked_fps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = classes.join(by_shuffle(linked_fps), classes["fp"] == linked_fps["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = named.join(by_shuffle(least), "root").select("fp", "component_id")
+    return rows.join(by_shuffle(of_fp), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

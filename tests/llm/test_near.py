@@ -144,7 +144,7 @@ def planned(monkeypatch):
 
 def test_sides_that_grow_with_the_documents_are_not_broadcast(frame, copies, planned):
     docs = frame(copies)
-    for out in (one_of_each(docs),):
+    for out in (near_duplicates(docs, radius=4), one_of_each(docs)):
         planned["out"].append(out._jdf.queryExecution().executedPlan().toString())
     assert {"near", "edges", "links", "blobs", "shingles", "first-shingles", "pairs", "pair-shingles"} <= set(planned)
     assert not [name for name, plans in planned.items() for p in plans if "BroadcastExchange" in p]
