@@ -29,6 +29,15 @@ def _weather_files(t):
     return _land(t, shown, "weather")
 
 
+def _whole_sum(t, rows, name):
+    """A decimal sum as BIGINT; it stays decimal, and exact, where a BIGINT can't hold it for each of these few rows."""
+    path = K.scratch(t.spark, "sums")
+    rows.write.parquet(path)
+    rows = t.spark.read.schema(rows.schema).parquet(path)
+    small = rows.where(F.col(name).isNotNull() & F.col(name).try_cast("long").isNull()).isEmpty()
+    return rows.withColumn(name, F.col(name).cast("long")) if small else rows
+
+
 VALID = "temperature_c BETWEEN -50 AND 60 AND (precipitation_mm >= 0 OR precipitation_mm IS NULL) AND (windspeed_kmh >= 0 OR windspeed_kmh IS NULL)"
 PER_STATION = f"""
     SELECT location_name, count(*) AS n, round(sum(precipitation_mm), 2) AS rain, strftime(min(forecast_time), '%Y-%m-%d %H:%M:%S') AS first_time
@@ -100,7 +109,8 @@ def hazards_inferred(t):
     dropped = t.spark.read.parquet(f"{out}/audit").where("rule = 'known_hazard_type'").select(F.col("failed").alias("dropped"))
     rows = E.read_inferred(t.spark, f"{out}/rows", f"{out}/checkpoint").groupBy("hazard_type").agg(
         F.count("*").alias("n"), F.count_if("is_major").alias("n_major"), F.count("h3_cell").alias("n_placed"),
-        F.sum("h3_cell").alias("cells"), F.sum("created_ms").alias("created"))
+        F.sum("h3_cell").alias("cells"), F.sum(F.col("created_ms").cast("decimal(20, 0)")).alias("created"))
+    rows = _whole_sum(t, rows, "created")
     return rows.withColumn("dropped", F.lit(sum(r.dropped for r in dropped.collect())).cast("long"))   # a count per micro-batch
 
 

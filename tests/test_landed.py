@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from placewatch.catalog import QUERIES
 from placewatch.operators import quality as Q
 from placewatch.sources import changes as C
 from placewatch.sources import landing as L
@@ -200,3 +201,16 @@ def test_records_do_not_carry_their_array(spark, folder):
     plan = records.select("_malformed", "_fields", "_source_file")._jdf.queryExecution().executedPlan().toString()
     assert "Generate inline" in plan and re.search(r"\), \[[^\]]*_value#\d+[^\]]*\], (false|true)", plan) is None
     assert sorted(r._malformed for r in records.select("_malformed").collect()) == [False, False, False, True]
+
+
+@pytest.mark.parametrize("first, kind", [(0, "bigint"), (5_100_000_000_000, "decimal(30,0)")])
+def test_sums_of_inferred_times_outgrow_a_bigint(spark, folder, first, kind):
+    """As many rows of one type as make the sum too large would be millions; here a few have late times."""
+    n = 2000
+    (spark.range(first, first + n).select(
+        F.col("id").alias("o_orderkey"), F.lit(7).cast("long").alias("o_custkey"), F.lit("2-HIGH").alias("o_orderpriority"),
+        F.lit(1000.5).alias("o_totalprice"), F.lit("F").alias("o_orderstatus")).write.parquet(f"{folder}/orders.parquet"))
+    out = QUERIES["SRC-02-inferred"](spark, folder)
+    want = sum(1700000000000 + 1000 * k for k in range(first, first + n))
+    assert dict(out.dtypes)["created"] == kind and (want > 2**63) == (kind != "bigint")
+    assert [(r.hazard_type, r.n, int(r.created), r.dropped) for r in out.collect()] == [("fire", n, want, 0)]
